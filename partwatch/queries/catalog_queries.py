@@ -1 +1,524 @@
+"""Queries of the product catalogue."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import dims
+from ..operators import catalog
+from ..sinks import tables
+from ..sources import feeds
+from .registry import query, view
+
+
+def values(rows) -> str:
+    """Rows of a fixed dimension as SQL literals."""
+    text = lambda v: str(v) if isinstance(v, int) else "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+
+
+view(
+    "v_categories",
+    f"SELECT * FROM ({values(dims.PRODUCT_CATEGORIES.items())}) t(slug, category)",
+)
+view(
+    "v_packages",
+    f"SELECT * FROM ({values((s, *p) for s, p in dims.ADVISORY_PACKAGES.items())}) t(slug, ecosystem, package)",
+)
+view(
+    "v_products",
+    """
+SELECT 'pkg-' || p_partkey AS slug, p_type AS category, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_name END AS display_name,
+  strftime(DATE '2024-01-01' + cast(p_partkey % 300 AS INT), '%Y-%m-%d') AS updated_at FROM part""",
+)
+view(
+    "v_raw_cycles",
+    """
+SELECT 'pkg-' || p AS slug, cast(c AS VARCHAR) AS cycle, p, c, CASE WHEN n > 1 THEN concat(c, '.0.', n) END AS latest,
+  strftime(f, '%Y-%m-%d') AS release_date,
+  CASE (p + 2 * c) % 3 WHEN 0 THEN 'false' WHEN 1 THEN strftime(l, '%Y-%m-%d') END AS support,
+  CASE (p + c) % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN strftime(f, '%Y-%m-%d') END AS eol,
+  CASE WHEN c % 3 = 0 THEN 'true' ELSE 'false' END AS lts, f, l
+FROM (SELECT l_partkey AS p, l_linenumber AS c, min(l_shipdate) AS f, max(l_shipdate) AS l, count(*) AS n
+  FROM lineitem GROUP BY 1, 2)""",
+)
+view(
+    "v_cycles",
+    """
+SELECT slug, cycle, latest, release_date, lts = 'true' AS is_lts, support AS raw_support, eol AS raw_eol,
+  CASE support WHEN 'false' THEN '__false__' ELSE support END AS support,
+  CASE eol WHEN 'true' THEN '__true__' WHEN 'false' THEN '__false__' ELSE eol END AS eol,
+  '__' || lts || '__' AS lts,
+  CASE WHEN eol = 'true' THEN 'eol' WHEN eol = 'false' THEN 'ok' WHEN eol IS NULL THEN 'unknown'
+    WHEN f <= TIMESTAMP '1998-06-01' THEN 'eol' WHEN support = 'false' THEN 'obsolete'
+    WHEN support IS NOT NULL AND l <= TIMESTAMP '1998-06-01' THEN 'obsolete' ELSE 'ok' END AS status,
+  CASE (p + c) % 5 WHEN 0 THEN 'vulnerable' WHEN 1 THEN 'clean' WHEN 2 THEN 'no-map' WHEN 3 THEN 'neterror' END AS vuln_status,
+  CASE (p + c) % 5 WHEN 0 THEN p % 4 + 1 WHEN 1 THEN 0 END AS vuln_count,
+  CASE (p + c) % 5 WHEN 0 THEN array_to_string([concat('CVE-', p, '-', i) FOR i IN range(1, p % 4 + 2)], ' ') ELSE '' END AS vuln_ids
+FROM v_raw_cycles""",
+)
+view(
+    "v_catalog",
+    """
+SELECT c.*, p.category, coalesce(nullif(p.display_name, ''), c.slug) AS name FROM v_cycles c JOIN v_products p USING (slug)""",
+)
+view(
+    "v_live",
+    f"""
+SELECT DISTINCT coalesce(([{", ".join(repr(s) for s in dims.PRODUCT_CATEGORIES)}])[p_size % 80 + 1], 'other-' || (p_size % 80)) AS slug FROM part""",
+)
+
+
+@query(
+    "src_04_lifecycle_feed",
+    """
+SELECT slug, cycle, latest, coalesce(latest, cycle) AS lookup_version, release_date, support, eol, lts FROM v_raw_cycles""",
+)
+def src_04(t):
+    # One JSON body per product, with booleans as JSON booleans and one element that is no object.
+    c = t.raw_cycles
+    text = lambda n: F.when(F.col(n).isin("true", "false"), F.col(n)).when(
+        F.col(n).isNotNull(), F.concat(F.lit('"'), n, F.lit('"'))
+    ).otherwise("null")
+    fields = {"cycle": "cycle", "latest": "latest", "releaseDate": "release_date", "support": "support", "eol": "eol", "lts": "lts"}
+    parts = [F.concat(F.lit(f'"{key}":'), text(name)) for key, name in fields.items()]
+    element = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    bodies = c.groupBy("slug").agg(
+        F.concat(F.lit('["text",'), F.array_join(F.collect_list(element), ","), F.lit("]")).alias("body")
+    )
+    return feeds.lifecycle_cycles(bodies)
+
+
+@query(
+    "src_07_maven_metadata",
+    """
+SELECT 'art-' || l_partkey AS artifact, min(l_linenumber) || '.0' AS latest, count(DISTINCT l_linenumber) AS versions
+FROM lineitem GROUP BY l_partkey""",
+)
+def src_07(t):
+    return feeds.maven_documents(maven_bodies(t)).select("artifact", "latest", F.size("versions").alias("versions"))
+
+
+def maven_bodies(t):
+    lines = t.table("lineitem").groupBy("l_partkey", "l_linenumber").agg(F.max("l_discount").alias("d"))
+    tag = F.concat(
+        F.lit("<version>"),
+        F.col("l_linenumber"),
+        F.lit(".0"),
+        F.when(F.col("d") > 0.08, F.lit("-RC1")).otherwise(""),
+        F.lit("</version>"),
+    )
+    grouped = lines.groupBy("l_partkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", tag.alias("tag")))).alias("rows"),
+        F.min("l_linenumber").alias("low"),
+    )
+    body = F.concat(
+        F.lit("<metadata><versioning><latest>"),
+        F.col("low"),
+        F.lit(".0</latest><versions>"),
+        F.array_join(F.transform("rows", lambda r: r["tag"]), ""),
+        F.lit("</versions></versioning></metadata>"),
+    )
+    return grouped.select(
+        F.lit("g.x").alias("group"),
+        F.concat(F.lit("art-"), "l_partkey").alias("artifact"),
+        F.when(F.col("l_partkey") % 19 == 0, 503).when(F.col("l_partkey") % 7 == 0, 404).otherwise(200).alias("http_status"),
+        body.alias("body"),
+    )
+
+
+view(
+    "v_maven",
+    """
+SELECT l_partkey AS p, coalesce(max(l_linenumber) FILTER (WHERE d <= 0.08), min(l_linenumber)) || '.0' AS latest
+FROM (SELECT l_partkey, l_linenumber, max(l_discount) AS d FROM lineitem GROUP BY 1, 2) GROUP BY 1""",
+)
+
+
+@query("a_25_maven_newest", "SELECT 'art-' || p AS artifact, latest FROM v_maven")
+def a_25(t):
+    m = feeds.maven_documents(maven_bodies(t))
+    return m.select("artifact", catalog.maven_newest(F.col("versions"), F.col("latest"), F.col("release")).alias("latest"))
+
+
+@query(
+    "j_22_first_repository",
+    """
+SELECT 'art-' || p AS artifact, CASE WHEN p % 19 = 0 THEN NULL WHEN p % 7 <> 0 THEN latest WHEN p % 5 = 0 THEN '9.9' END AS latest,
+  CASE WHEN p % 19 = 0 THEN NULL WHEN p % 7 <> 0 THEN 'Maven Central' WHEN p % 5 = 0 THEN 'Google Maven' END AS latest_origin,
+  CASE WHEN p % 19 = 0 OR (p % 7 = 0 AND p % 5 = 1) THEN 'neterror' WHEN p % 7 = 0 AND p % 5 <> 0 THEN 'not-found' END AS lookup_error
+FROM v_maven""",
+)
+def j_22(t):
+    docs = feeds.maven_documents(maven_bodies(t))
+    status = F.col("http_status")
+    newest = catalog.maven_newest(F.col("versions"), F.col("latest"), F.col("release"))
+    first = docs.select(
+        "group",
+        "artifact",
+        F.when(status == 404, "not-found").when(status == 200, "found").otherwise("neterror").alias("lookup"),
+        F.when(status == 200, newest).alias("latest"),
+    )
+    key = F.substring_index("artifact", "-", -1).cast("bigint")
+    second = docs.select(
+        "group",
+        "artifact",
+        F.when(key % 5 == 0, "found").when(key % 5 == 1, "neterror").otherwise("not-found").alias("lookup"),
+        F.when(key % 5 == 0, "9.9").alias("latest"),
+    )
+    return catalog.first_repository(docs.select("group", "artifact"), first, second).drop("group")
+
+
+@query("s_01_cycle_status", "SELECT slug, cycle, status FROM v_cycles")
+def s_01(t):
+    today = F.lit(t.today).cast("date")
+    return t.raw_cycles.select(
+        "slug", "cycle", catalog.cycle_status(F.col("eol"), F.col("support"), today).alias("status")
+    )
+
+
+@query(
+    "s_02_safe_date",
+    """
+SELECT slug, cycle, CASE WHEN raw_eol NOT IN ('true', 'false') THEN raw_eol END AS day FROM v_cycles""",
+)
+def s_02(t):
+    return t.raw_cycles.select("slug", "cycle", catalog.safe_date(F.col("eol")).cast("string").alias("day"))
+
+
+@query("f_11_bool_or_date", "SELECT slug, cycle, support, eol, lts, raw_eol AS decoded FROM v_cycles")
+def f_11(t):
+    encoded = [catalog.encode_flag(F.col(c)).alias(c) for c in ("support", "eol", "lts")]
+    return t.raw_cycles.select("slug", "cycle", *encoded).withColumn("decoded", catalog.decode_flag(F.col("eol")))
+
+
+@query(
+    "s_52_catalog_cells",
+    """
+SELECT slug, cycle, CASE WHEN raw_support = 'false' THEN 'activo' WHEN raw_support IS NULL THEN '—'
+    WHEN raw_support <= '1998-06-01' THEN raw_support || ' (pasado)' ELSE raw_support END AS support_cell,
+  CASE WHEN raw_eol = 'true' THEN 'terminado' WHEN raw_eol = 'false' THEN 'activo' WHEN raw_eol IS NULL THEN '—'
+    WHEN raw_eol <= '1998-06-01' THEN raw_eol || ' (pasado)' ELSE raw_eol END AS eol_cell,
+  CASE status WHEN 'eol' THEN 'EOL' WHEN 'obsolete' THEN 'OBSOLETO' WHEN 'ok' THEN 'OK' ELSE '—' END AS status_cell,
+  CASE vuln_status WHEN 'no-map' THEN 'n/d' WHEN 'neterror' THEN 'error' WHEN 'vulnerable' THEN vuln_count || ' CVE'
+    WHEN 'clean' THEN 'sin CVE' ELSE '—' END AS vuln_cell
+FROM v_cycles""",
+)
+def s_52(t):
+    now = F.lit(t.today).cast("date")
+    return t.cycles.select(
+        "slug",
+        "cycle",
+        catalog.date_state(F.col("support"), now).alias("support_cell"),
+        catalog.date_state(F.col("eol"), now).alias("eol_cell"),
+        catalog.status_cell(F.col("status")).alias("status_cell"),
+        catalog.vulnerability_cell(F.col("vuln_status"), F.col("vuln_count")).alias("vuln_cell"),
+    )
+
+
+@query("j_01_catalog_read", "SELECT slug, cycle, name, category, status, vuln_ids FROM v_catalog")
+def j_01(t):
+    return catalog.catalog(t.cycles, t.products).select(
+        "slug", "cycle", "name", "category", "status", F.array_join("vuln_ids", " ").alias("vuln_ids")
+    )
+
+
+@query("o_01_catalog_order", "SELECT category, slug, cycle, status FROM v_catalog")
+def o_01(t):
+    return catalog.catalog(t.cycles, t.products).select("category", "slug", "cycle", "status").orderBy(*catalog.catalog_order())
+
+
+@query("f_01_category_status", "SELECT slug, cycle FROM v_catalog WHERE category = 'ECONOMY' AND status = 'eol'")
+def f_01(t):
+    return catalog.filter_catalog(catalog.catalog(t.cycles, t.products), "ECONOMY", "eol").select("slug", "cycle")
+
+
+@query(
+    "f_02_vulnerable_or_clean",
+    """
+SELECT slug, cycle, 'vulnerable' AS kind FROM v_catalog WHERE vuln_count > 0
+UNION ALL SELECT slug, cycle, 'clean' FROM v_catalog WHERE vuln_status = 'clean'""",
+)
+def f_02(t):
+    rows = catalog.catalog(t.cycles, t.products)
+    pick = lambda kind: catalog.filter_catalog(rows, vulnerability=kind).select("slug", "cycle", F.lit(kind).alias("kind"))
+    return pick("vulnerable").unionByName(pick("clean"))
+
+
+@query(
+    "f_03_search",
+    """
+SELECT slug, cycle FROM v_catalog WHERE contains(lower(concat_ws(' ', slug, name, cycle, coalesce(latest, ''), vuln_ids, category)), 'red widget')""",
+)
+def f_03(t):
+    return catalog.filter_catalog(catalog.catalog(t.cycles, t.products), search=" RED widget").select("slug", "cycle")
+
+
+@query(
+    "f_05_stable_versions",
+    """
+SELECT package, version, NOT contains(version, '-') AS npm, NOT contains(version, 'beta') AS maven FROM v_registry""",
+)
+def f_05(t):
+    from ..functions.versions import maven_stable, npm_stable
+
+    return t.registry.select(
+        "package", "version", npm_stable(F.col("version")).alias("npm"), maven_stable(F.col("version")).alias("maven")
+    )
+
+
+@query("j_02_live_slugs", "SELECT slug, category FROM v_categories WHERE slug IN (SELECT slug FROM v_live)")
+def j_02(t):
+    return catalog.live_slugs(dims.product_categories(t.spark), t.live_slugs)
+
+
+@query("u_05_slug_intersection", "SELECT slug FROM v_categories INTERSECT SELECT slug FROM v_live")
+def u_05(t):
+    return dims.product_categories(t.spark).select("slug").intersect(t.live_slugs)
+
+
+@query("u_06_missing_slugs", "SELECT slug, category FROM v_categories WHERE slug NOT IN (SELECT slug FROM v_live)")
+def u_06(t):
+    return catalog.missing_slugs(dims.product_categories(t.spark), t.live_slugs)
+
+
+@query(
+    "j_03_advisory_package",
+    f"""
+SELECT p_partkey, slug, ecosystem, package, CASE WHEN package IS NULL THEN 'no-map' END AS vuln_status
+FROM (SELECT p_partkey, ([{", ".join(repr(s) for s in dims.PRODUCT_CATEGORIES)}])[p_partkey % 56 + 1] AS slug FROM part)
+LEFT JOIN v_packages USING (slug)""",
+)
+def j_03(t):
+    names = F.array(*[F.lit(n) for n in dims.PRODUCT_CATEGORIES])
+    cycles = t.table("part").select(
+        "p_partkey",
+        F.get(names, (F.col("p_partkey") % 56).cast("int")).alias("slug"),
+        F.lit(None).cast("string").alias("latest"),
+        F.col("p_size").cast("string").alias("cycle"),
+    )
+    return catalog.with_advisory_package(cycles, dims.advisory_packages(t.spark)).drop("latest", "cycle")
+
+
+view(
+    "v_libraries",
+    f"SELECT * FROM ({values((s, *p) for s, p in dims.NPM_LIBRARIES.items())}) t(slug, display_name, category)",
+)
+
+
+@query(
+    "j_27_registry_products",
+    f"""
+SELECT p_partkey, slug, display_name, category
+FROM (SELECT p_partkey, ([{", ".join(repr(s) for s in dims.NPM_LIBRARIES)}])[p_partkey % 60 + 1] AS slug FROM part) JOIN v_libraries USING (slug)""",
+)
+def j_27(t):
+    names = F.array(*[F.lit(n) for n in dims.NPM_LIBRARIES])
+    rows = t.table("part").select("p_partkey", F.get(names, (F.col("p_partkey") % 60).cast("int")).alias("slug"))
+    return catalog.registry_products(rows, dims.npm_libraries(t.spark))
+
+
+@query(
+    "src_12_dimensions",
+    """
+SELECT category, count(*) AS live FROM v_categories WHERE slug IN (SELECT slug FROM v_live) GROUP BY 1""",
+)
+def src_12(t):
+    live = catalog.live_slugs(dims.product_categories(t.spark), t.live_slugs)
+    return live.groupBy("category").agg(F.count("*").alias("live"))
+
+
+@query(
+    "x_01_extended_dimension",
+    """
+SELECT slug, category FROM (SELECT * FROM v_categories UNION ALL SELECT DISTINCT 'other-' || (p_size % 80), p_type FROM part WHERE p_partkey % 7 = 0)
+WHERE slug IN (SELECT slug FROM v_live)""",
+)
+def x_01(t):
+    own = (
+        t.table("part")
+        .where(F.col("p_partkey") % 7 == 0)
+        .select(F.concat(F.lit("other-"), F.col("p_size") % 80).alias("slug"), F.col("p_type").alias("category"))
+        .distinct()
+    )
+    return catalog.live_slugs(dims.product_categories(t.spark).unionByName(own), t.live_slugs)
+
+
+view(
+    "v_majors",
+    """
+SELECT package, sv[1] AS major, arg_max(version, sv) AS latest FROM v_stable GROUP BY 1, 2
+UNION ALL SELECT package, 9, '9.0.0' FROM v_registry GROUP BY 1 HAVING bool_and(contains(version, '-'))""",
+)
+
+
+@query(
+    "a_24_npm_cycles",
+    """
+SELECT package AS slug, cast(major AS VARCHAR) AS cycle, latest, NULL::VARCHAR AS release_date,
+  CASE WHEN major = coalesce(9, 0) THEN 'ok' ELSE 'obsolete' END AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY major DESC) AS r FROM v_majors) WHERE r <= 8""",
+)
+def a_24(t):
+    v = t.registry.select(
+        "package",
+        F.lit("9.0.0").alias("latest_tag"),
+        F.xxhash64("version").alias("ord"),
+        "version",
+        F.lit(None).cast("string").alias("released"),
+    )
+    return catalog.npm_cycles(v)
+
+
+@query(
+    "w_06_newest_majors",
+    """
+SELECT package AS slug, cast(major AS VARCHAR) AS cycle, latest, day AS release_date,
+  CASE WHEN major = max(major) OVER (PARTITION BY package) THEN 'ok' ELSE 'obsolete' END AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY major DESC) AS r FROM (
+  SELECT 'pkg-' || l_partkey AS package, l_suppkey % 20 AS major, max(concat(l_suppkey % 20, '.', l_linenumber, '.0')) AS latest,
+    arg_max(strftime(l_shipdate, '%Y-%m-%d'), (l_linenumber, l_orderkey, l_shipdate)) AS day FROM lineitem GROUP BY 1, 2)) WHERE r <= 8""",
+)
+def w_06(t):
+    v = t.table("lineitem").select(
+        F.concat(F.lit("pkg-"), "l_partkey").alias("package"),
+        F.lit(None).cast("string").alias("latest_tag"),
+        F.concat(F.col("l_suppkey") % 20, F.lit("."), "l_linenumber", F.lit(".0")).alias("version"),
+        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("released"),
+        "l_orderkey",
+    )
+    # Document order: newest order first, so that the first of equal versions is the one of the largest order.
+    unique = v.groupBy("package", "version", "latest_tag").agg(
+        F.max_by("released", F.struct("l_orderkey", "released")).alias("released")
+    )
+    return catalog.npm_cycles(unique.withColumn("ord", F.lit(0)))
+
+
+@query(
+    "w_09_category_header",
+    """
+SELECT category, slug, cycle, category IS DISTINCT FROM lag(category) OVER (ORDER BY category, slug, cycle DESC) AS is_header FROM v_catalog""",
+)
+def w_09(t):
+    rows = catalog.catalog(t.cycles, t.products).select("category", "slug", "cycle")
+    return catalog.with_category_header(rows)
+
+
+@query(
+    "a_21_catalog_status",
+    "SELECT (SELECT count(*) FROM v_products) AS products, (SELECT count(*) FROM v_cycles) AS cycles, (SELECT max(updated_at) FROM v_products) AS last_update",
+)
+def a_21(t):
+    return catalog.catalog_status(t.products, t.cycles)
+
+
+@query("a_22_categories", "SELECT DISTINCT category FROM v_catalog")
+def a_22(t):
+    return catalog.categories(catalog.catalog(t.cycles, t.products))
+
+
+# ---- sinks over the catalogue
+
+
+@query(
+    "snk_01_catalog_csv",
+    """
+SELECT category AS categoria, name AS producto, cycle AS ciclo, coalesce(latest, '') AS ultima_version, coalesce(release_date, '') AS release,
+  CASE raw_support WHEN 'true' THEN 'activo' WHEN 'false' THEN 'terminado' ELSE coalesce(raw_support, '') END AS soporte,
+  CASE raw_eol WHEN 'true' THEN 'terminado' WHEN 'false' THEN 'activo' ELSE coalesce(raw_eol, '') END AS eol,
+  CASE WHEN is_lts THEN 'si' ELSE 'no' END AS lts, status AS estado, coalesce(cast(vuln_count AS VARCHAR), '') AS cve_count, vuln_ids AS cve_ids
+FROM v_catalog""",
+)
+def snk_01(t):
+    return tables.catalog_csv(catalog.catalog(t.cycles, t.products))
+
+
+@query(
+    "snk_08_replace_cycles",
+    """
+SELECT slug, cycle, status FROM v_cycles WHERE cast(substr(slug, 5) AS BIGINT) % 3 <> 0
+UNION ALL SELECT slug, cycle || '-new', 'ok' FROM v_cycles WHERE cast(substr(slug, 5) AS BIGINT) % 6 = 0""",
+)
+def snk_08(t):
+    # Every third product is refreshed; half of those come back without any cycle.
+    key = F.substring_index("slug", "-", -1).cast("bigint")
+    old = t.cycles.select("slug", "cycle", "status")
+    refreshed = old.where(key % 3 == 0).select("slug").distinct()
+    new = old.where(key % 6 == 0).select("slug", F.concat("cycle", F.lit("-new")).alias("cycle"), F.lit("ok").alias("status"))
+    return tables.replace_cycles(old, refreshed, new)
+
+
+view(
+    "v_upsert",
+    """
+SELECT slug, cycle, latest, status, vuln_count FROM (
+  SELECT coalesce(o.slug, n.slug) AS slug, coalesce(o.cycle, n.cycle) AS cycle,
+    CASE WHEN n.slug IS NULL THEN o.latest ELSE n.latest END AS latest,
+    CASE WHEN n.slug IS NULL THEN o.status ELSE n.status END AS status,
+    CASE WHEN n.slug IS NULL THEN o.vuln_count ELSE n.vuln_count END AS vuln_count,
+    o.latest AS old_latest, o.vuln_count AS old_count, o.slug IS NULL AS added
+  FROM v_cycles o FULL JOIN (SELECT package AS slug, installed AS cycle, any_value(latest) AS latest,
+      CASE WHEN any_value(gap) IS NULL THEN 'vigente' ELSE 'desactualizada' END AS status, any_value(vuln_count) AS vuln_count
+    FROM v_entries WHERE installed IS NOT NULL AND installed <> '' GROUP BY 1, 2) n ON o.slug = n.slug AND o.cycle = n.cycle)""",
+)
+
+
+@query("snk_07_upsert_npm", "SELECT slug, cycle, latest, status, vuln_count FROM v_upsert")
+def snk_07(t):
+    entries = t.entries.where(F.col("installed").isNotNull()).dropDuplicates(["package", "installed"])
+    items = tables.inventory_rows(entries, "npm", "2024-06-01")
+    old = t.cycles.withColumn("updated_at", F.lit("2024-01-01")).withColumn("vuln_details", F.lit("[]"))
+    merged = tables.upsert_cycles(old, items, "npm")
+    return merged.select("slug", "cycle", "latest", "status", "vuln_count")
+
+
+@query(
+    "w_13_newest_row",
+    """
+SELECT package AS slug, cycle, n AS rows, day AS updated_at FROM (SELECT 'pkg-' || l_partkey AS package, l_linenumber AS cycle,
+  count(*) AS n, max(strftime(l_shipdate, '%Y-%m-%d')) AS day FROM lineitem GROUP BY 1, 2)""",
+)
+def w_13(t):
+    rows = t.table("lineitem").select(
+        F.concat(F.lit("pkg-"), "l_partkey").alias("slug"),
+        F.col("l_linenumber").alias("cycle"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("updated_at"),
+        F.lit(1).alias("one"),
+    )
+    newest = tables.newest_row(rows, ["slug", "cycle"], "updated_at").select("slug", "cycle", "updated_at")
+    counts = rows.groupBy("slug", "cycle").agg(F.count("*").alias("rows"))
+    return newest.join(counts, ["slug", "cycle"])
+
+
+@query(
+    "snk_10_refresh_latest",
+    """
+SELECT slug, cycle, CASE WHEN contains(slug, ':') AND n.latest IS NOT NULL THEN n.latest ELSE c.latest END AS latest
+FROM (SELECT CASE WHEN cast(substr(slug, 5) AS BIGINT) % 2 = 0 THEN 'g:' || slug ELSE slug END AS slug, cycle, latest FROM v_cycles) c
+LEFT JOIN (SELECT 'g:' || package AS slug, latest FROM v_newest) n USING (slug)""",
+)
+def snk_10(t):
+    key = F.substring_index("slug", "-", -1).cast("bigint")
+    cycles = t.cycles.select(
+        F.when(key % 2 == 0, F.concat(F.lit("g:"), "slug")).otherwise(F.col("slug")).alias("slug"), "cycle", "latest"
+    ).withColumn("updated_at", F.lit("2024-01-01"))
+    newest = t.newest.select(F.lit("g").alias("group"), F.col("package").alias("artifact"), "latest")
+    return tables.refresh_latest(cycles, newest, "2024-06-01").drop("updated_at")
+
+
+@query(
+    "s_46_inventory_key",
+    """
+SELECT DISTINCT package, 'gradle-plugin:' || package AS plugin, 'android:' || package AS platform, package AS npm FROM v_deps""",
+)
+def s_46(t):
+    p = F.col("package")
+    return (
+        t.deps.select(
+            "package",
+            tables.inventory_key("plugin", p).alias("plugin"),
+            tables.inventory_key("platform", p).alias("platform"),
+            tables.inventory_key("npm", p).alias("npm"),
+        )
+        .distinct()
+    )

@@ -7,9 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..functions.advisories import shape
 from ..operators import audit
-from ..operators.catalog import newest_stable_version
+from ..operators.catalog import cycle_status, encode_flag, newest_stable_version
 from ..sources.manifests import with_declared_version
 
 
@@ -150,3 +151,73 @@ class Fixtures:
     @cached_property
     def rated(self) -> DataFrame:
         return audit.with_risk(self.entries)
+
+    # ---- catalogue
+
+    today = "1998-06-01"
+
+    @cached_property
+    def products(self) -> DataFrame:
+        """One product per part; every tenth has no display name."""
+        key = F.col("p_partkey")
+        return self.table("part").select(
+            F.concat(F.lit("pkg-"), key).alias("slug"),
+            F.col("p_type").alias("category"),
+            F.when(key % 10 == 0, "").otherwise(F.col("p_name")).alias("display_name"),
+            F.date_add(F.lit("2024-01-01").cast("date"), (key % 300).cast("int")).cast("string").alias("updated_at"),
+        )
+
+    @cached_property
+    def raw_cycles(self) -> DataFrame:
+        """Cycles with bool-or-date fields as text: one per part and line number."""
+        day = lambda c: F.date_format(c, "yyyy-MM-dd")
+        part, line = F.col("l_partkey"), F.col("l_linenumber")
+        grouped = (
+            self.table("lineitem")
+            .groupBy("l_partkey", "l_linenumber")
+            .agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"), F.count("*").alias("n"))
+        )
+        eol = (
+            F.when((part + line) % 4 == 0, "true")
+            .when((part + line) % 4 == 1, "false")
+            .when((part + line) % 4 == 2, day("first"))
+        )
+        support = F.when((part + 2 * line) % 3 == 0, "false").when((part + 2 * line) % 3 == 1, day("last"))
+        return grouped.select(
+            F.concat(F.lit("pkg-"), part).alias("slug"),
+            line.cast("string").alias("cycle"),
+            F.when(F.col("n") > 1, F.concat(line, F.lit(".0."), F.col("n"))).alias("latest"),
+            day("first").alias("release_date"),
+            support.alias("support"),
+            eol.alias("eol"),
+            F.when(line % 3 == 0, "true").otherwise("false").alias("lts"),
+        )
+
+    @cached_property
+    def cycles(self) -> DataFrame:
+        """Stored cycles: status, encoded flags and vulnerability columns."""
+        part = F.substring_index("slug", "-", -1).cast("bigint")
+        line = F.col("cycle").cast("int")
+        status = cycle_status(F.col("eol"), F.col("support"), F.lit(self.today).cast("date"))
+        kind = (part + line) % 5
+        count = F.when(kind == 0, part % 4 + 1).when(kind == 1, F.lit(0))
+        return self.raw_cycles.select(
+            "slug",
+            "cycle",
+            "latest",
+            "release_date",
+            *[encode_flag(F.col(c)).alias(c) for c in ("support", "eol", "lts")],
+            status.alias("status"),
+            F.when(kind == 0, "vulnerable").when(kind == 1, "clean").when(kind == 2, "no-map").when(kind == 3, "neterror").alias("vuln_status"),
+            count.alias("vuln_count"),
+            F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(F.lit("CVE-"), part, F.lit("-"), i)))
+            .otherwise(F.array().cast("array<string>")).alias("vuln_ids"),
+        )
+
+    @cached_property
+    def live_slugs(self) -> DataFrame:
+        """Slugs upstream knows: the declared ones whose position matches a part size, and others."""
+        names = list(dims.PRODUCT_CATEGORIES)
+        position = F.col("p_size") % 80
+        known = F.get(F.array(*[F.lit(n) for n in names]), position)
+        return self.table("part").select(F.coalesce(known, F.concat(F.lit("other-"), position)).alias("slug")).distinct()
