@@ -65,7 +65,7 @@ SELECT c.*, p.category, coalesce(nullif(p.display_name, ''), c.slug) AS name FRO
 view(
     "v_live",
     f"""
-SELECT DISTINCT coalesce(([{", ".join(repr(s) for s in dims.PRODUCT_CATEGORIES)}])[p_size % 80 + 1], 'other-' || (p_size % 80)) AS slug FROM part""",
+SELECT DISTINCT coalesce(([{", ".join(repr(s) for s in dims.PRODUCT_CATEGORIES)}])[p_partkey % 80 + 1], 'other-' || (p_partkey % 80)) AS slug FROM part""",
 )
 
 
@@ -331,14 +331,14 @@ def src_12(t):
 @query(
     "x_01_extended_dimension",
     """
-SELECT slug, category FROM (SELECT * FROM v_categories UNION ALL SELECT DISTINCT 'other-' || (p_size % 80), p_type FROM part WHERE p_partkey % 7 = 0)
+SELECT slug, category FROM (SELECT * FROM v_categories UNION ALL SELECT DISTINCT 'other-' || (p_partkey % 80), p_type FROM part WHERE p_partkey % 7 = 0)
 WHERE slug IN (SELECT slug FROM v_live)""",
 )
 def x_01(t):
     own = (
         t.table("part")
         .where(F.col("p_partkey") % 7 == 0)
-        .select(F.concat(F.lit("other-"), F.col("p_size") % 80).alias("slug"), F.col("p_type").alias("category"))
+        .select(F.concat(F.lit("other-"), F.col("p_partkey") % 80).alias("slug"), F.col("p_type").alias("category"))
         .distinct()
     )
     return catalog.live_slugs(dims.product_categories(t.spark).unionByName(own), t.live_slugs)

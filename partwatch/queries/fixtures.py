@@ -9,11 +9,43 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.advisories import shape
-from ..operators import audit
+from ..operators import audit, scan
 from ..operators.catalog import cycle_status, encode_flag, newest_stable_version
+from ..rules import RULES, rule_texts
 from ..sources.manifests import with_declared_version
 
 
+# Text put around each document so that it reads as a source file. Variant by doc_id % 5.
+SOURCE_LINES = {
+    0: ('request.getParameter("q")', "db.rawQuery(sql, null);"),
+    1: ("getIntent().getData()", "int size = 1;"),
+    2: ('"fixed"', "db.rawQuery(sql, null);"),
+    3: ("input()", "sql = clean(other);"),
+    4: ('request.getParameter("q")', "user = readLine();"),
+}
+HEAD = """class Screen{id} {
+// api_key = "abcdefghijklmnop"
+  String user = %s;
+  String sql = "SELECT * FROM t WHERE u=" + user;
+  %s
+  Runtime.getRuntime().exec(user);
+  api_key = "tok{id}aaaaaaaaaaaaaaaa"
+  see http://example{id}.org/ and http://localhost/ MD5
+  uses android.permission.{perm}
+  fun save{id}(x: Int) {
+    password = "hunter{id}2"
+    print("rut of user", sql)
+    print("run", x)
+  }
+  oauth {impl}
+"""
+TAIL = """
+  eval(user); token = "tail{id}bbbbbbbbbbbbbbbb"
+  last = "see http://localhost/"
+"""
+ENGINES = ("semgrep", "detect-secrets", "bandit", "njsscan", "gitleaks", "trivy", "retire")
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -218,6 +250,96 @@ class Fixtures:
     def live_slugs(self) -> DataFrame:
         """Slugs upstream knows: the declared ones whose position matches a part size, and others."""
         names = list(dims.PRODUCT_CATEGORIES)
-        position = F.col("p_size") % 80
+        position = (F.col("p_partkey") % 80).cast("int")
         known = F.get(F.array(*[F.lit(n) for n in names]), position)
         return self.table("part").select(F.coalesce(known, F.concat(F.lit("other-"), position)).alias("slug")).distinct()
+
+    # ---- source files
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """One source file per document, wrapped around its whole text."""
+        key = F.col("doc_id")
+        folder = (
+            F.when(F.col("lang") == "en", "app")
+            .when(F.col("lang") == "fr", "src/test")
+            .when(F.col("lang") == "de", "docs")
+            .otherwise("sample")
+        )
+        kind = key % 4
+        ext = F.when(kind == 0, ".py").when(kind == 1, ".java").when(kind == 2, ".js").otherwise(".md")
+        name = (
+            F.when(key % 97 == 0, F.concat(key, F.lit("/LICENSE")))
+            .when(key % 31 == 0, F.concat(F.lit("node_modules/x"), key, F.lit(".js")))
+            .when(key % 37 == 0, F.concat(key, F.lit("/AndroidManifest.xml")))
+            .when(key % 41 == 0, F.concat(key, F.lit("/build.gradle")))
+            .when(key % 43 == 0, F.concat(F.lit("image"), key, F.lit(".png")))
+            .otherwise(F.concat(F.lit("doc_"), key, ext))
+        )
+        fill = lambda text: F.replace(
+            F.replace(
+                F.replace(text, F.lit("{id}"), key.cast("string")),
+                F.lit("{perm}"),
+                F.when(key % 3 == 0, "CAMERA").when(key % 3 == 1, "INTERNET").otherwise("READ_SMS"),
+            ),
+            F.lit("{impl}"),
+            F.repeat(F.lit("implementation "), (key % 5).cast("int")),
+        )
+        head = None
+        for variant, lines in SOURCE_LINES.items():
+            head = (F.when if head is None else head.when)(key % 5 == variant, F.lit(HEAD % lines))
+        return self.table("documents").select(
+            F.col("source").alias("project_id"),
+            F.concat_ws("/", "source", folder, name).alias("path"),
+            F.concat(fill(head), "text", fill(F.lit(TAIL))).alias("text"),
+        )
+
+    @cached_property
+    def scanned(self) -> DataFrame:
+        return scan.scanned_files(self.files)
+
+    # ---- findings of several engines
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """Internal findings, one per event; every eighteenth has no line."""
+        e = F.col("event_id")
+        folder = F.when(e % 5 == 0, "src/test/").when(e % 5 == 1, "sample/").when(e % 5 == 2, "docs/").otherwise("app/")
+        names = F.array(*[F.lit(n) for n in ("LoginToken", "UserDao", "HttpClient", "MainActivity", "Misc")])
+        path = F.concat(folder, F.get(names, (e % 7 % 5).cast("int")), e % 60, F.lit(".kt"))
+        rule = F.get(F.array(*[F.lit(r.id) for r in RULES]), (e % 18).cast("int"))
+        base = self.table("events").select(
+            F.concat(F.lit("src"), F.col("user_id") % 20).alias("project_id"),
+            e.alias("ord"),
+            rule.alias("rule_id"),
+            path.alias("path"),
+            F.when(e % 18 != 17, (e % 40 + 1).cast("int")).alias("line"),
+            F.concat(F.lit('key = "abc'), F.hex(e), F.lit('QWERTYasdfgh0123"')).alias("evidence"),
+            F.lit("interno").alias("engine"),
+            (e % 19 == 0).alias("reachable"),
+        )
+        texts = rule_texts(self.spark)
+        return base.join(texts, "rule_id")
+
+    @cached_property
+    def external(self) -> DataFrame:
+        """Findings of other engines, copied from every third event and in part shifted."""
+        f = self.findings.where(F.col("ord") % 3 == 0)
+        e = F.col("ord")
+        return f.select(
+            "project_id",
+            "ord",
+            F.concat(F.lit("EXT-"), e % 5).alias("rule_id"),
+            "path",
+            F.when(e % 9 != 0, F.col("line") + F.when(e % 4 == 0, 1).otherwise(0)).alias("line"),
+            F.when(e % 27 == 0, F.concat(F.lit("CVE-2024-"), 1000 + e % 10)).otherwise("x").alias("evidence"),
+            F.get(F.array(*[F.lit(n) for n in ENGINES]), (e % 7).cast("int")).alias("engine"),
+            F.lit(False).alias("reachable"),
+            "title",
+            "category",
+            "severity",
+            "guide",
+            "legal",
+            F.when(e % 2 == 0, F.regexp_extract("cwe", r"CWE-\d+", 0)).otherwise("CWE-999").alias("cwe"),
+            "mitigation",
+        )

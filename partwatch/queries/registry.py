@@ -20,12 +20,12 @@ def view(name: str, sql: str) -> None:
     VIEWS[name] = sql.strip()
 
 
-def _needed(sql: str, seen: list[str]) -> None:
+def _needed(sql: str, done: list[str], open_: tuple[str, ...] = ()) -> None:
+    """Views a statement reads, dependencies first. A recursive view also names itself."""
     for name in re.findall(r"\bv_\w+", sql):
-        if name in VIEWS and name not in seen:
-            _needed(VIEWS[name], seen)
-            if name not in seen:
-                seen.append(name)
+        if name in VIEWS and name not in done and name not in open_:
+            _needed(VIEWS[name], done, (*open_, name))
+            done.append(name)
 
 
 def with_views(sql: str) -> str:
