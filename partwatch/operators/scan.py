@@ -49,18 +49,27 @@ def source_lines(files: DataFrame) -> DataFrame:
     ).select("project_id", "path", (F.col("_pos") + 1).alias("line_no"), "line")
 
 
-def _rule_hits(rule: Rule, low: Column, code: Column, limit: int) -> Column:
-    """Hits of one rule in one file, when the file holds one of its triggers at all."""
-    trigger = None
+def _holds_trigger(text: Column, rule: Rule) -> Column | None:
+    """Plain substring test that every match of the rule passes; null when the rule names no trigger."""
+    test = None
     for word in rule.triggers:
-        trigger = low.contains(word) if trigger is None else trigger | low.contains(word)
-    matches = F.filter(code, lambda c: c["line"].rlike("(?iU)" + rule.pattern))
+        test = text.contains(word) if test is None else test | text.contains(word)
+    return test
+
+
+def _rule_hits(rule: Rule, low: Column, code: Column, limit: int) -> Column:
+    """Hits of one rule in one file. The file, then the line, must hold a trigger before the pattern is tried."""
+
+    def matches(c: Column) -> Column:
+        found = c["line"].rlike("(?iU)" + rule.pattern)
+        return _holds_trigger(c["low"], rule) & found if rule.triggers else found
+
     hits = F.transform(
-        F.slice(matches, 1, 1 if rule.severity == "info" else limit),
+        F.slice(F.filter(code, matches), 1, 1 if rule.severity == "info" else limit),
         lambda c: F.struct(F.lit(rule.id).alias("rule_id"), c["i"].alias("i"), c["line"].alias("line")),
     )
     nothing = F.array().cast("array<struct<rule_id:string,i:int,line:string>>")
-    return F.coalesce(F.when(trigger, hits) if rule.triggers else hits, nothing)
+    return F.coalesce(F.when(_holds_trigger(low, rule), hits) if rule.triggers else hits, nothing)
 
 
 def file_hits(text: Column, rules: tuple[Rule, ...] = RULES, limit: int = MAX_PER_RULE) -> Column:
@@ -80,7 +89,7 @@ def file_hits(text: Column, rules: tuple[Rule, ...] = RULES, limit: int = MAX_PE
         )
 
     def in_file(low: Column, lines: Column) -> Column:
-        numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line")))
+        numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.lower(line).alias("low")))
         code = F.filter(numbered, lambda c: st.is_code_line(c["line"]))
         return let(code, lambda c: with_context(lines, F.concat(*[_rule_hits(r, low, c, limit) for r in patterned])))
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import source_text as st
 from ..functions.common import let, lookup, split_lines
-from ..plans.skew import lookup_join
 
 # Sources, sinks and their labels, patterns, severity and controls of a flow.
 SOURCES = (
@@ -185,7 +184,8 @@ def first_flow(flows: DataFrame) -> DataFrame:
 def attach_flows(findings: DataFrame, flows: DataFrame) -> DataFrame:
     """J-18: mark findings that lie on a reached sink."""
     first = first_flow(flows)
-    joined = lookup_join(findings, first, ["project_id", "path", "line"], ["project_id", "path", "rule_id"])
+    # A line holds few findings, so this key has no hot values.
+    joined = findings.join(first, ["project_id", "path", "line"], "left").select(*findings.columns, "flow")
     return joined.withColumn("reachable", F.col("flow").isNotNull())
 
 

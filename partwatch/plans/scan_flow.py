@@ -20,7 +20,7 @@ def scan_projects(files: DataFrame, rules: tuple[Rule, ...] = RULES, external: D
             "path",
             scan.file_hits(F.col("text"), rules).alias("hits"),
             taint.file_flows(F.col("path"), F.col("text")).alias("flows"),
-        ).where((F.size("hits") > 0) | (F.size("flows") > 0))
+        )
     )
     found = scan.explode_hits(analysed, rules).unionByName(scan.missing_license(files, rules))
     if external is not None:
