@@ -314,7 +314,9 @@ class Fixtures:
             rule.alias("rule_id"),
             path.alias("path"),
             F.when(e % 18 != 17, (e % 40 + 1).cast("int")).alias("line"),
-            F.concat(F.lit('key = "abc'), F.hex(e), F.lit('QWERTYasdfgh0123"')).alias("evidence"),
+            F.when(e % 2 == 0, F.concat(F.lit('key = "abc'), F.hex(e), F.lit('QWERTYasdfgh0123"')))
+            .otherwise(F.concat(F.lit("key = abc"), F.hex(e), F.lit("QWERTYasdfgh0123")))
+            .alias("evidence"),
             F.lit("interno").alias("engine"),
             (e % 19 == 0).alias("reachable"),
         )

@@ -493,7 +493,8 @@ SELECT f.*, r.title, r.category, r.severity, r.cwe, r.guide, r.mitigation FROM (
   CASE event_id % 5 WHEN 0 THEN 'src/test/' WHEN 1 THEN 'sample/' WHEN 2 THEN 'docs/' ELSE 'app/' END
     || (['LoginToken', 'UserDao', 'HttpClient', 'MainActivity', 'Misc'])[event_id % 7 % 5 + 1] || (event_id % 60) || '.kt' AS path,
   CASE WHEN event_id % 18 <> 17 THEN event_id % 40 + 1 END AS line,
-  'key = "abc' || printf('%X', event_id) || 'QWERTYasdfgh0123"' AS evidence, event_id % 19 = 0 AS reachable FROM events) f
+  CASE WHEN event_id % 2 = 0 THEN 'key = "abc' || printf('%X', event_id) || 'QWERTYasdfgh0123"'
+    ELSE 'key = abc' || printf('%X', event_id) || 'QWERTYasdfgh0123' END AS evidence, event_id % 19 = 0 AS reachable FROM events) f
 JOIN v_rules r USING (rule_id)""",
 )
 view(
