@@ -65,16 +65,15 @@ SELECT event_id, 'OSV-' || event_id AS osv_id, 'pkg-' || (event_id % 2000) AS pa
   CASE event_id % 4 WHEN 0 THEN cast(cast(floor(value / 49) AS INT) AS VARCHAR) WHEN 1 THEN 'HIGH'
     WHEN 2 THEN 'CVSS:3.1/AV:N/AC:L' END AS severity,
   CASE WHEN event_id % 40 = 0 THEN 'malware in pkg-' || (event_id % 2000) ELSE 'issue ' || event_id END AS summary,
-  'details of ' || event_id AS details, strftime(ts, '%Y-%m-%d') AS published,
-  event_id % 11 <> 0 AS has_detail
+  'details of ' || event_id AS details, strftime(ts, '%Y-%m-%d') AS published
 FROM events WHERE event_type = 'error'""",
 )
 view(
     "v_details",
     """
-SELECT osv_id, coalesce(cve, osv_id) AS id, severity, summary, details, published,
+SELECT event_id, osv_id, coalesce(cve, osv_id) AS id, severity, summary, details, published,
   CASE WHEN cve IS NULL THEN '' ELSE 'GHSA-' || event_id || ',' || cve END AS aliases
-FROM v_advisories WHERE has_detail""",
+FROM (SELECT * REPLACE (CASE WHEN event_id % 11 = 0 THEN 'GONE-' || event_id ELSE osv_id END AS osv_id) FROM v_advisories)""",
 )
 view(
     "v_listed",
@@ -364,9 +363,8 @@ def s_11(t):
 @query(
     "s_12_advisory_shape",
     """
-SELECT a.osv_id, d.id, d.aliases, d.summary, d.details, d.severity,
-  array_to_string([concat('https://ref/', a.event_id, '/', i) FOR i IN [1, 3, 4, 5]], ' ') AS refs
-FROM v_advisories a JOIN v_details d ON d.osv_id = a.osv_id""",
+SELECT osv_id, id, aliases, summary, details, severity,
+  array_to_string([concat('https://ref/', event_id, '/', i) FOR i IN [1, 3, 4, 5]], ' ') AS refs FROM v_details""",
 )
 def s_12(t):
     return t.details.select(

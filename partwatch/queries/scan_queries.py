@@ -504,7 +504,7 @@ SELECT project_id, ord, 'EXT-' || (ord % 5) AS rule_id, path, CASE WHEN ord % 9
   CASE WHEN ord % 27 = 0 THEN 'CVE-2024-' || (1000 + ord % 10) ELSE 'x' END AS evidence,
   ([{", ".join(f"'{e}'" for e in ENGINES)}])[ord % 7 + 1] AS engine, category,
   CASE WHEN ord % 2 = 0 THEN regexp_extract(cwe, 'CWE-\\d+') ELSE 'CWE-999' END AS cwe
-FROM v_findings WHERE ord % 3 = 0""",
+FROM v_findings""",
 )
 KEY = """concat(path, '|', coalesce(cast(line AS VARCHAR), 'none'), '|', CASE WHEN line IS NOT NULL THEN coalesce(nullif(regexp_extract(coalesce(cwe, ''), 'CWE-\\d+'), ''), category)
   ELSE coalesce(nullif(regexp_extract(concat_ws(' ', rule_id, evidence), 'CVE-\\d{4}-\\d+'), ''), rule_id) END)"""
