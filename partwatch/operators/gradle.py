@@ -25,7 +25,8 @@ NAMED = (
     r"""(?:\s*,\s*version\s*[:=]\s*["']([\w.\-]+)["'])?"""
 )
 ALIAS = CONFIGURATION + r"""\s*\(\s*(?:platform\s*\(\s*)?libs\.([\w.]+)"""
-VARIABLE = r"""(?:val|def|var)?\s*([A-Za-z_][\w]*)\s*=\s*["']([\w.\-]+)["']"""
+# No blanks after the keyword here: a name after blanks is found by a match that starts at the name itself.
+VARIABLE = r"""(?:val|def|var)?([A-Za-z_]\w*)\s*=\s*["']([\w.\-]+)["']"""
 INTERPOLATION = r"\$\{?([\w.]+)\}?"
 TOML_VERSION = r"""^\s*([\w\-]+)\s*=\s*["']([\w.\-]+)["']"""
 PLUGIN_ID = r"""id\s*\(\s*["']([\w.\-]+)["']\s*\)\s*version\s*["']([\w.\-]+)["']"""
@@ -155,7 +156,7 @@ def _declarations(raw: Column, pattern: str, groups: int, build) -> Column:
     arrays = _groups(raw, around, *range(1, groups + 3))
     names = ["before", "after", *[f"g{i}" for i in range(1, groups + 1)]]
     zipped = F.arrays_zip(*[a.alias(n) for a, n in zip(arrays, names)])
-    return F.transform(zipped, lambda z: build([z[str(i)] for i in range(2, groups + 2)], _section(z["0"], z["1"])))
+    return F.transform(zipped, lambda z: build([z[n] for n in names[2:]], _section(z["before"], z["after"])))
 
 
 def _dependency(group, artifact, version, section, interpolated, key=None, coordinate=None) -> Column:

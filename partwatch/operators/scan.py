@@ -96,9 +96,9 @@ def file_hits(text: Column, rules: tuple[Rule, ...] = RULES, limit: int = MAX_PE
     return let(F.lower(text), lambda low: let(split_lines(text), lambda lines: in_file(low, lines)))
 
 
-def explode_hits(analysed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``analysed(project_id, path, hits)`` to findings with the texts of their rules."""
-    found = analysed.select("project_id", "path", F.explode("hits").alias("h")).select("project_id", "path", "h.*")
+def explode_hits(analysed: DataFrame, rules: tuple[Rule, ...] = RULES, hits: Column | str = "hits") -> DataFrame:
+    """Files with their hits to findings with the texts of their rules."""
+    found = analysed.select("project_id", "path", F.explode(hits).alias("h")).select("project_id", "path", "h.*")
     return found.join(rule_texts(analysed.sparkSession, rules), "rule_id").select(
         "project_id",
         "rule_id",
@@ -123,8 +123,8 @@ def explode_hits(analysed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
 
 def scan_files(files: DataFrame, rules: tuple[Rule, ...] = RULES, limit: int = MAX_PER_RULE) -> DataFrame:
     """J-13 with W-01..W-04 and S-23: findings of every line rule, with context."""
-    hits = file_hits(F.col("text"), rules, limit)
-    return explode_hits(files.select("project_id", "path", hits.alias("hits")), rules)
+    # Exploded as an expression: as a named column it would also be computed in an inferred filter.
+    return explode_hits(files, rules, file_hits(F.col("text"), rules, limit))
 
 
 def language_rule_matches(files: DataFrame) -> DataFrame:

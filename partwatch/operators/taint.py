@@ -162,13 +162,13 @@ def file_flows(path: Column, text: Column) -> Column:
     return F.when(st.extension(path).isin(*st.CODE_EXTENSIONS), let(split_lines(text), in_lines))
 
 
-def explode_flows(analysed: DataFrame) -> DataFrame:
-    return analysed.select("project_id", "path", F.explode("flows").alias("f")).select("project_id", "path", "f.*")
+def explode_flows(analysed: DataFrame, flows: Column | str = "flows") -> DataFrame:
+    return analysed.select("project_id", "path", F.explode(flows).alias("f")).select("project_id", "path", "f.*")
 
 
 def flow_paths(files: DataFrame) -> DataFrame:
     """Flow paths of every code file, one row each; ``kind`` is the position of the sink in ``SINKS``."""
-    return explode_flows(files.select("project_id", "path", file_flows(F.col("path"), F.col("text")).alias("flows")))
+    return explode_flows(files, file_flows(F.col("path"), F.col("text")))
 
 
 def first_flow(flows: DataFrame) -> DataFrame:
