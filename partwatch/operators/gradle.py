@@ -138,25 +138,39 @@ def normal_alias(alias: Column) -> Column:
     return F.lower(F.translate(alias, "-_", ".."))
 
 
-def _section(before: Column, after: Column) -> Column:
+def _section(raw: Column, start: Column) -> Column:
     """S-40: guess from 120 characters before a declaration and 60 from its start."""
-    seg = F.lower(F.concat(before, after))
-    return (
-        F.when(seg.contains("testimplementation") | seg.contains("androidtest"), "test")
-        .when(seg.contains("classpath"), "build")
-        .otherwise("producción")
+    before = F.least(start, F.lit(120))
+    seg = F.lower(F.substring(raw, start - before + 1, before + 60))
+    return let(
+        seg,
+        lambda t: F.when(t.contains("testimplementation") | t.contains("androidtest"), "test")
+        .when(t.contains("classpath"), "build")
+        .otherwise("producción"),
+    )
+
+
+def _starts(raw: Column, pattern: str) -> Column:
+    """Start of every match, from the lengths of the matches and of the text between them."""
+    matches = F.regexp_extract_all(raw, F.lit(pattern), F.lit(0))
+    between = F.split(raw, pattern)
+    lengths = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda acc, x: F.struct(
+        (acc["at"] + x["b"] + F.coalesce(x["m"], F.lit(0))).alias("at"),
+        F.concat(acc["starts"], F.array(acc["at"] + x["b"])).alias("starts"),
     )
+    # The text after the last match is no start.
+    return F.aggregate(lengths, empty, step, lambda acc: F.slice(acc["starts"], 1, F.size(acc["starts"]) - 1))
 
 
 def _declarations(raw: Column, pattern: str, groups: int, build) -> Column:
-    """All matches of a declaration shape with the text around their start, as ``build(groups, section)``."""
-    # The start of a match is looked at once its own pattern is known to begin there.
-    head = pattern.split(r"\s", 1)[0]
-    around = rf"(?is)(?={head})(?<=(\A.{{0,119}}|.{{120}}))(?=(.{{0,60}})){pattern}"
-    arrays = _groups(raw, around, *range(1, groups + 3))
-    names = ["before", "after", *[f"g{i}" for i in range(1, groups + 1)]]
+    """All matches of a declaration shape, as ``build(groups, section)``."""
+    insensitive = "(?i)" + pattern
+    arrays = [_starts(raw, insensitive), *_groups(raw, insensitive, *range(1, groups + 1))]
+    names = ["start", *[f"g{i}" for i in range(1, groups + 1)]]
     zipped = F.arrays_zip(*[a.alias(n) for a, n in zip(arrays, names)])
-    return F.transform(zipped, lambda z: build([z[n] for n in names[2:]], _section(z["before"], z["after"])))
+    return F.transform(zipped, lambda z: build([z[n] for n in names[1:]], _section(raw, z["start"])))
 
 
 def _dependency(group, artifact, version, section, interpolated, key=None, coordinate=None) -> Column:
