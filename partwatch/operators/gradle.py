@@ -402,13 +402,9 @@ def plugin_entries(found: DataFrame) -> DataFrame:
     )
 
 
-def split_sections(entries: DataFrame) -> dict[str, DataFrame]:
-    """F-09."""
-    return {
-        "platform": entries.where(F.col("section") == "plataforma"),
-        "plugin": entries.where(F.col("section") == "plugin"),
-        "dependency": entries.where(~F.col("section").isin("plataforma", "plugin")),
-    }
+def section_kind(section: Column) -> Column:
+    """F-09: platform, plugin or dependency."""
+    return F.when(section == "plataforma", "platform").when(section == "plugin", "plugin").otherwise("dependency")
 
 
 def audit_gradle(manifests: DataFrame, newest: DataFrame, by_version: DataFrame) -> DataFrame:

@@ -348,11 +348,7 @@ SELECT 'platform' AS kind, (SELECT count(*) FROM v_sdk) + (SELECT count(*) FROM
 UNION ALL SELECT 'dependency', count(*) FROM v_coordinates""",
 )
 def f_09(t):
-    from functools import reduce
-
-    parts = gradle.split_sections(entries(t))
-    counted = [df.select(F.lit(kind).alias("kind")) for kind, df in parts.items()]
-    return reduce(lambda a, b: a.unionByName(b), counted).groupBy("kind").agg(F.count("*").alias("entries"))
+    return entries(t).groupBy(gradle.section_kind(F.col("section")).alias("kind")).agg(F.count("*").alias("entries"))
 
 
 @query(
@@ -365,10 +361,7 @@ FROM (SELECT project_id, count(*) AS total, count(gap) AS outdated, count_if(gap
   FROM (SELECT * REPLACE (CASE WHEN package = 'com.squareup.okhttp3:okhttp' THEN n ELSE 0 END AS n) FROM v_gradle_deps) GROUP BY 1) d JOIN v_m ON k = d.project_id""",
 )
 def a_02(t):
-    from ..functions.common import let  # noqa: F401
-
-    rows = audit.gradle_summary(entries(t))
-    return rows.withColumn("compliance_flags", F.lit(0).cast("bigint")).withColumn("compliance_critico", F.lit(0).cast("bigint"))
+    return audit.gradle_summary(entries(t))
 
 
 @query(
