@@ -75,7 +75,8 @@ def manifests(t):
             out = F.replace(out, F.lit(mark), value)
         return out
 
-    return t.table("orders").select(
+    # Keys are spread before the texts are built from them: parsing is heavy, the keys are light.
+    return t.table("orders").select("o_orderkey").repartition("o_orderkey").select(
         k.alias("project_id"),
         fill(CONTENT).alias("content"),
         F.when(k % 3 != 0, fill(TOML)).alias("toml"),
