@@ -76,7 +76,7 @@ def manifests(t):
         return out
 
     # Keys are spread before the texts are built from them: parsing is heavy, the keys are light.
-    return t.table("orders").select("o_orderkey").repartition("o_orderkey").select(
+    return t.table("orders").select("o_orderkey").repartition(t.spark.sparkContext.defaultParallelism, "o_orderkey").select(
         k.alias("project_id"),
         fill(CONTENT).alias("content"),
         F.when(k % 3 != 0, fill(TOML)).alias("toml"),
