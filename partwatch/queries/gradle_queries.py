@@ -321,14 +321,21 @@ view(
 SELECT (['com.squareup.okhttp3:okhttp', 'androidx.core:core-ktx', 'androidx.room:compiler', 'junit:junit'])[p_partkey % 4 + 1] AS package,
   4 AS a, 2 AS b, max(p_size) AS c FROM part GROUP BY 1""",
 )
+# Advisories per okhttp version; a version is malicious when one of its first eight says so.
+view(
+    "v_okhttp",
+    """
+SELECT 'com.squareup.okhttp3:okhttp' AS package, '4.' || (1 + event_id % 3) || '.0' AS version, count(*) AS n,
+  bool_or(pos <= 8 AND event_id % 11 <> 0 AND contains(summary, 'malware')) AS bad
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 3 ORDER BY osv_id) AS pos FROM v_advisories) GROUP BY 1, 2""",
+)
 view(
     "v_gradle_deps",
     """
-SELECT d.*, n.package IS NOT NULL AS found,
-  CASE WHEN v[1] < a THEN 'major' WHEN v[1] = a AND v[2] < b THEN 'minor' WHEN v[1] = a AND v[2] = b AND v[3] < c THEN 'patch' END AS gap,
-  CASE WHEN d.package = 'com.squareup.okhttp3:okhttp' THEN (SELECT count(*) FROM v_advisories x WHERE '4.' || (1 + x.event_id % 3) || '.0' = d.version) ELSE 0 END AS n
+SELECT d.*, n.package IS NOT NULL AS found, coalesce(o.n, 0) AS n, coalesce(o.bad, false) AS bad,
+  CASE WHEN v[1] < a THEN 'major' WHEN v[1] = a AND v[2] < b THEN 'minor' WHEN v[1] = a AND v[2] = b AND v[3] < c THEN 'patch' END AS gap
 FROM (SELECT *, list_transform(range(1, 4), lambda i: coalesce(try_cast(string_split(version, '.')[i] AS INT), 0)) AS v FROM v_coordinates) d
-LEFT JOIN v_newest_artifact n USING (package)""",
+LEFT JOIN v_newest_artifact n USING (package) LEFT JOIN v_okhttp o ON o.package = d.package AND o.version = d.version""",
 )
 
 
@@ -358,8 +365,8 @@ def f_09(t):
 SELECT d.*, 3 + CASE WHEN wrap THEN 2 ELSE 1 END AS platform_items,
   (SELECT count(*) FROM v_sdk s WHERE s.project_id = d.project_id AND platform_level IN ('alto', 'medio')) + 1 AS platform_alerts, 4 AS plugin_items
 FROM (SELECT project_id, count(*) AS total, count(gap) AS outdated, count_if(gap = 'major') AS major_behind, count_if(n > 0) AS vulnerable, 0 AS neterror,
-  count_if(NOT found OR package IN ('x.y:missing', 'libs.absent.one')) AS unresolved, 0 AS compliance_flags, 0 AS compliance_critico, 0 AS compliance_alto
-  FROM (SELECT * REPLACE (CASE WHEN package = 'com.squareup.okhttp3:okhttp' THEN n ELSE 0 END AS n) FROM v_gradle_deps) GROUP BY 1) d JOIN v_m ON k = d.project_id""",
+  count_if(NOT found OR package IN ('x.y:missing', 'libs.absent.one')) AS unresolved, count_if(bad) AS compliance_flags, count_if(bad) AS compliance_critico, 0 AS compliance_alto
+  FROM v_gradle_deps GROUP BY 1) d JOIN v_m ON k = d.project_id""",
 )
 def a_02(t):
     return audit.gradle_summary(entries(t))
