@@ -28,12 +28,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucket_number(docs: DataFrame, n_buckets: int | None) -> int:
+    """Buckets unless told: one per shuffle partition. There is a row per block and bucket, so both stay near that number."""
+    return n_buckets or partitions(docs.sparkSession)
+
+
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = (), n_blocks: int | None = None) -> DataFrame:
     """Rows with their block, and a key by which every task puts a block's rows in one order.
 
     Columns: ``_block``, ``_key``, ``_id``, ``_text`` and the carried ones under ``_c0``, ``_c1``, ...
     """
-    n = n_blocks or 4 * partitions(docs.sparkSession)
+    n = n_blocks or 2 * partitions(docs.sparkSession)
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     return docs.select(
         F.pmod(key, F.lit(n)).cast("int").alias("_block"),

@@ -49,8 +49,7 @@ def without_repeats(
     repeated whole, or share an id, are rows of their own and remove each other's windows; an empty table gives no rows;
     columns that are not carried are ignored.
     """
-    spark = docs.sparkSession
-    n_buckets = n_buckets or 2 * exchange.partitions(spark)
+    n_buckets = exchange.bucket_number(docs, n_buckets)
     results = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
