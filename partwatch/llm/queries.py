@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licences, suffixes
+from .fm_index import find_contamination
+from .licences import scan_licences
 from .repeats import without_repeats
+from .signature_tree import jaccard_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +30,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=35)
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "n_spans")
+
+
+@query
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75)
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = find_contamination(docs, table(spark, sf_dir, "benchmark"), width=13)
+    digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    n_items = F.size("items").cast("long").alias("n_items")
+    return rows.select("doc_id", "n_words", "n_hit", n_items, digest.alias("items_sha256"), "contaminated")
+
+
+@query
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("sentence_ids", "matches", "licences")]
+    return rows.select("doc_id", *joined, F.size("licences").cast("long").alias("n_licences"))
+
+
+ORACLES["op9_license_scans"] = licences.oracle()
