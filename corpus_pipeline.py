@@ -1,8 +1,78 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: five stages, each on all rows that the one before kept.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partwatch.llm import language, pieces
+from partwatch.llm.fm_index import find_contamination
+from partwatch.llm.graph import durable, written
+from partwatch.llm.queries import PIECE_MODEL, remainder, table
+from partwatch.llm.repeats import without_repeats
+from partwatch.llm.signature_tree import jaccard_groups
+
+# Fewer ids than this (8 bytes each) are broadcast to take documents out; more are joined.
+BROADCAST_IDS = 1_000_000
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from two thirds of the documents with a language; documents without a determined language go.
+
+    That is: a null or empty text, one without a letter, or a posterior of less than one half.
+    """
+    model = language.train(docs.where(remainder("doc_id", 3) != 1))
+    rows = language.identify(docs.select("*", F.struct("*").alias("__row")), model)
+    return rows.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= 0.5)).select("__row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.75 of five-word shingles, the document with the smallest id stays."""
+    groups = jaccard_groups(docs.select("doc_id", "text"), k=5, percent=75)
+    gone = durable(groups.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words covered by a window of 35 words that also starts elsewhere leave the text; all documents stay."""
+    rows = without_repeats(docs, width=35, carry=docs.columns)
+    text = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.withColumns(text).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words or more lie in benchmark windows of 13 words go."""
+    rows = find_contamination(docs.select("*", F.struct("*").alias("__row")), table(spark, sf_dir, "benchmark"), width=13)
+    return rows.where("NOT contaminated").select("__row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their whole texts, their number, and whether decoding gives the text back."""
+    model = pieces.Pieces(PIECE_MODEL)
+    rows = pieces.decode(pieces.encode(docs, model), model)
+    return rows.select(*docs.columns, "ids", F.size("ids").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("substring_dedup", remove_repeats),
+    ("benchmark_decontamination", decontaminate),
+    ("sentencepiece", encode),
+]
+
+# Language models and piece scores are beyond SQL; tests/llm compares the stages with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order. What a stage keeps is written to the shared folder, so that a lost executor repeats one stage at most."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named in ``spark.checkpoint.dir``; one of its own is set only where that is unset."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``; one of its own only where that is unset."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: for wide rows, of which later steps read some columns."""
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _lowest(edges: DataFrame, own: bool) -> DataFrame:
     """Each edge's start with the lowest node among its ends (and itself, if ``own``)."""
     low = F.min("v")

@@ -10,7 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licence texts and notices.
+# Sentences of public licence texts and notices. A sentence ends where a text's mark is, so what follows a colon belongs to it,
+# and the number of a first list item ends it.
 SENTENCES = {
     "MIT-NOTICE": "Released under the MIT License.",
     "MIT-NOTICE-2": "Licensed under the MIT License.",
@@ -21,11 +22,8 @@ SENTENCES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
         "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-        "persons to whom the Software is furnished to do so, subject to the following conditions:"
-    ),
-    "MIT-KEEP": (
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
-        "Software."
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
     "MIT-WARRANTY": (
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
@@ -38,9 +36,8 @@ SENTENCES = {
     ),
     "APACHE-NOTICE": "Licensed under the Apache License, Version 2.0.",
     "APACHE-HEAD": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "APACHE-COPY": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "APACHE-BASIS": (
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
     "APACHE-SEE": "See the License for the specific language governing permissions and limitations under the License.",
@@ -61,7 +58,12 @@ SENTENCES = {
     "GPL-SEE": "See the GNU General Public License for more details.",
     "BSD-GRANT": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met:"
+        "following conditions are met: 1."
+    ),
+    "BSD-GRANT-SOURCE": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions "
+        "and the following disclaimer."
     ),
     "BSD-SOURCE": (
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
@@ -79,7 +81,7 @@ SENTENCES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
-    "MPL-HEAD": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-HEAD": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "UNLICENSE": "This is free and unencumbered software released into the public domain.",
     "CC-BY-4": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4": "Licensed under CC BY-SA 4.0.",
@@ -90,12 +92,14 @@ SENTENCES = {
 
 # Rules in order: the first that matches takes its sentences away from later ones.
 RULES = (
-    ("MIT", "text", ("MIT-GRANT", "MIT-KEEP", "MIT-WARRANTY", "MIT-LIABILITY")),
-    ("Apache-2.0", "header", ("APACHE-HEAD", "APACHE-COPY", "APACHE-BASIS", "APACHE-SEE")),
+    ("MIT", "text", ("MIT-GRANT", "MIT-WARRANTY", "MIT-LIABILITY")),
+    ("Apache-2.0", "header", ("APACHE-HEAD", "APACHE-BASIS", "APACHE-SEE")),
     ("GPL-3.0-or-later", "header", ("GPL3-LATER", "GPL-HOPE", "GPL-SEE")),
     ("GPL-2.0-or-later", "header", ("GPL2-LATER", "GPL-HOPE", "GPL-SEE")),
     ("BSD-3-Clause", "text", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NAMES")),
+    ("BSD-3-Clause", "text", ("BSD-GRANT-SOURCE", "BSD-BINARY", "BSD-NAMES")),
     ("BSD-2-Clause", "text", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY")),
+    ("BSD-2-Clause", "text", ("BSD-GRANT-SOURCE", "BSD-BINARY")),
     ("MIT", "grant", ("MIT-GRANT",)),
     ("MIT", "notice", ("MIT-NOTICE",)),
     ("MIT", "notice", ("MIT-NOTICE-2",)),
@@ -124,6 +128,8 @@ OTHER = r"[^a-z0-9.!?\n]+"
 # A sentence ends at its marks before white space, and in line form also at every line break.
 LINE_END = r"[.!?]* ?\n[ \n]*|[.!?]+ |[.!?]+$"
 FLOW_END = r"[.!?]+ |[.!?]+$"
+# In flow form an empty line ends a sentence and another line break is a space.
+EMPTY_LINE, LINE_BREAK = r"\n *\n[\n ]*", r" *\n *"
 
 
 def normal(sentence: str) -> str:
@@ -162,7 +168,8 @@ def scan_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     the distinct licences, sorted. A null or empty text has none. Rows are independent of each other.
     """
     plain = F.regexp_replace(F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), UPPER, LOWER), OTHER, " ")
-    rows = docs.select("*", _identifiers(plain, LINE_END).alias("__lines"), _identifiers(F.translate(plain, "\n", " "), FLOW_END).alias("__flow"))
+    flow = F.regexp_replace(F.regexp_replace(plain, EMPTY_LINE, ". "), LINE_BREAK, " ")
+    rows = docs.select("*", _identifiers(plain, LINE_END).alias("__lines"), _identifiers(flow, FLOW_END).alias("__flow"))
     rows = rows.withColumns({"__of_lines": _found("__lines"), "__of_flow": _found("__flow")})
     matches = F.array_union("__of_lines", "__of_flow")
     return rows.withColumns(
@@ -198,11 +205,12 @@ def oracle() -> str:
         return f"' ' || array_to_string({source}, '  ') || ' '"
 
     plain = f"regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9.!?\\n]+', ' ', 'g')"
+    flow = f"regexp_replace(regexp_replace(t, '{EMPTY_LINE}', '. ', 'g'), '{LINE_BREAK}', ' ', 'g')"
     ctes = [f"plain AS (SELECT doc_id, {plain} AS t, {names} AS names FROM documents)"]
     ctes.append(
         "r0 AS (SELECT doc_id, lines, flow, CAST([] AS VARCHAR[]) AS fl, CAST([] AS VARCHAR[]) AS ff, "
         f"{steps('lines')} AS a, {steps('flow')} AS b FROM (SELECT doc_id, {identifiers('t', LINE_END)} AS lines, "
-        f"{identifiers(chr(32).join(('replace(t,', 'chr(10),', _quoted(' ') + ')')), FLOW_END)} AS flow FROM plain))"
+        f"{identifiers(flow, FLOW_END)} AS flow FROM plain))"
     )
     for k, (licence, kind, ids) in enumerate(RULES):
         pattern, label = _quoted(" " + "  ".join(ids) + " "), _quoted(f"{licence}/{kind}")

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, suffixes
+from . import language, licences, pieces, quality, suffixes
+from .cells import near_groups
 from .fm_index import find_contamination
 from .licences import scan_licences
 from .repeats import without_repeats
 from .signature_tree import jaccard_groups
+from .site_templates import extract_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +63,45 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_license_scans"] = licences.oracle()
+
+
+def remainder(id_col: str, n: int):
+    return F.crc32(F.col(id_col).cast("string")) % n
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    weights = quality.train(quality.labelled_sample(docs, labels, max_rows=20_000))
+    rows = quality.score(docs, weights)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(remainder("doc_id", 3) != 1))
+    rows = language.identify(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "embeddings"), threshold=0.98).withColumnRenamed("id", "vec_id")
+
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.Pieces(PIECE_MODEL)
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.col("text")).alias("exact"))
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))

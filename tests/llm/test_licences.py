@@ -15,9 +15,9 @@ def test_query_equals_sql(spark):
 def test_rules(spark):
     s = licences.SENTENCES
     mit = "Copyright (c) 2024 Some One\n\n" + "\n".join(s[k] for k in licences.RULES[0][2]).replace(" of ", "\nof ")
-    bsd = "  ".join(s[k] for k in ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY"))
+    bsd = f"{s['BSD-GRANT']} {s['BSD-SOURCE']}\n2. {s['BSD-BINARY']}"
     texts = [
-        (1, mit), (2, bsd), (3, bsd + " " + s["BSD-NAMES"]), (4, "a line without a mark\nReleased under the MIT License.\nMore"), (5, None), (6, ""),
+        (1, mit), (2, bsd), (3, f"{s['BSD-GRANT-SOURCE']} {s['BSD-BINARY']} {s['BSD-NAMES']}"), (4, "a line without a mark\nReleased under the MIT License.\nMore"), (5, None), (6, ""),
         (7, "We wrote: Licensed under CC BY-NC 4.0. " * 2 + "Licensed under CC BY-NC 4.0. End"), (8, "Not released under the MIT license terms."), (9, "x" * 2_000_000),
     ]
     rows = licences.scan_licences(spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, licences string"))
