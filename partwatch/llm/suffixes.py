@@ -222,9 +222,10 @@ def without_repeats(
         columns = [block.table["_id"], np.diff(block.offsets), np.diff(removed), np.diff(spans), pa.array(kept, pa.binary()), pa.array(digests, pa.string())]
         return pa.table(columns, names=schema.names)
 
-    sampled = exchange.repeated(exchange.send(blocks, sample_keys, n_buckets), 1)
+    # Later rounds read the replies of earlier ones. Dealt out once, they are reused and not counted again.
+    sampled = exchange.repeated(exchange.send(blocks, sample_keys, n_buckets), 1).repartition("_block")
     ties = by_block.cogroup(sampled.groupBy("_block")).applyInArrow(send_ties, exchange.MESSAGE)
-    ranked = sampled.unionAll(ties.groupBy("_bucket").applyInArrow(rank_ties, exchange.REPLY))
+    ranked = sampled.unionAll(ties.groupBy("_bucket").applyInArrow(rank_ties, exchange.REPLY).repartition("_block"))
     suffixes = by_block.cogroup(ranked.groupBy("_block")).applyInArrow(send_suffixes, exchange.MESSAGE)
     sorted_ = ranked.unionAll(exchange.repeated(suffixes, 3))
     return by_block.cogroup(sorted_.groupBy("_block")).applyInArrow(remove, schema)
