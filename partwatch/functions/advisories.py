@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .common import let
 
 # Fixed values.
-BAND_RANK = {"crítica": 4, "alta": 3, "media": 2, "baja": 1}
 MALWARE_PHRASES = (
     "malicious package",
     "malware",
@@ -72,7 +71,7 @@ def preferred_id(osv_id: Column, aliases: Column) -> Column:
 
 
 def shape(osv_id, aliases, severities, references, summary, details, published, modified) -> Column:
-    """Compact detail of an advisory; references are cut to five before empty urls are dropped."""
+    """Compact detail of an advisory, with its whole texts; references are cut to five before empty urls are dropped."""
     scores = F.filter(F.transform(severities, lambda s: s["score"]), lambda s: s != "")
     urls = F.filter(
         F.transform(F.slice(references, 1, 5), lambda r: r["url"]), lambda u: u != ""
@@ -81,8 +80,8 @@ def shape(osv_id, aliases, severities, references, summary, details, published,
         preferred_id(osv_id, aliases).alias("id"),
         osv_id.alias("osv_id"),
         F.coalesce(aliases, F.array().cast("array<string>")).alias("aliases"),
-        F.left(F.coalesce(summary, F.lit("")), F.lit(300)).alias("summary"),
-        F.left(F.coalesce(details, F.lit("")), F.lit(1000)).alias("details"),
+        F.coalesce(summary, F.lit("")).alias("summary"),
+        F.coalesce(details, F.lit("")).alias("details"),
         F.get(scores, F.lit(0)).alias("severity"),
         published.alias("published"),
         modified.alias("modified"),
@@ -90,6 +89,11 @@ def shape(osv_id, aliases, severities, references, summary, details, published,
     )
 
 
+def displayed(detail: Column, summary: int = 300, details: int = 1000) -> Column:
+    """A detail with its texts cut for display. Nothing is judged on it."""
+    return detail.withField("summary", F.left(detail["summary"], F.lit(summary))).withField("details", F.left(detail["details"], F.lit(details)))
+
+
 def detail_stub(osv_id: Column) -> Column:
     """What is known of an advisory whose detail is missing."""
     return F.struct(
@@ -105,7 +109,7 @@ def detail_stub(osv_id: Column) -> Column:
     )
 
 
-def _marks_malware(d: Column) -> Column:
+def marks_malware(d: Column) -> Column:
     ids = F.upper(F.concat_ws(" ", d["id"], d["osv_id"], F.array_join(d["aliases"], " ")))
     text = F.lower(F.concat_ws(" ", d["summary"], d["details"]))
     hit = ids.contains("MAL-")
@@ -116,9 +120,9 @@ def _marks_malware(d: Column) -> Column:
 
 def malware_evidence(details: Column) -> Column:
     """Id of the first detail that marks a package as malicious, else null."""
-    first = F.get(F.filter(details, _marks_malware), F.lit(0))
+    first = F.get(F.filter(details, marks_malware), F.lit(0))
     return F.coalesce(first["id"], first["osv_id"])
 
 
 def has_malware(details: Column) -> Column:
-    return F.coalesce(F.exists(details, _marks_malware), F.lit(False))
+    return F.coalesce(F.exists(details, marks_malware), F.lit(False))

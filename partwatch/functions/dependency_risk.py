@@ -118,7 +118,7 @@ def known_risks(e) -> Column:
     details = F.when(
         count > 0,
         F.transform(
-            F.filter(F.slice(e("vuln_details"), 1, 3), lambda d: d["summary"] != ""),
+            F.filter(e("vuln_details"), lambda d: d["summary"] != ""),
             lambda d: F.concat(_or_none(d["id"]), F.lit(": "), d["summary"]),
         ),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.advisories import DETAIL_TYPE, detail_stub, has_malware, malware_evidence, max_severity
+from ..functions.advisories import DETAIL_TYPE, band_of_rank, band_rank, cvss_band, detail_stub, marks_malware
 from ..functions.common import lookup
 from ..functions.compliance import compliance_category, compliance_level, compliance_record
 from ..functions.dependency_risk import (
@@ -19,9 +19,8 @@ from ..functions.dependency_risk import (
 from ..functions.versions import npm_gap
 from ..plans.skew import lookup_join, top_per_group
 
-# Fixed values.
+# Fixed values. The first limits what a report lists, not what is judged.
 MAX_LISTED_ADVISORIES = 8
-MAX_DEPENDENCIES = 2_000
 NPM_EOL_PAGES = {
     "bootstrap": "bootstrap",
     "@angular/core": "angular",
@@ -76,17 +75,17 @@ def lookup_keys(deps: DataFrame) -> DataFrame:
     return deps.select("package").distinct()
 
 
-def limit_dependencies(deps: DataFrame, n: int = MAX_DEPENDENCIES) -> DataFrame:
+def limit_dependencies(deps: DataFrame, n: int) -> DataFrame:
     """At most ``n`` dependencies per project in document order, with a flag on cut projects (O-12)."""
     totals = deps.groupBy("project_id").agg((F.count("*") > n).alias("truncated"))
     kept = top_per_group(deps, ["project_id"], [F.col("ord")], n, "_rank").drop("_rank")
     return kept.join(totals, "project_id")
 
 
-def with_newest(deps: DataFrame, newest: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def with_newest(deps: DataFrame, newest: DataFrame) -> DataFrame:
     """J-05 and S-05. ``newest(package, lookup, latest, homepage, repository, description)``, one row per package;
     ``lookup`` is found, not-found or neterror, and a package without a row was not found."""
-    joined = lookup_join(deps, newest, ["package"], ["project_id", "package", "ord"], keys)
+    joined = lookup_join(deps, newest, ["package"])
     failed = F.col("lookup").eqNullSafe("neterror")
     found = F.col("lookup").eqNullSafe("found")
     note = F.when(failed, "neterror").when(
@@ -108,51 +107,73 @@ def resolvable(deps: DataFrame) -> DataFrame:
     return deps.where(F.col("installed").isNotNull() & ~F.col("note").eqNullSafe("neterror"))
 
 
+JUDGED = ("severity", "malicious", "malware_id")
+LISTED = ("vuln_ids", "vuln_details")
+VERSION_KEY = ["ecosystem", "package", "version"]
+
+
+def advisory_details_of(affected: DataFrame, details: DataFrame) -> DataFrame:
+    """J-07: each advisory of a version with its detail, or a stub where the detail is missing."""
+    joined = lookup_join(affected.select(*VERSION_KEY, "osv_id"), details.select("osv_id", "detail"), ["osv_id"])
+    return joined.withColumn("detail", F.coalesce(F.col("detail"), detail_stub(F.col("osv_id"))))
+
+
 def advisories_by_version(affected: DataFrame, details: DataFrame) -> DataFrame:
-    """J-07, A-30, A-31: per (ecosystem, package, version) the full count and the first eight advisories.
+    """A-30, A-31: per (ecosystem, package, version) the number of advisories and what all of them say together.
 
-    The count is a plain aggregate; only the at most eight listed rows per key are collected.
+    Severity, malware flag and the first malware id in order of advisory ids are aggregates over every advisory, combined
+    before the shuffle. ``with_listed`` adds what reports show.
     """
-    key = ["ecosystem", "package", "version"]
-    counts = affected.groupBy(*key).agg(F.count("*").alias("vuln_count"))
-    listed = top_per_group(
-        affected.select(*key, "osv_id"), key, [F.col("osv_id")], MAX_LISTED_ADVISORIES, "pos"
+    detail = F.col("detail")
+    malware = marks_malware(detail)
+    judged = advisory_details_of(affected, details).select(
+        *VERSION_KEY,
+        "osv_id",
+        band_rank(cvss_band(detail["severity"])).alias("_band"),
+        F.when(malware, F.coalesce(detail["id"], detail["osv_id"])).alias("_malware"),
     )
-    shaped = details.select("osv_id", F.col("detail"))
-    listed = lookup_join(listed, shaped, ["osv_id"], [*key, "pos"], affected)
-    detail = F.coalesce(F.col("detail"), detail_stub(F.col("osv_id")))
-    lists = listed.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", detail.alias("detail")))).alias("_rows")
+    return judged.groupBy(*VERSION_KEY).agg(
+        F.count("*").alias("vuln_count"),
+        band_of_rank(F.max("_band")).alias("severity"),
+        F.bool_or(F.col("_malware").isNotNull()).alias("malicious"),
+        F.min_by("_malware", F.when(F.col("_malware").isNotNull(), F.col("osv_id"))).alias("malware_id"),
     )
-    details_of = counts.join(lists, key).select(
-        *key,
-        "vuln_count",
+
+
+def with_listed(by_version: DataFrame, affected: DataFrame, details: DataFrame, n: int = MAX_LISTED_ADVISORIES) -> DataFrame:
+    """The ids and details of the first ``n`` advisories of each version, for reports; the counts stay full."""
+    first = top_per_group(affected.select(*VERSION_KEY, "osv_id"), VERSION_KEY, [F.col("osv_id")], n, "pos")
+    joined = lookup_join(first, details.select("osv_id", "detail"), ["osv_id"])
+    detail = F.coalesce(F.col("detail"), detail_stub(F.col("osv_id")))
+    lists = joined.groupBy(*VERSION_KEY).agg(F.array_sort(F.collect_list(F.struct("pos", detail.alias("detail")))).alias("_rows"))
+    return by_version.join(lists, VERSION_KEY, "left").select(
+        *by_version.columns,
         F.array_compact(F.transform("_rows", lambda r: r["detail"]["id"])).alias("vuln_ids"),
         F.transform("_rows", lambda r: r["detail"]).alias("vuln_details"),
     )
-    # Judged once per version here, not once per dependency that uses it.
-    return details_of.select(
-        "*",
-        max_severity(F.col("vuln_details")).alias("severity"),
-        has_malware(F.col("vuln_details")).alias("malicious"),
-        malware_evidence(F.col("vuln_details")).alias("malware_id"),
-    )
 
 
 def with_vulnerabilities(
-    deps: DataFrame, by_version: DataFrame, ecosystem: str = "npm", keys: DataFrame | None = None
+    deps: DataFrame, by_version: DataFrame, ecosystem: str = "npm", failed: DataFrame | None = None
 ) -> DataFrame:
-    """J-06. Entries that cannot be looked up keep null columns; no match is clean with count 0."""
+    """J-06. Entries that are not looked up keep null columns; no match is clean with count 0.
+
+    ``failed(ecosystem, package, version)`` are advisory lookups that failed: ``neterror``, not clean.
+    """
     right = by_version.where(F.col("ecosystem") == ecosystem).drop("ecosystem").withColumnRenamed("version", "installed")
-    joined = lookup_join(deps, right, ["package", "installed"], ["project_id", "package", "ord"], keys)
-    known = F.col("installed").isNotNull() & ~F.col("note").eqNullSafe("neterror")
+    joined = lookup_join(deps, right, ["package", "installed"])
+    if failed is None:
+        joined = joined.withColumn("_failed", F.lit(False))
+    else:
+        lost = failed.where(F.col("ecosystem") == ecosystem).select("package", F.col("version").alias("installed"), F.lit(True).alias("_failed"))
+        joined = lookup_join(joined, lost.distinct(), ["package", "installed"])
+    lost = F.coalesce("_failed", F.lit(False))
+    looked_up = F.col("installed").isNotNull() & ~F.col("note").eqNullSafe("neterror")
+    known = looked_up & ~lost
     count = F.coalesce("vuln_count", F.lit(0).cast("bigint"))
-    columns = {
-        "vuln_status": F.when(count > 0, "vulnerable").otherwise("clean"),
-        "vuln_count": count,
-        **{c: F.col(c) for c in ("vuln_ids", "vuln_details", "severity", "malicious", "malware_id")},
-    }
-    return joined.select(*deps.columns, *[F.when(known, c).alias(name) for name, c in columns.items()])
+    status = F.when(known, F.when(count > 0, "vulnerable").otherwise("clean")).when(looked_up, "neterror")
+    columns = {"vuln_count": count, **{c: F.col(c) for c in JUDGED + LISTED if c in by_version.columns}}
+    return joined.select(*deps.columns, status.alias("vuln_status"), *[F.when(known, c).alias(name) for name, c in columns.items()])
 
 
 def with_compliance(deps: DataFrame) -> DataFrame:
@@ -183,10 +204,10 @@ def with_eol_page(deps: DataFrame) -> DataFrame:
     )
 
 
-def audit_npm(deps: DataFrame, newest: DataFrame, by_version: DataFrame) -> DataFrame:
+def audit_npm(deps: DataFrame, newest: DataFrame, by_version: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Declared dependencies to audited entries."""
     out = with_newest(deps, newest)
-    out = with_vulnerabilities(out, by_version, keys=deps).withColumn("ecosystem", F.lit(None).cast("string"))
+    out = with_vulnerabilities(out, by_version, failed=failed).withColumn("ecosystem", F.lit(None).cast("string"))
     return with_compliance(out)
 
 

@@ -9,7 +9,6 @@ from ..functions.versions import maven_stable, npm_stable, semver
 from ..plans.skew import lookup_join, top_per_group
 
 # Fixed values.
-MAX_MAJORS = 8
 CATALOG_FIELDS = (
     "slug",
     "cycle",
@@ -66,8 +65,8 @@ def newest_stable_version(versions: DataFrame) -> DataFrame:
     )
 
 
-def npm_cycles(versions: DataFrame) -> DataFrame:
-    """A-24 and W-06. ``versions(package, latest_tag, ord, version, released)`` to one row per major.
+def npm_cycles(versions: DataFrame, newest: int | None = None) -> DataFrame:
+    """A-24, and W-06 if ``newest`` limits the majors of a package. ``versions(package, latest_tag, ord, version, released)`` to one row per major.
 
     Of equal versions the first in the document wins. A package with only pre-releases falls back to its tag.
     """
@@ -92,7 +91,8 @@ def npm_cycles(versions: DataFrame) -> DataFrame:
         .select("package", semver(F.col("latest_tag"))["major"].alias("major"), "latest_tag", F.col("latest_tag").alias("latest"), "released")
     )
     majors = best.unionByName(only_pre)
-    majors = top_per_group(majors, ["package"], [F.desc("major")], MAX_MAJORS, "_rank")
+    if newest is not None:
+        majors = top_per_group(majors, ["package"], [F.desc("major")], newest, "_rank")
     newest_major = F.max("major").over(Window.partitionBy("package"))
     tagged = F.when(F.col("latest_tag").isNotNull(), semver(F.col("latest_tag"))["major"]).otherwise(newest_major)
     return majors.select(
@@ -121,8 +121,8 @@ def first_repository(coordinates: DataFrame, first: DataFrame, second: DataFrame
     """
     on = ["group", "artifact"]
     rename = lambda df, tag: df.select(*on, F.col("lookup").alias(f"_{tag}_lookup"), F.col("latest").alias(f"_{tag}"))
-    joined = lookup_join(coordinates, rename(first, "a"), on, on)
-    joined = lookup_join(joined, rename(second, "b"), on, on)
+    joined = lookup_join(coordinates, rename(first, "a"), on)
+    joined = lookup_join(joined, rename(second, "b"), on)
     failed_first = F.col("_a_lookup").eqNullSafe("neterror")
     failed = failed_first | (F.col("_a").isNull() & F.col("_b_lookup").eqNullSafe("neterror"))
     return joined.select(

@@ -17,7 +17,6 @@ from ..plans.skew import top_per_group
 BASELINE = "D11-LINEA-BASE"
 MALWARE_RULE = "DEP-MALWARE"
 OIDC_EVIDENCE = "AUTH-OIDC-PRESENTE"
-EVIDENCE = 8
 VERDICT_DETAIL = {
     "CONFORME": "No se detectaron incumplimientos verificables por análisis estático. Persisten controles organizacionales por acreditar documentalmente.",
     "NO CONFORME": "Existen incumplimientos de severidad alta o crítica que deben remediarse antes de promover la plataforma a producción.",
@@ -128,7 +127,7 @@ def control_order() -> list[Column]:
     return [F.desc(lookup(F.col("state"), STATE_RANK)), F.asc("instrument"), F.asc("reference"), F.asc("control_id")]
 
 
-def evidence_rows(findings: DataFrame, controls: DataFrame, n: int = EVIDENCE) -> DataFrame:
+def evidence_rows(findings: DataFrame, controls: DataFrame, n: int) -> DataFrame:
     """W-08: the first ``n`` findings behind each control, in the order its rules are listed."""
     pairs = controls.where("assessable").select("control_id", F.posexplode("violated_by").alias("rule_pos", "rule_id"))
     joined = findings.select("project_id", "rule_id", "path", "line", "title").join(pairs, "rule_id")

@@ -26,7 +26,6 @@ EXTERNALLY_REACHABLE = (
     "SEC-GOOGLE-KEY",
 )
 SECRETS = "COMPARTIMENTAJE"
-HOTSPOTS = 8
 PRODUCTION = "producción"
 
 
@@ -183,7 +182,7 @@ def rate(findings: DataFrame) -> DataFrame:
     missing = [F.lit(None).cast(t).alias(n) for n, t in optional.items() if n not in findings.columns]
     role = F.col("context.role") if "context" in findings.columns else st.file_role(F.col("path"))
     f = findings.select("*", *missing, role.alias("role"))
-    f = lookup_join(f, file_counts(findings), ["project_id", "path"], ["rule_id", "line", "evidence"], findings)
+    f = lookup_join(f, file_counts(findings), ["project_id", "path"])
     reachable = F.coalesce("reachable", F.lit(False))
     weight = exposure_factor(F.col("path"))
     f = (
@@ -284,7 +283,7 @@ def numbered(rated: DataFrame, order: list[Column] | None = None) -> DataFrame:
     return running_totals(rated, ["project_id"], keys, {"number": F.lit(1).cast("bigint")})
 
 
-def hotspots(findings: DataFrame, n: int = HOTSPOTS) -> DataFrame:
+def hotspots(findings: DataFrame, n: int) -> DataFrame:
     """A-19 and O-07: the files with most findings per project, and how often each rule occurs in them."""
     counts = file_counts(findings).where(F.col("findings_in_file") >= 2)
     top = top_per_group(counts, ["project_id"], [F.desc("findings_in_file"), F.asc("path")], n, "rank")
@@ -334,7 +333,7 @@ def executive_summary(rated: DataFrame) -> DataFrame:
         file_counts(rated)
         .where(c("findings_in_file") >= 2)
         .groupBy("project_id")
-        .agg(F.least(F.count("*"), F.lit(HOTSPOTS).cast("bigint")).alias("hot"))
+        .agg(F.count("*").alias("hot"))
     )
     joined = totals.join(project_risk(rated).select("project_id", "global_level"), "project_id").join(hot, "project_id", "left")
     listed = lambda names, prefix: sentences(

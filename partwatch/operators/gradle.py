@@ -264,7 +264,7 @@ def with_newest(entries: DataFrame, newest: DataFrame) -> DataFrame:
     """J-05 for artefacts: ``newest(group, artifact, latest, latest_origin, lookup_error)``, one row per artefact."""
     from ..plans.skew import lookup_join
 
-    joined = lookup_join(entries, newest, ["group", "artifact"], ["project_id", "package"])
+    joined = lookup_join(entries, newest, ["group", "artifact"])
     error = F.col("lookup_error")
     note = F.when(error == "neterror", "neterror").when(
         F.coalesce("latest", F.lit("")) == "",

@@ -36,9 +36,9 @@ def latest_verdicts(audits: DataFrame) -> DataFrame:
 
 
 def file_stem(app_name: Column) -> Column:
-    """S-47: letters and digits of any script, at most 40, with a default."""
+    """S-47: letters and digits of any script, with a default."""
     name = F.when(F.col("app_name") != "", app_name).otherwise("proyecto")
-    return F.left(F.regexp_replace(name, r"[^\p{L}\p{N}]", "_"), F.lit(40))
+    return F.regexp_replace(name, r"[^\p{L}\p{N}]", "_")
 
 
 def stamp(now: Column) -> Column:

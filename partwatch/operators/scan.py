@@ -15,9 +15,6 @@ from ..plans.skew import top_per_group
 from ..rules import LANGUAGE_RULES, RULES, SEVERITY_RANK, Rule, rule_texts
 
 # Fixed values.
-MAX_PER_RULE = 50
-MAX_FILES = 5_000
-TOP_EXTENSIONS = 15
 NO_LICENSE = "No se encontró LICENSE/COPYING en el árbol del proyecto."
 PROJECT_ROOT = "(raíz del proyecto)"
 ROOT_ROLE = "raíz del repositorio del proyecto"
@@ -29,12 +26,14 @@ def scanned_files(files: DataFrame) -> DataFrame:
     return files.where(~st.in_skipped_folder(F.col("path")) & st.is_scanned(F.col("path")))
 
 
-def limit_files(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
-    """O-12 for files: at most ``n`` scanned files per project in path order."""
-    return top_per_group(files, ["project_id"], [F.asc("path")], n, "_rank").drop("_rank")
+def limit_files(files: DataFrame, n: int) -> DataFrame:
+    """O-12 for files: at most ``n`` scanned files per project in path order. Only paths are ranked; texts stay where they are."""
+    key = ["project_id", "path"]
+    kept = top_per_group(files.select(*key), ["project_id"], [F.asc("path")], n, "_rank").select(*key)
+    return files.join(kept, key, "left_semi")
 
 
-def file_limit_counts(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
+def file_limit_counts(files: DataFrame, n: int) -> DataFrame:
     """Scanned and skipped files of each project under that limit."""
     count = F.count("*")
     return files.groupBy("project_id").agg(
@@ -57,41 +56,49 @@ def _holds_trigger(text: Column, rule: Rule) -> Column | None:
     return test
 
 
-def _rule_hits(rule: Rule, low: Column, code: Column, limit: int) -> Column:
-    """Hits of one rule in one file. The file, then the line, must hold a trigger before the pattern is tried."""
+def _rule_hits(rule: Rule, text: Column, low: Column, code: Column, limit: int | None) -> Column:
+    """Hits of one rule in one file. The file must hold a trigger and match as a whole before its lines are tried."""
 
     def matches(c: Column) -> Column:
         found = c["line"].rlike("(?iU)" + rule.pattern)
         return _holds_trigger(c["low"], rule) & found if rule.triggers else found
 
+    found = F.filter(code, matches)
     hits = F.transform(
-        F.slice(F.filter(code, matches), 1, 1 if rule.severity == "info" else limit),
+        found if limit is None else F.slice(found, 1, limit),
         lambda c: F.struct(F.lit(rule.id).alias("rule_id"), c["i"].alias("i"), c["line"].alias("line")),
     )
     nothing = F.array().cast("array<struct<rule_id:string,i:int,line:string>>")
-    return F.coalesce(F.when(_holds_trigger(low, rule), hits) if rule.triggers else hits, nothing)
+    # Anchors mean lines, and a line may also end at characters that the pattern language does not count as line ends.
+    whole = F.lit(True) if any(a in rule.pattern for a in ("^", "$")) else text.rlike("(?iU)" + rule.pattern)
+    test = _holds_trigger(low, rule) & whole if rule.triggers else whole
+    return F.coalesce(F.when(test, hits), nothing)
 
 
-def file_hits(text: Column, rules: tuple[Rule, ...] = RULES, limit: int = MAX_PER_RULE) -> Column:
-    """Hits of all line rules in one file, with the lines around them and the enclosing declaration."""
+def file_hits(
+    text: Column, rules: tuple[Rule, ...] = RULES, limit: int | None = None, info_limit: int | None = None, reach: int | None = None
+) -> Column:
+    """Hits of all line rules in one file, with the lines around them and the enclosing declaration.
+
+    W-01 and W-02 on request: at most ``limit`` hits per rule, and ``info_limit`` per rule of severity info.
+    """
+    limit_of = lambda r: info_limit if r.severity == "info" and info_limit is not None else limit
     patterned = [r for r in rules if r.pattern]
 
     def with_context(lines: Column, hits: Column) -> Column:
-        return F.transform(
-            hits,
-            lambda h: F.struct(
-                h["rule_id"].alias("rule_id"),
-                (h["i"] + 1).alias("line_no"),
-                h["line"].alias("line"),
-                st.enclosing_construct(lines, h["i"]).alias("construct"),
-                st.context_window(lines, h["i"]).alias("fragment"),
-            ),
+        around = lambda found, h: F.struct(
+            h["rule_id"].alias("rule_id"),
+            (h["i"] + 1).alias("line_no"),
+            h["line"].alias("line"),
+            st.enclosing_construct(found, h["i"], reach).alias("construct"),
+            st.context_window(lines, h["i"]).alias("fragment"),
         )
+        return let(st.declarations(lines), lambda found: F.transform(hits, lambda h: around(found, h)))
 
     def in_file(low: Column, lines: Column) -> Column:
         numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.lower(line).alias("low")))
         code = F.filter(numbered, lambda c: st.is_code_line(c["line"]))
-        return let(code, lambda c: with_context(lines, F.concat(*[_rule_hits(r, low, c, limit) for r in patterned])))
+        return let(code, lambda c: with_context(lines, F.concat(*[_rule_hits(r, text, low, c, limit_of(r)) for r in patterned])))
 
     return let(F.lower(text), lambda low: let(split_lines(text), lambda lines: in_file(low, lines)))
 
@@ -121,10 +128,10 @@ def explode_hits(analysed: DataFrame, rules: tuple[Rule, ...] = RULES, hits: Col
     )
 
 
-def scan_files(files: DataFrame, rules: tuple[Rule, ...] = RULES, limit: int = MAX_PER_RULE) -> DataFrame:
+def scan_files(files: DataFrame, rules: tuple[Rule, ...] = RULES, limit: int | None = None, info_limit: int | None = None) -> DataFrame:
     """J-13 with W-01..W-04 and S-23: findings of every line rule, with context."""
     # Exploded as an expression: as a named column it would also be computed in an inferred filter.
-    return explode_hits(files, rules, file_hits(F.col("text"), rules, limit))
+    return explode_hits(files, rules, file_hits(F.col("text"), rules, limit, info_limit))
 
 
 def language_rule_matches(files: DataFrame) -> DataFrame:
@@ -212,7 +219,7 @@ def extension_counts(files: DataFrame) -> DataFrame:
     )
 
 
-def top_extensions(files: DataFrame, n: int = TOP_EXTENSIONS) -> DataFrame:
+def top_extensions(files: DataFrame, n: int) -> DataFrame:
     """O-06."""
     return top_per_group(extension_counts(files), ["project_id"], [F.desc("files"), F.asc("extension")], n, "rank")
 
@@ -244,9 +251,8 @@ def main_build_module(files: DataFrame) -> DataFrame:
     name = F.lower(st.file_name(F.col("path")))
     builds = files.where(name.isin("build.gradle", "build.gradle.kts"))
     uses = F.regexp_count("text", F.lit("implementation"))
-    ranked = builds.select("project_id", "path", uses.alias("uses"))
-    best = ranked.groupBy("project_id").agg(F.max("uses").alias("uses"))
-    return ranked.join(best, ["project_id", "uses"]).groupBy("project_id", "uses").agg(F.min("path").alias("path"))
+    best = F.min(F.struct((-uses).alias("uses"), "path")).alias("best")
+    return builds.groupBy("project_id").agg(best).select("project_id", (-F.col("best.uses")).alias("uses"), "best.path")
 
 
 # ---- corroboration and flows

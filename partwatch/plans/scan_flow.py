@@ -7,22 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import scan, taint
 from ..rules import RULES, Rule
-from .skew import durable
 
 
 def scan_projects(files: DataFrame, rules: tuple[Rule, ...] = RULES, external: DataFrame | None = None) -> DataFrame:
     """U-07: internal, licence, external and flow findings. ``external`` has the finding columns of ``scan_files``."""
     scanned = scan.scanned_files(files)
-    # Every text is read once: hits and flows leave it together, and the little that was found is written down.
-    analysed = durable(
-        scanned.select(
-            "project_id",
-            "path",
-            scan.file_hits(F.col("text"), rules).alias("hits"),
-            taint.file_flows(F.col("path"), F.col("text")).alias("flows"),
-        )
-    )
-    found = scan.explode_hits(analysed, rules).unionByName(scan.missing_license(files, rules))
+    found = scan.scan_files(scanned, rules).unionByName(scan.missing_license(files, rules))
     if external is not None:
         order = F.struct("path", "line", "rule_id")
         columns = found.columns
@@ -30,6 +20,7 @@ def scan_projects(files: DataFrame, rules: tuple[Rule, ...] = RULES, external: D
             found.withColumn("ord", order),
             external.select(*columns).withColumn("ord", order),
         ).drop("ord")
-    flows = taint.explode_flows(analysed)
+    # Hits and flows are two narrow passes over the texts; nothing is kept between them.
+    flows = taint.flow_paths(scanned)
     marked = taint.attach_flows(found, flows)
     return marked.unionByName(taint.unmatched_flows(found, flows), allowMissingColumns=True)

@@ -8,19 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A key with fewer rows than this fits an ordinary task, so it is left to the shuffle join.
-HOT_ROWS = 1_000_000
-# At most this many keys are treated as hot: it bounds the broadcast side of ``lookup_join``.
-MAX_HOT_KEYS = 1_000
 SPREAD = 1_024
-# Up to this size Spark itself limits each group before the shuffle (window group limit).
-GROUP_LIMIT = 1_000
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder of the session, so that lost executors do not lose it."""
-    spark = df.sparkSession
-    _ensure_checkpoint_dir(spark)
+    _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -29,59 +22,31 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.master.startswith("local"):
+    if folder is None and (context.master == "local" or context.master.startswith("local[")):  # one machine
         folder = tempfile.mkdtemp(prefix="partwatch-checkpoint-")
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(folder)
 
 
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    keys: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join to a table with one row per key, safe for keys that repeat very often on the left.
 
-    ``keys`` is a cheaper frame with the same key values to count, such as the rows before earlier joins.
-    The largest keys (at most ``MAX_HOT_KEYS``) meet a broadcast copy of their own rows of ``right``. In the shuffle
-    join that serves all other keys, their left rows carry a salt nothing matches, which only spreads them out.
+    A plain join, so that columns nobody reads are pruned from ``right``. The rows of a hot key are in partitions that adaptive
+    execution splits (``spark.sql.adaptive.skewJoin``): the right side has one row for such a key, so each part gets a copy of it.
     """
-    on = list(on)
-    values = [c for c in right.columns if c not in on]
-    hot = (
-        (left if keys is None else keys)
-        .groupBy(*on)
-        .count()
-        .where(F.col("count") >= hot_rows)
-        .orderBy(F.desc("count"), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on)
-    )
-    # ``hot`` has at most MAX_HOT_KEYS rows and ``right`` one row per key, which bounds both broadcasts.
-    hot_values = right.join(F.broadcast(hot), on, "left_semi").select(*on, F.struct(*values).alias("_hot_values"))
-    hot_side = F.broadcast(
-        hot.join(F.broadcast(hot_values), on, "left").select(*on, F.lit(True).alias("_hot"), "_hot_values")
-    )
-    # A salt both sides compute from the key; a constant would be folded away and not take part in the partitioning.
-    cold_salt = F.pmod(F.xxhash64(*on), F.lit(SPREAD))
-    cold_side = right.select(*on, cold_salt.alias("_salt"), F.struct(*values).alias("_cold_values"))
-    salt = F.when(F.col("_hot"), -1 - F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD))).otherwise(cold_salt)
-    joined = (
-        left.join(hot_side, on, "left").withColumn("_salt", salt).join(cold_side, [*on, "_salt"], "left")
-    )
-    pick = F.when(F.col("_hot"), F.col("_hot_values")).otherwise(F.col("_cold_values"))
-    return joined.withColumn("_pick", pick).select(*left.columns, *[F.col("_pick")[v].alias(v) for v in values])
+    return left.join(right, list(on), "left")
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
-    """The first ``n`` rows of each group, ranked from 1."""
+    """The first ``n`` rows of each group, ranked from 1.
+
+    Spark cuts each task's rows to the first ``n`` of a group before the shuffle, for limits up to its own threshold. Beyond
+    it, salted parts of a group are cut first, so that a large group is not sorted in one task.
+    """
     keys = list(keys)
     window = Window.partitionBy(*keys).orderBy(*order)
-    if n > GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
         salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             df.withColumn("_salt", F.pmod(F.xxhash64(*order_columns(df, keys)), F.lit(SPREAD)))

@@ -87,14 +87,14 @@ SELECT a.package, a.version, a.pos, a.n, a.osv_id, coalesce(d.id, a.osv_id) AS i
     WHEN contains(d.severity, 'MEDIUM') THEN 2 WHEN contains(d.severity, 'LOW') THEN 1 END AS band
 FROM (SELECT *, row_number() OVER (PARTITION BY package, version ORDER BY osv_id) AS pos,
         count(*) OVER (PARTITION BY package, version) AS n FROM v_advisories) a
-LEFT JOIN v_details d ON d.osv_id = a.osv_id WHERE a.pos <= 8""",
+LEFT JOIN v_details d ON d.osv_id = a.osv_id""",
 )
 view(
     "v_by_version",
     """
-SELECT package, version, max(n) AS n, array_to_string(list(id ORDER BY pos), ', ') AS ids, max(band) AS band,
+SELECT package, version, max(n) AS n, array_to_string(list(id ORDER BY pos) FILTER (WHERE pos <= 8), ', ') AS ids, max(band) AS band,
   first(id ORDER BY pos) FILTER (WHERE contains(summary || ' ' || details, 'malware')) AS malware_id,
-  coalesce(array_to_string(list(id || ': ' || summary ORDER BY pos) FILTER (WHERE pos <= 3 AND summary <> ''), ' | '), '')
+  coalesce(array_to_string(list(id || ': ' || summary ORDER BY pos) FILTER (WHERE pos <= 8 AND summary <> ''), ' | '), '')
     AS first_risks
 FROM v_listed GROUP BY ALL""",
 )
@@ -232,7 +232,7 @@ SELECT 'pkg-' || p_partkey AS package,
   CASE WHEN p_partkey % 13 = 0 THEN 'not-found' WHEN p_partkey % 17 = 0 THEN 'neterror' ELSE 'found' END AS lookup,
   CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 THEN p_size || '.0.0' END AS latest,
   CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 THEN 'https://x/' || p_partkey END AS repository,
-  CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 THEN left(repeat(p_name || ' ', 30), 200) END AS description
+  CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 THEN repeat(p_name || ' ', 30) END AS description
 FROM part""",
 )
 def src_06(t):
@@ -352,7 +352,7 @@ SELECT package, version, CASE band WHEN 4 THEN 'crítica' WHEN 3 THEN 'alta' WHE
 FROM v_by_version""",
 )
 def s_10(t):
-    return t.by_version.select("package", "version", adv.max_severity(F.col("vuln_details")).alias("severity"))
+    return t.by_version.select("package", "version", "severity")
 
 
 @query("s_11_preferred_id", "SELECT osv_id, coalesce(cve, osv_id) AS id FROM v_advisories")
@@ -378,9 +378,9 @@ def s_12(t):
     )
 
 
-@query("s_13_malware", "SELECT package, version, malware_id FROM v_by_version")
+@query("s_13_malware", "SELECT package, version, malware_id, malware_id IS NOT NULL AS malicious FROM v_by_version")
 def s_13(t):
-    return t.by_version.select("package", "version", adv.malware_evidence(F.col("vuln_details")).alias("malware_id"))
+    return t.by_version.select("package", "version", "malware_id", "malicious")
 
 
 @query("s_14_compliance_level", "SELECT project_id, package, section, legal_level FROM v_entries")
@@ -473,7 +473,7 @@ FROM v_rated""",
 SELECT project_id, package, section, CASE WHEN body = '' THEN 'Sin riesgos conocidos detectados.;' ELSE body END AS risks FROM v_risks""",
 )
 def s_20(t):
-    rows = audit.with_compliance_record(t.rated)
+    rows = audit.with_compliance_record(t.listed)
     texts = F.transform(
         dependency_risk.known_risks(F.col), lambda x: F.concat(F.when(x.startswith("⚖"), "⚖").otherwise(x), F.lit(";"))
     )
@@ -564,16 +564,26 @@ def j_05(t):
     "SELECT project_id, package, installed, vuln_status, vuln_count, vuln_ids FROM v_entries",
 )
 def j_06(t):
-    return t.entries.select(
+    return t.listed_entries.select(
         "project_id", "package", "installed", "vuln_status", "vuln_count", F.array_join("vuln_ids", ", ").alias("vuln_ids")
     )
 
 
+@query(
+    "j_06_failed_lookup",
+    """
+SELECT project_id, package, installed, CASE WHEN lost THEN 'neterror' ELSE vuln_status END AS vuln_status, CASE WHEN NOT lost THEN vuln_count END AS vuln_count,
+  CASE WHEN NOT lost THEN band END IS NOT NULL AS judged
+FROM (SELECT *, lookable AND cast(split_part(package, '-', 2) AS INT) % 31 = 0 AS lost FROM v_entries)""",
+)
+def j_06_failed(t):
+    entries = audit.audit_npm(t.declared, t.newest, t.by_version, t.failed_lookups)
+    return entries.select("project_id", "package", "installed", "vuln_status", "vuln_count", F.col("severity").isNotNull().alias("judged"))
+
+
 @query("j_07_advisory_detail", "SELECT package, version, osv_id, id, summary FROM v_listed")
 def j_07(t):
-    return t.by_version.select("package", "version", F.explode("vuln_details").alias("d")).select(
-        "package", "version", "d.osv_id", "d.id", "d.summary"
-    )
+    return audit.advisory_details_of(t.advisories, t.details).select("package", "version", "osv_id", "detail.id", "detail.summary")
 
 
 @query(
@@ -662,7 +672,7 @@ def a_23(t):
 
 @query("a_30_advisories_per_version", "SELECT package, version, n AS vuln_count, ids AS vuln_ids FROM v_by_version")
 def a_30(t):
-    return t.by_version.select("package", "version", "vuln_count", F.array_join("vuln_ids", ", ").alias("vuln_ids"))
+    return t.listed_by_version.select("package", "version", "vuln_count", F.array_join("vuln_ids", ", ").alias("vuln_ids"))
 
 
 @query("a_31_unique_advisories", "SELECT DISTINCT osv_id FROM v_advisories")

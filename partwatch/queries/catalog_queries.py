@@ -356,7 +356,7 @@ UNION ALL SELECT package, 9, '9.0.0' FROM v_registry GROUP BY 1 HAVING bool_and(
     """
 SELECT package AS slug, cast(major AS VARCHAR) AS cycle, latest, NULL::VARCHAR AS release_date,
   CASE WHEN major = coalesce(9, 0) THEN 'ok' ELSE 'obsolete' END AS status
-FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY major DESC) AS r FROM v_majors) WHERE r <= 8""",
+FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY major DESC) AS r FROM v_majors)""",
 )
 def a_24(t):
     v = t.registry.select(
@@ -390,7 +390,7 @@ def w_06(t):
     unique = v.groupBy("package", "version", "latest_tag").agg(
         F.max_by("released", F.struct("l_orderkey", "released")).alias("released")
     )
-    return catalog.npm_cycles(unique.withColumn("ord", F.lit(0)))
+    return catalog.npm_cycles(unique.withColumn("ord", F.lit(0)), newest=8)
 
 
 @query(
@@ -464,7 +464,7 @@ SELECT slug, cycle, latest, status, vuln_count FROM (
 
 @query("snk_07_upsert_npm", "SELECT slug, cycle, latest, status, vuln_count FROM v_upsert")
 def snk_07(t):
-    entries = t.entries.where(F.col("installed").isNotNull()).dropDuplicates(["package", "installed"])
+    entries = t.listed_entries.where(F.col("installed").isNotNull()).dropDuplicates(["package", "installed"])
     items = tables.inventory_rows(entries, "npm", "2024-06-01")
     old = t.cycles.withColumn("updated_at", F.lit("2024-01-01")).withColumn("vuln_details", F.lit("[]"))
     merged = tables.upsert_cycles(old, items, "npm")

@@ -14,7 +14,7 @@ from .scan_queries import REDACTED, case_roles
 
 view(
     "v_redacted",
-    f"SELECT * REPLACE (left({REDACTED.format('evidence')}, 200) AS evidence) FROM v_findings",
+    f"SELECT * REPLACE ({REDACTED.format('evidence')} AS evidence) FROM v_findings",
 )
 REACHABLE = ", ".join(f"'{r}'" for r in finding_risk.EXTERNALLY_REACHABLE)
 view(
@@ -127,7 +127,7 @@ FROM v_top JOIN (
 JOIN (SELECT project_id, string_agg(lower(risk_level) || ': ' || c, ', ' ORDER BY risk_rank DESC) AS lev,
     CASE max(risk_rank) WHEN 5 THEN 'crítico' WHEN 4 THEN 'alto' WHEN 3 THEN 'medio' ELSE 'bajo' END AS global_level
   FROM (SELECT project_id, risk_level, risk_rank, count(*) AS c FROM v_risk GROUP BY ALL) GROUP BY 1) USING (project_id)
-JOIN (SELECT project_id, least(8, count(DISTINCT path) FILTER (WHERE hotspot)) AS hot FROM v_risk GROUP BY 1) USING (project_id)""",
+JOIN (SELECT project_id, count(DISTINCT path) FILTER (WHERE hotspot) AS hot FROM v_risk GROUP BY 1) USING (project_id)""",
 )
 def s_31_summary(t):
     return finding_risk.executive_summary(rated(t))
@@ -179,7 +179,7 @@ SELECT project_id, path, rank, n AS findings_in_file, rule_id, count(*) AS times
 WHERE rank <= 8 GROUP BY ALL""",
 )
 def a_19(t):
-    return finding_risk.hotspots(t.findings)
+    return finding_risk.hotspots(t.findings, 8)
 
 
 @query("o_07_top_hotspots", "SELECT DISTINCT project_id, path, rank FROM v_hot WHERE rank <= 3")
@@ -391,7 +391,7 @@ FROM v_all_findings JOIN v_pairs USING (rule_id)""",
 
 @query("w_08_evidence", "SELECT project_id, control_id, pos, rule_id, path, line FROM v_evidence WHERE pos <= 8")
 def w_08(t):
-    return conformity.evidence_rows(project_findings(t), ctl.controls(t.spark)).select(
+    return conformity.evidence_rows(project_findings(t), ctl.controls(t.spark), 8).select(
         "project_id", "control_id", "pos", "rule_id", "path", "line"
     )
 
@@ -403,7 +403,7 @@ SELECT project_id, control_id, string_agg(concat('`', rule_id, '` en ', regexp_e
 FROM v_evidence WHERE pos <= 5 GROUP BY 1, 2""",
 )
 def s_51(t):
-    return conformity.evidence_text(conformity.evidence_rows(project_findings(t), ctl.controls(t.spark)))
+    return conformity.evidence_text(conformity.evidence_rows(project_findings(t), ctl.controls(t.spark), 8))
 
 
 @query("o_04_control_order", "SELECT project_id, control_id, state FROM v_evaluated")

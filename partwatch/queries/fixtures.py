@@ -178,14 +178,35 @@ class Fixtures:
     def by_version(self) -> DataFrame:
         return audit.advisories_by_version(self.advisories, self.details)
 
+    @cached_property
+    def listed_by_version(self) -> DataFrame:
+        """With the lists that reports show."""
+        return audit.with_listed(self.by_version, self.advisories, self.details)
+
+    @cached_property
+    def failed_lookups(self) -> DataFrame:
+        """Advisory lookups that failed: those of every thirty-first package."""
+        named = self.declared.select("package", F.col("installed").alias("version")).where("installed IS NOT NULL").distinct()
+        number = F.substring_index("package", "-", -1).cast("bigint")
+        return named.where(number % 31 == 0).select(F.lit("npm").alias("ecosystem"), "package", "version")
+
     @cached_property
     def entries(self) -> DataFrame:
         return audit.audit_npm(self.declared, self.newest, self.by_version)
 
+    @cached_property
+    def listed_entries(self) -> DataFrame:
+        return audit.audit_npm(self.declared, self.newest, self.listed_by_version)
+
     @cached_property
     def rated(self) -> DataFrame:
         return audit.with_risk(self.entries)
 
+    @cached_property
+    def listed(self) -> DataFrame:
+        """Rated entries with the lists that reports show."""
+        return audit.with_risk(self.listed_entries)
+
     # ---- catalogue
 
     today = "1998-06-01"

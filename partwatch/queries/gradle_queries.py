@@ -321,12 +321,12 @@ view(
 SELECT (['com.squareup.okhttp3:okhttp', 'androidx.core:core-ktx', 'androidx.room:compiler', 'junit:junit'])[p_partkey % 4 + 1] AS package,
   4 AS a, 2 AS b, max(p_size) AS c FROM part GROUP BY 1""",
 )
-# Advisories per okhttp version; a version is malicious when one of its first eight says so.
+# Advisories per okhttp version; a version is malicious when one of them says so.
 view(
     "v_okhttp",
     """
 SELECT 'com.squareup.okhttp3:okhttp' AS package, '4.' || (1 + event_id % 3) || '.0' AS version, count(*) AS n,
-  bool_or(pos <= 8 AND event_id % 11 <> 0 AND contains(summary, 'malware')) AS bad
+  bool_or(event_id % 11 <> 0 AND contains(summary, 'malware')) AS bad
 FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 3 ORDER BY osv_id) AS pos FROM v_advisories) GROUP BY 1, 2""",
 )
 view(

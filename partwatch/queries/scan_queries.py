@@ -96,9 +96,8 @@ REDACTED = """regexp_replace({0}, '(["''])([A-Za-z0-9_\\-]{{3}})[A-Za-z0-9_\\-]{
 view(
     "v_hits",
     f"""
-SELECT *, left({REDACTED.format('stripped')}, 200) AS evidence FROM (
-  SELECT *, row_number() OVER (PARTITION BY path, rule_id ORDER BY line_no) AS r FROM ({hits_sql(RULES)}))
-WHERE r <= 50 AND (severity <> 'info' OR r = 1)""",
+SELECT *, {REDACTED.format('stripped')} AS evidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY path, rule_id ORDER BY line_no) AS r FROM ({hits_sql(RULES)}))""",
 )
 
 
@@ -134,7 +133,7 @@ def j_13(t):
     "j_13_corpus_rules",
     f"""
 SELECT project_id, path, rule_id, line_no AS line FROM (SELECT *, row_number() OVER (PARTITION BY path, rule_id ORDER BY line_no) AS r
-  FROM ({hits_sql(CORPUS_RULES)})) WHERE r <= 50 AND (severity <> 'info' OR r = 1)""",
+  FROM ({hits_sql(CORPUS_RULES)}))""",
 )
 def j_13_corpus(t):
     return scan.scan_files(t.scanned, CORPUS_RULES).select("project_id", "path", "rule_id", "line")
@@ -168,19 +167,19 @@ SELECT project_id, path, rule_id, line_no AS line FROM (SELECT *, row_number() O
   FROM ({hits_sql(CORPUS_RULES)})) WHERE r <= 2 AND (severity <> 'info' OR r = 1)""",
 )
 def w_01(t):
-    return scan.scan_files(t.scanned, CORPUS_RULES, limit=2).select("project_id", "path", "rule_id", "line")
+    return scan.scan_files(t.scanned, CORPUS_RULES, limit=2, info_limit=1).select("project_id", "path", "rule_id", "line")
 
 
-@query("w_02_info_once", "SELECT project_id, path, line_no AS line FROM v_hits WHERE severity = 'info'")
+@query("w_02_info_once", "SELECT project_id, path, line_no AS line FROM v_hits WHERE severity = 'info' AND r = 1")
 def w_02(t):
-    return scan.scan_files(t.scanned).where(F.col("severity") == "info").select("project_id", "path", "line")
+    return scan.scan_files(t.scanned, info_limit=1).where(F.col("severity") == "info").select("project_id", "path", "line")
 
 
 @query(
     "w_03_context_window",
     f"""
 SELECT h.path, h.rule_id, h.line_no AS line, string_agg(concat(CASE WHEN l.line_no = h.line_no THEN '>' ELSE ' ' END, l.line_no, '|',
-  left(left({REDACTED.format(f"rtrim(l.line, {WS})")}, 200), 160)), chr(10) ORDER BY l.line_no) AS fragment
+  {REDACTED.format(f"rtrim(l.line, {WS})")}), chr(10) ORDER BY l.line_no) AS fragment
 FROM v_hits h JOIN v_lines l ON l.path = h.path AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2 GROUP BY ALL""",
 )
 def w_03(t):
@@ -195,7 +194,7 @@ CONSTRUCT_SQL = f"""
 SELECT h.path, h.rule_id, h.line_no AS line, coalesce(arg_max(
   CASE WHEN regexp_matches(lower(d.line), 'class |interface |object ') THEN 'clase/objeto' ELSE 'función/método' END
     || ' «' || regexp_extract(d.line, {literal(st.DECLARATION)}, 1) || '»', d.line_no), '') AS construct
-FROM v_hits h LEFT JOIN v_lines d ON d.path = h.path AND d.line_no BETWEEN h.line_no - 59 AND h.line_no
+FROM v_hits h LEFT JOIN v_lines d ON d.path = h.path AND d.line_no <= h.line_no
   AND regexp_matches(d.line, {literal(st.DECLARATION)}) GROUP BY ALL"""
 
 

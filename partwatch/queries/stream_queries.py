@@ -91,7 +91,7 @@ def t_04(t):
 
 
 def texts(t):
-    return audit.with_report_texts(t.rated)
+    return audit.with_report_texts(t.listed)
 
 
 @query(
@@ -102,7 +102,7 @@ SELECT project_id, package AS paquete, section AS seccion, spec AS declarada, co
   coalesce(cast(vuln_count AS VARCHAR), '') AS cve_count, coalesce(replace(vuln_ids, ', ', ' '), '') AS cve_ids, coalesce(note, '') AS nota FROM v_entries""",
 )
 def snk_02(t):
-    return tables.audit_csv(t.entries)
+    return tables.audit_csv(t.listed_entries)
 
 
 @query(
@@ -122,7 +122,7 @@ def snk_03(t):
     "SELECT project_id, package, level, score FROM v_rated",
 )
 def snk_05(t):
-    docs = report.report_json(t.rated)
+    docs = report.report_json(t.listed)
     value = F.from_json("json", "package string, level string, score double")
     return docs.select("project_id", value.alias("v")).select("project_id", "v.*")
 
@@ -144,7 +144,7 @@ def s_31(t):
 
 @query("snk_04_report_lines")
 def snk_04(t):
-    rated = t.rated
+    rated = t.listed
     overall = audit.risk_distribution(rated)
     joined = audit.npm_summary(t.entries).join(overall.drop("compliance_critico", "compliance_alto"), "project_id").select(
         "*", F.concat(F.lit("app"), "project_id").alias("app_name"), F.lit(None).cast("string").alias("app_version")

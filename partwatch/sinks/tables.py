@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.advisories import displayed
 from ..operators.catalog import decode_flag
 from ..plans.skew import lookup_join
 
@@ -51,7 +52,7 @@ def inventory_rows(entries: DataFrame, kind: str, now: str) -> DataFrame:
         (F.col("vuln_status") if aged else F.lit(None).cast("string")).alias("vuln_status"),
         (F.col("vuln_count") if aged else F.lit(0).cast("bigint")).alias("vuln_count"),
         (F.col("vuln_ids") if aged else F.array().cast("array<string>")).alias("vuln_ids"),
-        (F.coalesce(F.to_json("vuln_details"), F.lit("[]")) if aged else F.lit("[]")).alias("vuln_details"),
+        (F.coalesce(F.to_json(F.transform("vuln_details", lambda d: displayed(d))), F.lit("[]")) if aged else F.lit("[]")).alias("vuln_details"),
         F.lit(now).alias("updated_at"),
     )
 
@@ -104,7 +105,7 @@ def refresh_latest(cycles: DataFrame, newest: DataFrame, now: str) -> DataFrame:
     right = newest.where(F.coalesce("latest", F.lit("")) != "").select(
         F.concat_ws(":", "group", "artifact").alias("slug"), F.col("latest").alias("_newest")
     )
-    joined = lookup_join(cycles, right, ["slug"], ["slug", "cycle"])
+    joined = lookup_join(cycles, right, ["slug"])
     return joined.withColumn("latest", F.coalesce("_newest", "latest")).withColumn(
         "updated_at", F.when(F.col("_newest").isNotNull(), F.lit(now)).otherwise(F.col("updated_at"))
     ).drop("_newest")

@@ -66,7 +66,7 @@ def newest_documents(documents: DataFrame) -> DataFrame:
             F.when(found, F.col("d.version")).alias("latest"),
             F.when(found, F.col("d.homepage")).alias("homepage"),
             F.when(found, repository_url(repository)).alias("repository"),
-            F.when(found, F.left(F.coalesce(F.col("d.description"), F.lit("")), F.lit(200))).alias("description"),
+            F.when(found, F.coalesce(F.col("d.description"), F.lit(""))).alias("description"),
         )
     )
 

@@ -80,7 +80,7 @@ def _finding(engine, path, line, rule, title, category, severity, evidence, cwe,
         text(severity).alias("severity"),
         st.relative_path(F.coalesce(text(path), F.lit("")), F.col("root")).alias("path"),
         (line if line is not None else F.lit(None)).cast("int").alias("line"),
-        st.redact(F.left(F.coalesce(text(evidence), F.lit("")), F.lit(200))).alias("evidence"),
+        st.redact(F.coalesce(text(evidence), F.lit(""))).alias("evidence"),
         text(GUIDE).alias("guide"),
         text(LEGAL).alias("legal"),
         (F.lit(None).cast("string") if cwe is None else text(cwe)).alias("cwe"),
@@ -89,10 +89,6 @@ def _finding(engine, path, line, rule, title, category, severity, evidence, cwe,
     ]
 
 
-def _left80(c: Column) -> Column:
-    return F.left(c, F.lit(80))
-
-
 def _items(reports: DataFrame, array: Column) -> DataFrame:
     return reports.select("project_id", "root", F.explode(array).alias("r"))
 
@@ -111,7 +107,7 @@ def semgrep(reports: DataFrame) -> DataFrame:
             c("r.path"),
             c("r.start.line"),
             F.concat(F.lit("SG-"), F.substring_index(F.coalesce(c("r.check_id"), F.lit("regla")), ".", -1)),
-            F.coalesce(F.when(meta["titulo"] != "", meta["titulo"]), _left80(message)),
+            F.coalesce(F.when(meta["titulo"] != "", meta["titulo"]), message),
             F.coalesce(meta["categoria"], F.lit("SAST EXTERNO")),
             local_severity(extra["severity"]),
             extra["lines"],
@@ -181,7 +177,7 @@ def njsscan(reports: DataFrame) -> DataFrame:
             c("f.file_path"),
             F.get(c("f.match_lines"), F.lit(0)),
             F.concat(F.lit("NJS-"), c("rule")),
-            _left80(F.coalesce(F.when(c("m.description") != "", c("m.description")), c("rule"))),
+            F.coalesce(F.when(c("m.description") != "", c("m.description")), c("rule")),
             "SAST EXTERNO (Node/JS)",
             local_severity(c("m.severity")),
             c("f.match_string"),
@@ -201,7 +197,7 @@ def gitleaks(reports: DataFrame) -> DataFrame:
             c("r.File"),
             c("r.StartLine"),
             F.concat(F.lit("GL-"), F.coalesce(c("r.RuleID"), F.lit("secreto"))),
-            _left80(F.concat(F.lit("Secreto detectado: "), F.coalesce(c("r.Description"), F.lit("genérico")))),
+            F.concat(F.lit("Secreto detectado: "), F.coalesce(c("r.Description"), F.lit("genérico"))),
             SECRETS,
             "alto",
             F.coalesce(F.when(c("r.Match") != "", c("r.Match")), c("r.Secret")),
@@ -227,7 +223,7 @@ def trivy(reports: DataFrame) -> DataFrame:
             c("anchor"),
             None,
             F.concat(F.lit("TRIVY-"), F.coalesce(c("v.VulnerabilityID"), F.lit("VULN"))),
-            _left80(_or(F.coalesce(F.when(c("v.Title") != "", c("v.Title")), c("v.VulnerabilityID")), "Dependencia vulnerable")),
+            _or(F.coalesce(F.when(c("v.Title") != "", c("v.Title")), c("v.VulnerabilityID")), "Dependencia vulnerable"),
             "DEPENDENCIA VULNERABLE (SCA)",
             local_severity(c("v.Severity")),
             F.concat(text("v.PkgName"), F.lit(" "), text("v.InstalledVersion"), F.lit(" -> "), text("v.VulnerabilityID")),
@@ -241,7 +237,7 @@ def trivy(reports: DataFrame) -> DataFrame:
             c("anchor"),
             c("v.StartLine"),
             F.concat(F.lit("TRIVY-SEC-"), F.coalesce(c("v.RuleID"), F.lit("secreto"))),
-            _left80(F.concat(F.lit("Secreto detectado: "), F.coalesce(c("v.Title"), F.lit("genérico")))),
+            F.concat(F.lit("Secreto detectado: "), F.coalesce(c("v.Title"), F.lit("genérico"))),
             SECRETS,
             local_severity(c("v.Severity"), "alto"),
             c("v.Match"),
@@ -255,7 +251,7 @@ def trivy(reports: DataFrame) -> DataFrame:
             c("anchor"),
             c("v.CauseMetadata.StartLine"),
             F.concat(F.lit("TRIVY-CFG-"), F.coalesce(c("v.ID"), F.lit("config"))),
-            _left80(_or(c("v.Title"), "Configuración insegura")),
+            _or(c("v.Title"), "Configuración insegura"),
             "CONFIGURACIÓN INSEGURA (IaC)",
             local_severity(c("v.Severity")),
             c("v.Message"),
@@ -285,7 +281,7 @@ def retire(reports: DataFrame) -> DataFrame:
             c("file"),
             None,
             F.concat(F.lit("RETIRE-"), F.coalesce(cve, c("v.identifiers.issue"), component)),
-            _left80(F.coalesce(F.when(c("v.identifiers.summary") != "", c("v.identifiers.summary")), F.concat(label, F.lit(": librería JS vulnerable")))),
+            F.coalesce(F.when(c("v.identifiers.summary") != "", c("v.identifiers.summary")), F.concat(label, F.lit(": librería JS vulnerable"))),
             "LIBRERÍA JS VULNERABLE (SCA)",
             local_severity(c("v.severity")),
             F.concat(label, F.coalesce(F.concat(F.lit(" -> "), cve), F.lit(""))),

@@ -1,5 +1,7 @@
 """Spark session of the tests."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -10,6 +12,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="partwatch-checkpoint-"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
