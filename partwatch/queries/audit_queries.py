@@ -420,10 +420,10 @@ def s_18(t):
     return t.rated.select("project_id", "package", "section", "level", "score", "severity")
 
 
-@query(
-    "s_19_severity_label",
+view(
+    "v_labels",
     """
-SELECT project_id, package, section, CASE
+SELECT *, CASE
   WHEN legal_level = 'crítico' THEN 'GRAVÍSIMO — riesgo legal: posible paquete malicioso (Ley 21.459)'
   WHEN legal_level = 'alto' THEN 'GRAVE — riesgo legal: posible tratamiento de datos de fuente ilícita (Ley 21.459 Art. 6)'
   WHEN level = 'crítico' THEN 'CRÍTICO — CVE de severidad ' || coalesce(severity, 'alta')
@@ -434,6 +434,9 @@ SELECT project_id, package, section, CASE
   WHEN level = 'desconocido' THEN 'INDETERMINADO — sin datos de CVE (sin conexión a OSV)'
   ELSE 'OK — sin observaciones' END AS label FROM v_rated""",
 )
+
+
+@query("s_19_severity_label", "SELECT project_id, package, section, label FROM v_labels")
 def s_19(t):
     label = dependency_risk.severity_label(
         F.col("level"), F.col("severity"), F.col("legal_level"), F.col("platform_kind")
@@ -480,15 +483,18 @@ def s_20(t):
     return rows.select("project_id", "package", "section", F.array_join(texts, "").alias("risks"))
 
 
-@query(
-    "s_21_technical_precision",
+view(
+    "v_precision",
     """
-SELECT project_id, package, section, CASE WHEN note = 'neterror' THEN 'Evaluación parcial: no se pudo consultar OSV para esta dependencia (sin conexión). El estado de versión proviene de npm; los CVE quedan pendientes.'
+SELECT project_id, package, section, o1, o2, o3, CASE WHEN note = 'neterror' THEN 'Evaluación parcial: no se pudo consultar OSV para esta dependencia (sin conexión). El estado de versión proviene de npm; los CVE quedan pendientes.'
   WHEN note IS NOT NULL THEN 'Precisión limitada: la versión no se pudo resolver (catálogo/variable/alias o artefacto no encontrado), por lo que no se evalúa versión exacta ni CVE.'
   WHEN installed IS NULL THEN 'Precisión limitada: no se pudo determinar la versión instalada.'
-  ELSE 'Alta: versión declarada (' || installed || '); última versión verificada en npm; CVE consultados en OSV con coincidencia exacta de versión.' END AS text
+  ELSE 'Alta: versión declarada (' || installed || '); última versión verificada en npm; CVE consultados en OSV con coincidencia exacta de versión.' END AS precision_text
 FROM v_rated""",
 )
+
+
+@query("s_21_technical_precision", "SELECT project_id, package, section, precision_text AS text FROM v_precision")
 def s_21(t):
     return t.rated.select("project_id", "package", "section", dependency_risk.technical_precision(F.col).alias("text"))
 
@@ -650,10 +656,10 @@ def a_04(t):
     return audit.risk_distribution(t.rated).drop("verdict", "verdict_level")
 
 
-@query(
-    "a_05_recommendation",
+view(
+    "v_recommended",
     """
-SELECT project_id, avg_score, CASE WHEN compliance_critico > 0 THEN 'NO RECOMENDADO — RIESGO LEGAL GRAVÍSIMO'
+SELECT *, CASE WHEN compliance_critico > 0 THEN 'NO RECOMENDADO — RIESGO LEGAL GRAVÍSIMO'
   WHEN critico > 0 THEN 'NO RECOMENDADO — riesgo técnico crítico' WHEN compliance_alto > 0 THEN 'NO RECOMENDADO — RIESGO LEGAL GRAVE'
   WHEN alto > 0 THEN 'NO RECOMENDADO — riesgo técnico alto' WHEN medio > 0 THEN 'RECOMENDADO CON OBSERVACIONES'
   WHEN bajo > 0 THEN 'RECOMENDADO CON OBSERVACIONES MENORES' ELSE 'RECOMENDADO' END AS verdict,
@@ -661,6 +667,9 @@ SELECT project_id, avg_score, CASE WHEN compliance_critico > 0 THEN 'NO RECOMEND
     WHEN medio > 0 THEN 'medio' WHEN bajo > 0 THEN 'bajo' ELSE 'ok' END AS verdict_level
 FROM v_overall""",
 )
+
+
+@query("a_05_recommendation", "SELECT project_id, avg_score, verdict, verdict_level FROM v_recommended")
 def a_05(t):
     return audit.risk_distribution(t.rated).select("project_id", "avg_score", "verdict", "verdict_level")
 

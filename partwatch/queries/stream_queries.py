@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import archive, audit, history
 from ..sinks import report, tables
+from ..plans.skew import running_totals
 from ..streaming import streams
 from .registry import query, view
 
@@ -142,17 +143,47 @@ def s_31(t):
     return general.select("project_id", F.regexp_extract("general", r"^.*?declaradas\.", 0).alias("opening"))
 
 
-@query("snk_04_report_lines")
+view(
+    "v_item_lines",
+    """
+SELECT r.*, l.label, greatest(1, length(body) - length(replace(body, ';', ''))) AS n_risks, greatest(1, length(measures) - length(replace(measures, ';', ''))) AS n_measures,
+  section || '|{"ord":{"l_linenumber":' || o1 || ',"l_partkey":' || o2 || ',"l_suppkey":' || o3 || '}}|' || spec AS entry
+FROM v_risks r JOIN (SELECT level AS lv, severity AS sv, legal_level AS ll, any_value(label) AS label FROM v_labels GROUP BY ALL) l
+  ON l.lv = r.level AND l.sv IS NOT DISTINCT FROM r.severity AND l.ll IS NOT DISTINCT FROM r.legal_level""",
+)
+view(
+    "v_item_places",
+    """
+SELECT *, 7 + coalesce(sum(5 + n_risks + n_measures) OVER (PARTITION BY project_id ORDER BY rank DESC, score DESC, package, entry
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v_item_lines""",
+)
+
+
+@query(
+    "snk_04_report_lines",
+    """
+SELECT project_id, 2 AS n, '**Recomendación sobre el inventario:** ' || verdict || '  ·  **Riesgo promedio:** ' || avg_score AS line FROM v_recommended
+UNION ALL SELECT project_id, 4, concat('| ', critico, ' | ', alto, ' | ', medio, ' | ', bajo, ' | ', ok, ' |') FROM v_recommended
+UNION ALL SELECT project_id, cast(before + 1 AS BIGINT), '### ' || package || ' `' || coalesce(installed, '—') || '` — ' || label FROM v_item_places
+UNION ALL SELECT project_id, cast(before + 2 AS BIGINT), '- **Sección:** ' || section || ' · **Última npm:** ' || coalesce(latest, 'n/d') || ' · **Atraso:** ' || coalesce(gap, 'al día') FROM v_item_places
+UNION ALL SELECT project_id, cast(before + 4 + n_risks AS BIGINT), '- **Precisión técnica:** ' || precision_text FROM v_item_places JOIN v_precision USING (project_id, package, section, o1, o2, o3)""",
+)
 def snk_04(t):
+    """The lines whose texts the statement can give, at their places among all lines of the project."""
+    lines = running_totals(report_lines(t), ["project_id"], [F.asc(k) for k in report.LINE_KEYS[1:]], {"n": F.lit(1).cast("bigint")})
+    shown = F.col("line").rlike(r"^(\*\*Recomendación sobre|\| \d|### [^⚖]|- \*\*Sección|- \*\*Precisión)")
+    return lines.where(shown).select("project_id", "n", "line")
+
+
+def report_lines(t):
     rated = t.listed
     overall = audit.risk_distribution(rated)
-    joined = audit.npm_summary(t.entries).join(overall.drop("compliance_critico", "compliance_alto"), "project_id").select(
+    joined = audit.npm_summary(rated).join(overall.drop("compliance_critico", "compliance_alto"), "project_id").select(
         "*", F.concat(F.lit("app"), "project_id").alias("app_name"), F.lit(None).cast("string").alias("app_version")
     )
-    lines = report.report_lines(
+    return report.report_lines(
         audit.with_report_texts(rated), overall, report.general_text(joined), report.conclusion_text(overall, rated)
     )
-    return lines.orderBy(*report.LINE_KEYS)
 
 
 @query(
@@ -226,7 +257,27 @@ def w_12(t):
 @query(
     "t_01_quota_breaches",
     """
-SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 0""",
+SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 1""",
 )
 def t_01(t):
-    return streams.quota_breaches(t.table("events"), 0, ("event_type",))
+    return streams.quota_breaches(t.table("events"), 1, ("event_type",))
+
+
+view(
+    "v_lookups",
+    "SELECT DISTINCT event_type, ts FROM events",
+)
+
+
+@query(
+    "t_02_fresh_lookups",
+    """
+SELECT event_type, ts FROM (WITH RECURSIVE later AS (
+  SELECT event_type, ts, min(ts) OVER (PARTITION BY event_type ORDER BY ts
+    RANGE BETWEEN INTERVAL 600 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS then_ts FROM v_lookups),
+made AS (SELECT event_type, min(ts) AS ts FROM v_lookups GROUP BY 1
+  UNION ALL SELECT l.event_type, l.then_ts FROM made m JOIN later l ON l.event_type = m.event_type AND l.ts = m.ts WHERE l.then_ts IS NOT NULL)
+SELECT * FROM made)""",
+)
+def t_02(t):
+    return streams.fresh_lookups(t.table("events"), ("event_type",))

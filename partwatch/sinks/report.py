@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.audit import priority_packages, risk_order
+from ..operators.audit import priority_packages
 
 
 def _text(c: Column, default: str = "") -> Column:
@@ -122,7 +122,8 @@ def report_lines(rows: DataFrame, overall: DataFrame, general: DataFrame, conclu
     Sort by the key columns within a project and write with ``write_lines``.
     """
     c = F.col
-    level, score, _ = risk_order()
+    # Entries of one package and score keep their lines together: section, then place in the document.
+    entry = F.concat_ws("|", "section", F.to_json(F.struct("ord")), "spec")
 
     def part(df, number, lines):
         return df.select(
@@ -131,6 +132,7 @@ def report_lines(rows: DataFrame, overall: DataFrame, general: DataFrame, conclu
             F.lit(0).alias("level_rank"),
             F.lit(0.0).alias("score"),
             F.lit("").alias("package"),
+            F.lit("").alias("entry"),
             F.posexplode(F.array(*lines)).alias("line_no", "line"),
         )
 
@@ -173,6 +175,7 @@ def report_lines(rows: DataFrame, overall: DataFrame, general: DataFrame, conclu
         (-level_rank(c("level"))).alias("level_rank"),
         (-c("score")).alias("score"),
         "package",
+        entry.alias("entry"),
         F.posexplode(item).alias("line_no", "line"),
     )
     legal_item = F.concat(
@@ -189,13 +192,14 @@ def report_lines(rows: DataFrame, overall: DataFrame, general: DataFrame, conclu
         (-level_rank(c("level"))).alias("level_rank"),
         (-c("score")).alias("score"),
         "package",
+        entry.alias("entry"),
         F.posexplode(legal_item).alias("line_no", "line"),
     )
     end = part(conclusion, 4, [F.lit("## Conclusión General"), c("conclusion")])
     return head.unionByName(intro).unionByName(items).unionByName(legal).unionByName(end)
 
 
-LINE_KEYS = ("project_id", "section_no", "level_rank", "score", "package", "line_no")
+LINE_KEYS = ("project_id", "section_no", "level_rank", "score", "package", "entry", "line_no")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
