@@ -155,10 +155,30 @@ def with_advisory_package(cycles: DataFrame, packages: DataFrame) -> DataFrame:
     ``packages`` has one row per slug; its size is left to the optimiser, which broadcasts it only when small.
     """
     joined = cycles.join(packages, "slug", "left")
-    mapped = F.col("package").isNotNull() & (F.coalesce("latest", "cycle") != "")
+    mapped = F.col("package").isNotNull() & (F.coalesce(F.when(F.col("latest") != "", F.col("latest")), F.col("cycle"), F.lit("")) != "")
     return joined.withColumn("vuln_status", F.when(~mapped, "no-map"))
 
 
+def with_advisories(cycles: DataFrame, packages: DataFrame, by_version: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """J-03 with J-06: the advisories of each cycle's version. ``packages(slug, ecosystem, package)`` has one row per slug.
+
+    ``no-map`` without a mapping or a version, ``neterror`` where the lookup is in ``failed(ecosystem, package, version)``,
+    else ``vulnerable`` or ``clean`` with the count; only looked-up cycles have a count.
+    """
+    key = ["ecosystem", "package", "version"]
+    mapped = with_advisory_package(cycles, packages).withColumn("version", F.coalesce(F.when(F.col("latest") != "", F.col("latest")), "cycle"))
+    lost = (
+        mapped.select(*key).limit(0).withColumn("_failed", F.lit(True))
+        if failed is None
+        else failed.select(*key).distinct().withColumn("_failed", F.lit(True))
+    )
+    joined = lookup_join(lookup_join(mapped, by_version.select(*key, "vuln_count"), key), lost, key)
+    known = F.col("vuln_status").isNull() & F.col("_failed").isNull()
+    count = F.when(known, F.coalesce("vuln_count", F.lit(0).cast("bigint")))
+    status = F.coalesce("vuln_status", F.when(F.col("_failed"), "neterror"), F.when(count > 0, "vulnerable").otherwise("clean"))
+    return joined.select(*cycles.columns, status.alias("vuln_status"), count.alias("vuln_count"))
+
+
 def registry_products(cycles: DataFrame, libraries: DataFrame) -> DataFrame:
     """J-27: display name and category of the registry packages in the catalogue."""
     return cycles.join(libraries, "slug")

@@ -448,27 +448,75 @@ def snk_08(t):
 
 
 view(
-    "v_upsert",
+    "v_feed",
     """
-SELECT slug, cycle, latest, status, vuln_count FROM (
-  SELECT coalesce(o.slug, n.slug) AS slug, coalesce(o.cycle, n.cycle) AS cycle,
-    CASE WHEN n.slug IS NULL THEN o.latest ELSE n.latest END AS latest,
-    CASE WHEN n.slug IS NULL THEN o.status ELSE n.status END AS status,
-    CASE WHEN n.slug IS NULL THEN o.vuln_count ELSE n.vuln_count END AS vuln_count,
-    o.latest AS old_latest, o.vuln_count AS old_count, o.slug IS NULL AS added
-  FROM v_cycles o FULL JOIN (SELECT package AS slug, installed AS cycle, any_value(latest) AS latest,
-      CASE WHEN any_value(gap) IS NULL THEN 'vigente' ELSE 'desactualizada' END AS status, any_value(vuln_count) AS vuln_count
-    FROM v_entries WHERE installed IS NOT NULL AND installed <> '' GROUP BY 1, 2) n ON o.slug = n.slug AND o.cycle = n.cycle)""",
+SELECT 'pkg-' || l_partkey AS slug, cast(l_linenumber AS VARCHAR) AS cycle,
+  concat(l_partkey % 5, '.', l_linenumber, '.', (l_partkey + l_linenumber) % 10) AS latest, l_partkey AS part FROM lineitem GROUP BY ALL""",
 )
 
 
-@query("snk_07_upsert_npm", "SELECT slug, cycle, latest, status, vuln_count FROM v_upsert")
+@query(
+    "snk_08_refresh_catalogue",
+    """
+SELECT slug, cycle, latest, vuln_status, vuln_count FROM v_cycles WHERE cast(substr(slug, 5) AS BIGINT) % 3 <> 0
+UNION ALL SELECT slug, cycle, latest, CASE WHEN part % 4 = 0 THEN 'no-map' WHEN part % 31 = 0 THEN 'neterror' WHEN n IS NULL THEN 'clean' ELSE 'vulnerable' END,
+  CASE WHEN part % 4 <> 0 AND part % 31 <> 0 THEN coalesce(n, 0) END
+FROM v_feed LEFT JOIN v_by_version ON package = slug AND version = latest WHERE part % 3 = 0""",
+)
+def snk_08_refresh(t):
+    """Every third product is refreshed: its cycles are looked up and replace the stored ones."""
+    part = F.substring_index("slug", "-", -1).cast("bigint")
+    latest = F.concat_ws(".", part % 5, F.col("cycle"), (part + F.col("cycle").cast("int")) % 10)
+    feed = t.raw_cycles.where(part % 3 == 0).select("slug", "cycle", latest.alias("latest"))
+    slugs = feed.select("slug").distinct()
+    packages = slugs.where(part % 4 != 0).select("slug", F.lit("npm").alias("ecosystem"), F.col("slug").alias("package"))
+    failed = feed.where(part % 31 == 0).select(F.lit("npm").alias("ecosystem"), F.col("slug").alias("package"), F.col("latest").alias("version"))
+    new = catalog.with_advisories(feed, packages, t.by_version, failed)
+    return tables.replace_cycles(t.cycles.select(*new.columns), slugs, new)
+
+
+def upserted(items, kind):
+    """Items into an inventory that holds those with keys of an even length, so rows are changed and added alike."""
+    known = (F.length("slug") + F.length("cycle")) % 2 == 0
+    old = items.where(known).withColumns({"latest": F.lit("old"), "status": F.lit("old"), "lts": F.lit("kept")})
+    kept = old.unionByName(old.withColumns({"slug": F.concat(F.lit("gone-"), "slug")}))
+    return tables.upsert_cycles(kept, items, kind).select("slug", "cycle", "latest", "status", "lts")
+
+
+def upsert_sql(items: str, kind: str) -> str:
+    latest = "CASE WHEN known THEN 'old' ELSE latest END" if kind == "plugin" else "latest"
+    return f"""
+SELECT slug, cycle, {latest} AS latest, status, CASE WHEN known THEN 'kept' END AS lts
+FROM (SELECT *, (length(slug) + length(cycle)) % 2 = 0 AS known FROM ({items}))
+UNION ALL SELECT 'gone-' || slug, cycle, 'old', 'old', 'kept' FROM ({items}) WHERE (length(slug) + length(cycle)) % 2 = 0"""
+
+
+ITEMS_SQL = """SELECT {0} || package AS slug, installed AS cycle, any_value(latest) AS latest,
+  CASE WHEN any_value(gap) IS NULL OR any_value(gap) = '' THEN 'vigente' ELSE 'desactualizada' END AS status FROM v_entries
+  WHERE installed <> '' GROUP BY package, installed"""
+
+
+@query("snk_07_upsert_npm", upsert_sql(ITEMS_SQL.format("''"), "npm"))
 def snk_07(t):
-    entries = t.listed_entries.where(F.col("installed").isNotNull()).dropDuplicates(["package", "installed"])
-    items = tables.inventory_rows(entries, "npm", "2024-06-01")
-    old = t.cycles.withColumn("updated_at", F.lit("2024-01-01")).withColumn("vuln_details", F.lit("[]"))
-    merged = tables.upsert_cycles(old, items, "npm")
-    return merged.select("slug", "cycle", "latest", "status", "vuln_count")
+    return upserted(tables.inventory_rows(t.listed_entries.where(F.col("installed").isNotNull()), "npm", "2024-06-01"), "npm")
+
+
+@query("snk_07_upsert_maven", upsert_sql(ITEMS_SQL.format("'g:'"), "maven"))
+def snk_07_maven(t):
+    entries = t.listed_entries.where(F.col("installed").isNotNull()).withColumn("package", F.concat(F.lit("g:"), "package"))
+    return upserted(tables.inventory_rows(entries, "maven", "2024-06-01"), "maven")
+
+
+@query(
+    "snk_07_products",
+    """
+SELECT DISTINCT package AS slug, 'Node / npm (paquete)' AS category, package AS display_name FROM v_entries
+UNION ALL SELECT DISTINCT 'g:' || package, 'Android / Gradle (Maven)', package FROM v_entries""",
+)
+def snk_07_products(t):
+    maven = t.entries.withColumn("package", F.concat(F.lit("g:"), "package"))
+    rows = tables.inventory_products(t.entries, "npm", "2024-06-01").unionByName(tables.inventory_products(maven, "maven", "2024-06-01"))
+    return rows.drop("updated_at")
 
 
 @query(

@@ -9,6 +9,7 @@ from ..functions import platform
 from ..operators import audit, gradle
 from ..sinks import tables
 from .catalog_queries import values
+from .catalog_queries import upsert_sql, upserted
 from .registry import query, view
 
 # {k} is the order, {p} one to five, {s} a platform number.
@@ -373,19 +374,29 @@ def a_02(t):
 
 
 @query(
-    "snk_07_upsert_gradle",
-    """
-SELECT slug, cycle, status FROM (SELECT DISTINCT 'gradle-plugin:' || plugin_id AS slug, coalesce(version, '—') AS cycle,
-  CASE WHEN starts_with(plugin_id, 'libs.') THEN 'desconocido' ELSE 'ok' END AS status FROM v_plugins
-UNION SELECT DISTINCT 'android:' || platform_kind, installed, platform_level FROM v_sdk UNION SELECT DISTINCT 'android:' || platform_kind, installed, platform_level FROM v_tools)""",
+    "snk_07_upsert_plugin",
+    upsert_sql(
+        """SELECT DISTINCT 'gradle-plugin:' || plugin_id AS slug, coalesce(version, '—') AS cycle, NULL::VARCHAR AS latest,
+  CASE WHEN starts_with(plugin_id, 'libs.') THEN 'desconocido' ELSE 'ok' END AS status FROM v_plugins""",
+        "plugin",
+    ),
+)
+def snk_07_plugin(t):
+    entries = audit.with_entry_fields(gradle.plugin_entries(gradle.plugins(manifests(t))))
+    return upserted(tables.inventory_rows(entries, "plugin", "2024-06-01"), "plugin")
+
+
+@query(
+    "snk_07_upsert_platform",
+    upsert_sql(
+        """SELECT DISTINCT 'android:' || platform_kind AS slug, installed AS cycle, NULL::VARCHAR AS latest, platform_level AS status FROM v_sdk
+  UNION SELECT DISTINCT 'android:' || platform_kind, installed, NULL, platform_level FROM v_tools""",
+        "platform",
+    ),
 )
-def snk_07(t):
-    m = manifests(t)
-    plugin = audit.with_entry_fields(gradle.plugin_entries(gradle.plugins(m)))
-    plat = audit.with_entry_fields(gradle.platform_entries(m))
-    new = tables.inventory_rows(plugin, "plugin", "2024-06-01").unionByName(tables.inventory_rows(plat, "platform", "2024-06-01"))
-    unique = tables.newest_row(new, ["slug", "cycle"], "updated_at")
-    return unique.select("slug", "cycle", "status")
+def snk_07_platform(t):
+    entries = audit.with_entry_fields(gradle.platform_entries(manifests(t)))
+    return upserted(tables.inventory_rows(entries, "platform", "2024-06-01").withColumn("latest", F.lit(None).cast("string")), "platform")
 
 
 @query(

@@ -33,7 +33,7 @@ def inventory_key(kind: str, package: Column) -> Column:
 
 
 def inventory_rows(entries: DataFrame, kind: str, now: str) -> DataFrame:
-    """Audited entries as inventory cycles, one row per key (the last one read wins, as in a sequence of upserts)."""
+    """Audited entries as inventory cycles, one row per key: the one last in (project, place in the document), as after upserts."""
     key = F.coalesce("platform_kind", "package", F.lit("item")) if kind == "platform" else F.col("package")
     rows = entries if kind != "maven" else entries.where(F.col("package").contains(":"))
     rows = rows.where(F.coalesce(key, F.lit("")) != "")
@@ -44,7 +44,8 @@ def inventory_rows(entries: DataFrame, kind: str, now: str) -> DataFrame:
         else F.coalesce("platform_level", F.lit("ok"))
     )
     installed = F.coalesce(F.col("installed"), F.lit("—"))
-    return rows.select(
+    place = F.struct(*[c for c in ("project_id", "ord") if c in entries.columns])
+    shaped = rows.select(
         inventory_key(kind, key).alias("slug"),
         installed.alias("cycle"),
         "latest",
@@ -54,7 +55,9 @@ def inventory_rows(entries: DataFrame, kind: str, now: str) -> DataFrame:
         (F.col("vuln_ids") if aged else F.array().cast("array<string>")).alias("vuln_ids"),
         (F.coalesce(F.to_json(F.transform("vuln_details", lambda d: displayed(d))), F.lit("[]")) if aged else F.lit("[]")).alias("vuln_details"),
         F.lit(now).alias("updated_at"),
+        place.alias("_place"),
     )
+    return newest_row(shaped, ["slug", "cycle"], "_place").drop("_place")
 
 
 def inventory_products(entries: DataFrame, kind: str, now: str) -> DataFrame:
