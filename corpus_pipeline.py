@@ -54,8 +54,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their whole texts, their number, and whether decoding gives the text back."""
     model = pieces.Pieces(PIECE_MODEL)
-    rows = pieces.decode(pieces.encode(docs, model), model)
-    return rows.select(*docs.columns, "ids", F.size("ids").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+    rows = pieces.encode(docs, model, exact_col="exact")
+    return rows.select(*docs.columns, "ids", F.size("ids").alias("n_ids"), "exact")
 
 
 STAGES = [

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; one of its own only where that is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The shared folder named in ``spark.checkpoint.dir``; one of its own only on a single machine where that is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (context.master == "local" or context.master.startswith("local[")):
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -8,11 +8,10 @@ character without a piece becomes its bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling
@@ -20,7 +19,9 @@ from . import rolling
 BLANK = "▁"
 SPACE = 0x20
 # Cells (segments x bytes) of the score table of one group of segments.
-CELLS = 1 << 21
+CELLS = 1 << 19
+# Ids decoded at once.
+TOKENS = 1 << 18
 
 
 class Pieces:
@@ -191,45 +192,74 @@ def automaton(pieces: Pieces) -> Automaton:
     return _built[0][1]
 
 
-def encode_batch(machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids of the rows and the number of ids of each, for one group of rows after the other."""
-    for a, b in rolling.row_groups(offsets):
-        raw = data[offsets[a] : offsets[b]]
-        bounds = offsets[a : b + 1] - offsets[a]
-        some = np.diff(bounds) > 0
-        shift = np.concatenate(([0], np.cumsum(some)))
-        spaced = np.full(len(raw) + shift[-1], SPACE, np.uint8)
-        spaced[np.arange(len(raw)) + np.repeat(shift[1:], np.diff(bounds))] = raw
-        bounds = bounds + shift
-        starts, ends, before = machine.segments(spaced, bounds)
-        # Equal segments are encoded once.
-        _, one, which = np.unique(rolling.word_hashes(spaced, starts, ends), return_index=True, return_inverse=True)
-        ids, counts = machine.encode(spaced, starts[one], ends[one])
-        sizes = counts[which]
-        out = ids[ranges((np.cumsum(counts) - counts)[which], sizes)]
-        yield out, np.diff(np.concatenate(([0], np.cumsum(sizes)))[before])
-
-
-def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode_rows(machine: Automaton, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the rows of a group, and the number of ids of each row."""
+    some = np.diff(bounds) > 0
+    shift = np.concatenate(([0], np.cumsum(some)))
+    spaced = np.full(len(raw) + shift[-1], SPACE, np.uint8)
+    spaced[np.arange(len(raw)) + np.repeat(shift[1:], np.diff(bounds))] = raw
+    bounds = bounds + shift
+    starts, ends, before = machine.segments(spaced, bounds)
+    # Equal segments are encoded once.
+    _, one, which = np.unique(rolling.word_hashes(spaced, starts, ends), return_index=True, return_inverse=True)
+    ids, counts = machine.encode(spaced, starts[one], ends[one])
+    sizes = counts[which]
+    out = ids[ranges((np.cumsum(counts) - counts)[which], sizes)]
+    return out, np.diff(np.concatenate(([0], np.cumsum(sizes)))[before])
+
+
+class Decoder:
+    """Texts of ids. Ids outside the model and control pieces have none."""
+
+    def __init__(self, pieces: Pieces):
+        texts = [b""] * (pieces.size + 1)
+        for i, text in zip(pieces.ids, pieces.texts, strict=True):
+            texts[i] = text
+        for byte, i in enumerate(pieces.byte_ids):
+            texts[i] = bytes([byte])
+        self.none = pieces.size
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+
+    def rows(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Bytes of each row's ids, without the blank that was put before the text."""
+        ids = np.where((ids >= 0) & (ids < self.none), ids, self.none).astype(np.int64)
+        raw = self.data[ranges(self.start[ids], self.size[ids])].tobytes()
+        cuts = np.concatenate(([0], np.cumsum(self.size[ids])))[bounds - bounds[0]].tolist()
+        return [raw[i:j].removeprefix(b" ") for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out_col: str = "ids", exact_col: str | None = None) -> DataFrame:
     """All columns of ``docs`` with ``out_col``, the ids of the whole text (replacing a column of that name).
 
     The ids are those of the segmentation with the greatest sum of scores; of equal sums, the one whose last piece is longest,
     and so on backwards. A null text has null, an empty one no ids. Rows are independent of each other and may repeat.
+    With ``exact_col``, the ids are decoded at once and that column tells whether they give the text back (null for a null text).
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    kept = docs.select(*[c for c in docs.columns if c != out_col])
-    schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), False))])
+    added = [T.StructField(out_col, T.ArrayType(T.IntegerType(), False))]
+    if exact_col:
+        added.append(T.StructField(exact_col, T.BooleanType()))
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (out_col, exact_col)])
+    schema = T.StructType(kept.schema.fields + added)
 
     def apply(batches):
-        machine = automaton(shared.value)
+        machine, decoder = automaton(shared.value), Decoder(shared.value)
         for batch in batches:
-            column = batch[text_col]
-            parts = list(encode_batch(machine, *rolling.text_bytes(column)))
-            ids = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int32)
-            counts = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
-            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=column.is_null() if column.null_count else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.names)
+            data, offsets = rolling.text_bytes(batch[text_col])
+            for a, b in rolling.row_groups(offsets):
+                rows = batch.slice(a, b - a)
+                raw, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                ids, counts = encode_rows(machine, raw, own)
+                where = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                null = rows[text_col].is_null()
+                new = [pa.ListArray.from_arrays(pa.array(where), pa.array(ids.astype(np.int32)), mask=null if null.true_count else None)]
+                if exact_col:
+                    texts = raw.tobytes()
+                    same = [texts[i:j] == t for i, j, t in zip(own[:-1], own[1:], decoder.rows(ids, where), strict=True)]
+                    new.append(pa.array(same, pa.bool_(), mask=null.to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=schema.names)
 
     return kept.mapInArrow(apply, schema)
 
@@ -240,31 +270,19 @@ def decode(tokens: DataFrame, pieces: Pieces, ids_col: str = "ids", out_col: str
     The inverse of ``encode``: the blank put before the text goes, bytes join to characters. Ids outside the model and control pieces
     have no text; bytes that form no character become U+FFFD. Null ids have null.
     """
-    texts = [b""] * pieces.size
-    for i, text in zip(pieces.ids, pieces.texts, strict=True):
-        texts[i] = text
-    for byte, i in enumerate(pieces.byte_ids):
-        texts[i] = bytes([byte])
-    shared = tokens.sparkSession.sparkContext.broadcast(texts)
-    kept = tokens.select(*[c for c in tokens.columns if c != out_col])
+    shared = tokens.sparkSession.sparkContext.broadcast(pieces)
+    kept = tokens.select(*[F.col(f"`{c}`") for c in tokens.columns if c != out_col])
     schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())])
 
     def apply(batches):
-        size = np.array([len(t) for t in shared.value] + [0], np.int64)
-        start = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(shared.value), np.uint8)
+        decoder = Decoder(shared.value)
         for batch in batches:
-            column = batch[ids_col]
-            where = column.offsets.to_numpy().astype(np.int64)
-            ids = column.values.to_numpy(zero_copy_only=False)[where[0] : where[-1]].astype(np.int64)
-            ids = np.where((ids >= 0) & (ids < len(size) - 1), ids, len(size) - 1)
-            raw = data[ranges(start[ids], size[ids])].tobytes()
-            cuts = np.concatenate(([0], np.cumsum(size[ids])))[where - where[0]].tolist()
-            nulls = column.is_null().to_pylist()
-            out = [
-                None if null else raw[i:j].removeprefix(b" ").decode("utf-8", "replace")
-                for null, i, j in zip(nulls, cuts[:-1], cuts[1:], strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)
+            where = batch[ids_col].offsets.to_numpy().astype(np.int64)
+            for a, b in rolling.row_groups(where - where[0], TOKENS):
+                rows, bounds = batch.slice(a, b - a), where[a : b + 1]
+                ids = batch[ids_col].values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy(zero_copy_only=False)
+                nulls = rows[ids_col].is_null().to_pylist()
+                out = [None if null else t.decode("utf-8", "replace") for null, t in zip(nulls, decoder.rows(ids, bounds), strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.string())], names=schema.names)
 
     return kept.mapInArrow(apply, schema)

@@ -48,7 +48,8 @@ def test_scores_are_best(spark):
 def test_round_trip(spark, small):
     rows = [*small, *((10_000 + i, t) for i, t in enumerate(TEXTS))]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, decoded string").repartition(3)
-    out = sp.decode(sp.encode(frame, MODEL), MODEL)
+    out = sp.decode(sp.encode(frame, MODEL, exact_col="exact"), MODEL)
+    assert out.where("NOT exact OR exact IS NULL AND text IS NOT NULL").count() == 0
     assert out.where(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0
     assert out.where("text IS NULL AND ids IS NULL").count() == 1 and out.where("text = '' AND size(ids) = 0").count() == 1
     assert sp.encode(frame.where("false"), MODEL).count() == 0
