@@ -208,58 +208,65 @@ def gitleaks(reports: DataFrame) -> DataFrame:
 
 
 def trivy(reports: DataFrame) -> DataFrame:
-    """N-06: dependencies (without a line), secrets and configuration."""
-    res = _items(reports, F.from_json("body", TRIVY)["Results"]).select("project_id", "root", F.col("r.Target").alias("anchor"), "r.*")
-    child = lambda name: res.select("project_id", "root", "anchor", F.explode(name).alias("v"))
-    c = F.col
-    text = lambda name: F.coalesce(c(name), F.lit(""))
-    update = F.when(
-        text("v.FixedVersion") != "",
-        F.concat(F.lit("Actualizar "), text("v.PkgName"), F.lit(" a "), c("v.FixedVersion"), F.lit(".")),
-    ).otherwise("Actualizar la dependencia a una versión sin la vulnerabilidad.")
-    dependencies = child("Vulnerabilities").select(
-        *_finding(
-            "trivy",
-            c("anchor"),
+    """N-06: dependencies (without a line), secrets and configuration, from one reading of each report."""
+    lit = lambda c: (F.lit(c) if not isinstance(c, Column) else c).cast("string")
+
+    def shaped(line, rule, title, category, severity, evidence, cwe, mitigation) -> Column:
+        values = {"rule": rule, "title": title, "category": category, "severity": severity, "evidence": evidence, "cwe": cwe, "mitigation": mitigation}
+        return F.struct(F.lit(line).cast("int").alias("line"), *[lit(v).alias(n) for n, v in values.items()])
+
+    def dependency(v: Column) -> Column:
+        text = lambda name: F.coalesce(v[name], F.lit(""))
+        update = F.when(
+            text("FixedVersion") != "",
+            F.concat(F.lit("Actualizar "), text("PkgName"), F.lit(" a "), v["FixedVersion"], F.lit(".")),
+        ).otherwise("Actualizar la dependencia a una versión sin la vulnerabilidad.")
+        return shaped(
             None,
-            F.concat(F.lit("TRIVY-"), F.coalesce(c("v.VulnerabilityID"), F.lit("VULN"))),
-            _or(F.coalesce(F.when(c("v.Title") != "", c("v.Title")), c("v.VulnerabilityID")), "Dependencia vulnerable"),
+            F.concat(F.lit("TRIVY-"), F.coalesce(v["VulnerabilityID"], F.lit("VULN"))),
+            _or(F.coalesce(F.when(v["Title"] != "", v["Title"]), v["VulnerabilityID"]), "Dependencia vulnerable"),
             "DEPENDENCIA VULNERABLE (SCA)",
-            local_severity(c("v.Severity")),
-            F.concat(text("v.PkgName"), F.lit(" "), text("v.InstalledVersion"), F.lit(" -> "), text("v.VulnerabilityID")),
-            st.cwe_id(F.get(c("v.CweIDs"), F.lit(0))),
+            local_severity(v["Severity"]),
+            F.concat(text("PkgName"), F.lit(" "), text("InstalledVersion"), F.lit(" -> "), text("VulnerabilityID")),
+            st.cwe_id(F.get(v["CweIDs"], F.lit(0))),
             update,
         )
-    )
-    secrets = child("Secrets").select(
-        *_finding(
-            "trivy",
-            c("anchor"),
-            c("v.StartLine"),
-            F.concat(F.lit("TRIVY-SEC-"), F.coalesce(c("v.RuleID"), F.lit("secreto"))),
-            F.concat(F.lit("Secreto detectado: "), F.coalesce(c("v.Title"), F.lit("genérico"))),
+
+    def secret(v: Column) -> Column:
+        return shaped(
+            v["StartLine"],
+            F.concat(F.lit("TRIVY-SEC-"), F.coalesce(v["RuleID"], F.lit("secreto"))),
+            F.concat(F.lit("Secreto detectado: "), F.coalesce(v["Title"], F.lit("genérico"))),
             SECRETS,
-            local_severity(c("v.Severity"), "alto"),
-            c("v.Match"),
+            local_severity(v["Severity"], "alto"),
+            v["Match"],
             "CWE-798",
             ROTATE_IN,
         )
-    )
-    configuration = child("Misconfigurations").select(
-        *_finding(
-            "trivy",
-            c("anchor"),
-            c("v.CauseMetadata.StartLine"),
-            F.concat(F.lit("TRIVY-CFG-"), F.coalesce(c("v.ID"), F.lit("config"))),
-            _or(c("v.Title"), "Configuración insegura"),
+
+    def configuration(v: Column) -> Column:
+        return shaped(
+            v["CauseMetadata"]["StartLine"],
+            F.concat(F.lit("TRIVY-CFG-"), F.coalesce(v["ID"], F.lit("config"))),
+            _or(v["Title"], "Configuración insegura"),
             "CONFIGURACIÓN INSEGURA (IaC)",
-            local_severity(c("v.Severity")),
-            c("v.Message"),
+            local_severity(v["Severity"]),
+            v["Message"],
             None,
-            _or(c("v.Resolution"), "Corregir la configuración según la recomendación de Trivy."),
+            _or(v["Resolution"], "Corregir la configuración según la recomendación de Trivy."),
         )
+
+    names = ("rule", "title", "category", "severity", "evidence", "cwe", "mitigation")
+    nothing = F.array().cast("array<struct<line:int," + ",".join(f"{n}:string" for n in names) + ">>")
+    children = F.concat(
+        *[
+            F.coalesce(F.transform(F.col("r")[name], shape), nothing)
+            for name, shape in (("Vulnerabilities", dependency), ("Secrets", secret), ("Misconfigurations", configuration))
+        ]
     )
-    return dependencies.unionByName(secrets).unionByName(configuration)
+    rows = _items(reports, F.from_json("body", TRIVY)["Results"]).select("project_id", "root", F.col("r.Target").alias("anchor"), F.explode(children).alias("f"))
+    f = F.col("f")
+    return rows.select(*_finding("trivy", F.col("anchor"), f["line"], *[f[n] for n in names]))
 
 
 def retire(reports: DataFrame) -> DataFrame:
