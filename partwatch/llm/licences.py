@@ -137,6 +137,10 @@ def normal(sentence: str) -> str:
     return re.sub(r"[.!?]+$", "", re.sub(OTHER, " ", sentence.lower()).strip()).strip()
 
 
+# Each known sentence holds one of these, so a text without any needs no further reading.
+TRIGGERS = ("licen", "software", "redistribution", "warrant")
+
+
 KNOWN = {normal(text): name for name, text in SENTENCES.items()}
 
 
@@ -148,14 +152,25 @@ def _identifiers(text: Column, end: str) -> Column:
 
 
 def _matched(identifiers: Column) -> Column:
-    """Each rule's ``licence/kind`` if it matches what earlier rules left, as an array in the order of the rules."""
-    left = F.concat(F.lit(" "), F.array_join(identifiers, "  "), F.lit(" "))
-    found = []
-    for licence, kind, names in RULES:
-        pattern = " " + "  ".join(names) + " "
-        found.append(F.when(F.contains(left, F.lit(pattern)), F.lit(f"{licence}/{kind}")))
-        left = F.replace(left, F.lit(pattern), F.lit(" | "))
-    return F.array_compact(F.array(*found))
+    """Each rule's ``licence/kind`` if it matches what earlier rules left, as an array in the order of the rules.
+
+    A fold over the rules: as one nested expression per rule the plan would grow with their square.
+    """
+    rule = lambda licence, kind, names: F.struct(
+        F.lit(" " + "  ".join(names) + " ").alias("pattern"), F.lit(f"{licence}/{kind}").alias("label")
+    )
+    start = F.struct(
+        F.concat(F.lit(" "), F.array_join(identifiers, "  "), F.lit(" ")).alias("left"), F.array().cast("array<string>").alias("found")
+    )
+
+    def apply(state: Column, r: Column) -> Column:
+        hit = F.contains(state["left"], r["pattern"])
+        return F.struct(
+            F.replace(state["left"], r["pattern"], F.lit(" | ")).alias("left"),
+            F.when(hit, F.concat(state["found"], F.array(r["label"]))).otherwise(state["found"]).alias("found"),
+        )
+
+    return F.aggregate(F.array(*[rule(*r) for r in RULES]), start, apply, lambda state: state["found"])
 
 
 def scan_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -167,7 +182,9 @@ def scan_licences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     form; ``matches``, the ``licence/kind`` of each rule that matches in line form, then those only in flow form; ``licences``,
     the distinct licences, sorted. A null or empty text has none. Rows are independent of each other.
     """
-    plain = F.regexp_replace(F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), UPPER, LOWER), OTHER, " ")
+    text = F.col(f"`{text_col}`").cast("string")
+    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), OTHER, " ")
+    plain = F.when(text.rlike("(?i)" + "|".join(TRIGGERS)), plain).otherwise("")
     flow = F.regexp_replace(F.regexp_replace(plain, EMPTY_LINE, ". "), LINE_BREAK, " ")
     rows = docs.select("*", _identifiers(plain, LINE_END).alias("__lines"), _identifiers(flow, FLOW_END).alias("__flow"))
     rows = rows.withColumns({"__of_lines": _found("__lines"), "__of_flow": _found("__flow")})

@@ -12,6 +12,10 @@ def test_query_equals_sql(spark):
     assert QUERIES[name](spark, SF).where("n_licences > 0").count() > 0
 
 
+def test_every_known_sentence_has_a_trigger():
+    assert all(any(t in s for t in licences.TRIGGERS) for s in licences.KNOWN)
+
+
 def test_rules(spark):
     s = licences.SENTENCES
     mit = "Copyright (c) 2024 Some One\n\n" + "\n".join(s[k] for k in licences.RULES[0][2]).replace(" of ", "\nof ")
