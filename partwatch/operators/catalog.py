@@ -8,23 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.versions import maven_stable, npm_stable, semver
 from ..plans.skew import lookup_join, top_per_group
 
-# Fixed values.
-CATALOG_FIELDS = (
-    "slug",
-    "cycle",
-    "latest",
-    "release_date",
-    "support",
-    "eol",
-    "lts",
-    "status",
-    "vuln_status",
-    "vuln_count",
-    "vuln_ids",
-    "vuln_details",
-    "updated_at",
-)
-
 
 def safe_date(text: Column) -> Column:
     """Date of an ISO text, or null (S-02)."""

@@ -205,10 +205,14 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     )
 
 
-def severity_order(findings: DataFrame) -> DataFrame:
-    """O-09: counts by severity, gravest first."""
-    rank = st.lookup(F.col("severity"), SEVERITY_RANK)
-    return findings.groupBy("project_id", "severity").agg(F.count("*").alias("findings")).orderBy("project_id", F.desc(rank))
+def gravest_first() -> Column:
+    """O-09."""
+    return F.desc(st.lookup(F.col("severity"), SEVERITY_RANK))
+
+
+def severity_counts(findings: DataFrame) -> DataFrame:
+    """Counts by severity; read them in the order ``gravest_first``."""
+    return findings.groupBy("project_id", "severity").agg(F.count("*").alias("findings"))
 
 
 def extension_counts(files: DataFrame) -> DataFrame:

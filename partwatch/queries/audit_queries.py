@@ -8,7 +8,7 @@ from ..functions import advisories as adv
 from ..functions import compliance, dependency_risk, versions
 from ..operators import audit
 from ..sources import feeds, manifests
-from .registry import query, view
+from .registry import placed, query, view
 
 VERSION = "concat(cast(l_quantity AS INT) % 5, '.', l_linenumber, '.', l_suppkey % 10)"
 
@@ -700,20 +700,25 @@ def a_32(t):
 # ---- order and limits
 
 
-@query("o_02_risk_order", "SELECT project_id, package, level, score FROM v_rated")
+@query(
+    "o_02_risk_order",
+    """
+SELECT project_id, package, level, score, row_number() OVER (PARTITION BY project_id ORDER BY rank DESC, score DESC, package) AS n FROM v_rated""",
+)
 def o_02(t):
-    return t.rated.select("project_id", "package", "level", "score").orderBy("project_id", *audit.risk_order())
+    rows = t.rated.select("project_id", "package", "level", "score")
+    return placed(rows, ["project_id"], audit.risk_order())
 
 
 @query(
     "o_05_audit_order",
     """
 SELECT project_id, package, CASE WHEN vuln_count > 0 THEN 0 WHEN gap = 'major' THEN 1 WHEN gap = 'minor' THEN 2
-  WHEN gap = 'patch' THEN 3 WHEN NOT outdated THEN 5 ELSE 4 END AS rank FROM v_entries""",
+  WHEN gap = 'patch' THEN 3 WHEN NOT outdated THEN 5 ELSE 4 END AS rank, row_number() OVER (PARTITION BY project_id ORDER BY rank, package) AS n FROM v_entries""",
 )
 def o_05(t):
     rank = dependency_risk.audit_rank(F.col("vuln_count"), F.col("gap"), F.col("outdated"))
-    return t.entries.select("project_id", "package", rank.alias("rank")).orderBy("project_id", "rank", "package")
+    return placed(t.entries.select("project_id", "package", rank.alias("rank")), ["project_id"], [F.asc("rank"), F.asc("package")])
 
 
 view(

@@ -8,7 +8,7 @@ from .. import dims
 from ..operators import catalog
 from ..sinks import tables
 from ..sources import feeds
-from .registry import query, view
+from .registry import placed, query, view
 
 
 def values(rows) -> str:
@@ -223,9 +223,13 @@ def j_01(t):
     )
 
 
-@query("o_01_catalog_order", "SELECT category, slug, cycle, status FROM v_catalog")
+@query(
+    "o_01_catalog_order",
+    "SELECT category, slug, cycle, status, row_number() OVER (ORDER BY category, slug, cycle DESC) AS n FROM v_catalog",
+)
 def o_01(t):
-    return catalog.catalog(t.cycles, t.products).select("category", "slug", "cycle", "status").orderBy(*catalog.catalog_order())
+    rows = catalog.catalog(t.cycles, t.products).select("category", "slug", "cycle", "status")
+    return placed(rows, [], catalog.catalog_order())
 
 
 @query("f_01_category_status", "SELECT slug, cycle FROM v_catalog WHERE category = 'ECONOMY' AND status = 'eol'")

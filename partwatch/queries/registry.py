@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..plans.skew import running_totals
 from .fixtures import Fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,11 @@ def with_views(sql: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names) + "\n" + sql.strip()
 
 
+def placed(df, keys: list[str], order: list):
+    """Rows with ``n``, their place in an order: row sets alone would not show it."""
+    return running_totals(df, keys, order, {"n": F.lit(1).cast("bigint")})
+
+
 def query(name: str, oracle: str | None = None):
     """Register ``fn(Fixtures) -> DataFrame`` under ``name``."""
 

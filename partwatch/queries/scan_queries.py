@@ -9,7 +9,7 @@ from ..operators import scan, taint
 from ..rules import LANGUAGE_RULES, RULES, Rule
 from .catalog_queries import values
 from .fixtures import ENGINES, HEAD, SOURCE_LINES, TAIL
-from .registry import query, view
+from .registry import placed, query, view
 
 
 def literal(text: str) -> str:
@@ -260,9 +260,14 @@ def a_06(t):
     return scan.finding_counts(scan.scan_files(t.scanned))
 
 
-@query("o_09_severity_order", "SELECT project_id, severity, count(*) AS findings FROM v_hits GROUP BY ALL")
+@query(
+    "o_09_severity_order",
+    """
+SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY list_position(['crítico', 'alto', 'medio', 'bajo', 'info'], severity)) AS n
+FROM (SELECT project_id, severity, count(*) AS findings FROM v_hits GROUP BY ALL)""",
+)
 def o_09(t):
-    return scan.severity_order(scan.scan_files(t.scanned))
+    return placed(scan.severity_counts(scan.scan_files(t.scanned)), ["project_id"], [scan.gravest_first()])
 
 
 view(
