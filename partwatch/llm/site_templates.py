@@ -52,6 +52,7 @@ NO_CONTENT_WORDS = frozenset(
     " pagination paywall popup promo promos promotion related replies reply share sharing sidebar sidebars signup skip social sponsor"
     " sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
+CONTAINERS = frozenset("center details dir div dl fieldset figure header hgroup ol section table ul".split())
 # These may hold article elements of their own.
 NO_CONTENT_ARTICLES = frozenset("comment comments disqus related replies reply".split())
 HEADER_WORDS = frozenset(["header", "masthead", "topbar"])
@@ -247,13 +248,17 @@ def blocks(root: Element) -> list[str]:
 
 
 def _delete(root: Element, template: set[int]) -> None:
-    todo = [root]
+    """Delete templates. In an article only containers can be one: its paragraphs and headings may well be quoted elsewhere."""
+    todo = [(root, False)]
     while todo:
-        now = todo.pop()
-        now.children = [
-            c for c in now.children if not isinstance(c, Element) or c.digest is None or int.from_bytes(c.digest, "little", signed=True) not in template
-        ]
-        todo += [c for c in now.children if isinstance(c, Element)]
+        now, inside = todo.pop()
+
+        def is_template(c: Element) -> bool:
+            may = c.tag in CONTAINERS or not inside and c.tag not in ("article", "main")  # noqa: B023
+            return may and c.digest is not None and int.from_bytes(c.digest, "little", signed=True) in template
+
+        now.children = [c for c in now.children if not isinstance(c, Element) or not is_template(c)]
+        todo += [(c, inside or c.tag in ("article", "main")) for c in now.children if isinstance(c, Element)]
 
 
 def stripped(html: str | None) -> tuple[Element, set[int]]:
@@ -289,7 +294,8 @@ def extract_text(
     """All columns of ``pages`` but the markup, with ``text``, the main text of the page, and ``n_chars``, its code points.
 
     A subtree is a template of its host if it occurs on at least ``min_pages`` of the host's pages and on ``min_share`` of
-    them, pages with equal remains counting once (so copies of a page are no template). Pages without a host keep their
+    them, pages with equal remains counting once (so copies of a page are no template). Inside article and main elements only
+    containers are deleted, never paragraphs or headings of their own. Pages without a host keep their
     subtrees. Text is that of the article elements, else of main, else of the body; blocks are joined by line breaks. A null
     or empty page has the empty text; broken markup ends with its parent; rows may repeat; an empty table gives no rows.
     Columns named ``text`` and ``n_chars`` are replaced.

@@ -31,15 +31,15 @@ def test_markup():
 
 def test_templates(spark):
     def page(i, host):
-        return (i, f"http://{host}/p{i}", f"<article><p>own text {i}</p><div>Read our plain terms</div></article>", "old")
+        return (i, f"http://{host}/p{i}", f"<article><h1>One title</h1><p>own text {i}</p><div>Read our plain terms</div></article><p>plain foot</p>", "old")
 
     rows = [page(i, "A.example:80") for i in range(8)] + [page(i, "b.example") for i in range(8, 10)]
     rows += [(20 + i, "http://c.example/same", "<article><p>one article</p></article>", "old") for i in range(9)]
     rows += [(40, None, None, "old"), (41, "no url", "<p>x</p>", "old"), (42, "http://a.example/", "", None)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(4)
     got = {r.page_id: (r.text, r.n_chars) for r in st.extract_text(frame).collect()}
-    assert all(got[i][0] == f"own text {i}" for i in range(8))
-    assert all(got[i][0] == f"own text {i}\nRead our plain terms" for i in range(8, 10))
+    assert all(got[i][0] == f"One title\nown text {i}" for i in range(8))
+    assert all(got[i][0] == f"One title\nown text {i}\nRead our plain terms" for i in range(8, 10))
     assert all(got[20 + i][0] == "one article" for i in range(9))
     assert got[40] == got[42] == ("", 0) and got[41] == ("x", 1)
     assert st.extract_text(frame.where("false")).count() == 0
