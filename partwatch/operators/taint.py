@@ -171,6 +171,12 @@ def flow_paths(files: DataFrame) -> DataFrame:
     return explode_flows(files, file_flows(F.col("path"), F.col("text")))
 
 
+def flow_controls(cwe: Column) -> Column:
+    """J-17 for flows: the controls that a kind of flow is traced to; none for an unknown one."""
+    pairs = [x for k, v in FLOW_CONTROLS.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), cwe), F.array().cast("array<string>"))
+
+
 def first_flow(flows: DataFrame) -> DataFrame:
     """The first path per file and sink line."""
     rest = [c for c in flows.columns if c not in ("project_id", "path", "sink_line")]

@@ -8,6 +8,7 @@ from .. import controls as ctl
 from ..functions import source_text as st
 from ..operators import conformity, finding_risk
 from ..rules import RULES
+from ..sources import scanners
 from .catalog_queries import values
 from .registry import query, view
 from .scan_queries import REDACTED, case_roles
@@ -308,8 +309,7 @@ view("v_cwe", f"SELECT * FROM ({values((k, ','.join(v)) for k, v in ctl.CWE_CONT
     "SELECT e.ord, e.cwe, coalesce(c.controls, '') AS controls FROM v_external e LEFT JOIN v_cwe c USING (cwe)",
 )
 def j_17(t):
-    joined = t.external.join(ctl.cwe_controls(t.spark), "cwe", "left")
-    return joined.select("ord", "cwe", F.coalesce(F.array_join("controls", ","), F.lit("")).alias("controls"))
+    return scanners.with_controls(t.external).select("ord", "cwe", F.array_join("controls", ",").alias("controls"))
 
 
 @query(

@@ -419,6 +419,17 @@ WHERE v IS NOT NULL""",
 )
 
 
+@query(
+    "j_17_flow_controls",
+    "SELECT path, sink_line, cwe, CASE "
+    + " ".join(f"WHEN cwe = '{k}' THEN '{','.join(v)}'" for k, v in taint.FLOW_CONTROLS.items())
+    + " ELSE '' END AS controls FROM v_flows",
+)
+def j_17_flows(t):
+    flows = taint.flow_paths(t.scanned)
+    return flows.select("path", "sink_line", "cwe", F.array_join(taint.flow_controls(F.col("cwe")), ",").alias("controls"))
+
+
 @query("j_23_taint_to_sink", "SELECT path, source, source_line, name, sink, sink_line, cwe FROM v_flows")
 def j_23(t):
     return taint.flow_paths(t.scanned).drop("project_id", "kind")

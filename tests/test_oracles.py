@@ -25,6 +25,13 @@ CHOSEN = (
     "n_06_trivy",
     "j_12_plugin_version",
     "w_12_first_breach",
+    "snk_04_report_lines",
+    "snk_07_upsert_npm",
+    "snk_08_refresh_catalogue",
+    "j_06_failed_lookup",
+    "j_17_flow_controls",
+    "o_02_risk_order",
+    "t_02_fresh_lookups",
 )
 
 
