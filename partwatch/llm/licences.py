@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sentences of public licence texts and notices. A sentence ends where a text's mark is, so what follows a colon belongs to it,
-# and the number of a first list item ends it.
+# and the number of a first list item ends it. An empty line after the colon ends it as well: the parts are sentences of their own.
 SENTENCES = {
     "MIT-NOTICE": "Released under the MIT License.",
     "MIT-NOTICE-2": "Licensed under the MIT License.",
@@ -25,6 +25,15 @@ SENTENCES = {
         "persons to whom the Software is furnished to do so, subject to the following conditions: The above "
         "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "MIT-GRANT-HEAD": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions:"
+    ),
+    "MIT-GRANT-KEEP": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    ),
     "MIT-WARRANTY": (
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
         "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
@@ -40,6 +49,17 @@ SENTENCES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
+    "APACHE-AT": "You may obtain a copy of the License at",
+    "APACHE-URL": "http://www.apache.org/licenses/LICENSE-2.0",
+    "APACHE-AT-URL": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "APACHE-UNLESS": (
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    ),
+    "APACHE-URL-UNLESS": (
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed "
+        "under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    ),
     "APACHE-SEE": "See the License for the specific language governing permissions and limitations under the License.",
     "GPL3-NOTICE": "This work is licensed under the GNU General Public License, version 3.",
     "GPL2-NOTICE": "This work is licensed under the GNU General Public License, version 2.",
@@ -60,6 +80,10 @@ SENTENCES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: 1."
     ),
+    "BSD-GRANT-HEAD": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met:"
+    ),
     "BSD-GRANT-SOURCE": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions "
@@ -93,14 +117,21 @@ SENTENCES = {
 # Rules in order: the first that matches takes its sentences away from later ones.
 RULES = (
     ("MIT", "text", ("MIT-GRANT", "MIT-WARRANTY", "MIT-LIABILITY")),
+    ("MIT", "text", ("MIT-GRANT-HEAD", "MIT-GRANT-KEEP", "MIT-WARRANTY", "MIT-LIABILITY")),
     ("Apache-2.0", "header", ("APACHE-HEAD", "APACHE-BASIS", "APACHE-SEE")),
+    ("Apache-2.0", "header", ("APACHE-HEAD", "APACHE-AT", "APACHE-URL", "APACHE-UNLESS", "APACHE-SEE")),
+    ("Apache-2.0", "header", ("APACHE-HEAD", "APACHE-AT-URL", "APACHE-UNLESS", "APACHE-SEE")),
+    ("Apache-2.0", "header", ("APACHE-HEAD", "APACHE-AT", "APACHE-URL-UNLESS", "APACHE-SEE")),
     ("GPL-3.0-or-later", "header", ("GPL3-LATER", "GPL-HOPE", "GPL-SEE")),
     ("GPL-2.0-or-later", "header", ("GPL2-LATER", "GPL-HOPE", "GPL-SEE")),
     ("BSD-3-Clause", "text", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NAMES")),
+    ("BSD-3-Clause", "text", ("BSD-GRANT-HEAD", "BSD-SOURCE", "BSD-BINARY", "BSD-NAMES")),
     ("BSD-3-Clause", "text", ("BSD-GRANT-SOURCE", "BSD-BINARY", "BSD-NAMES")),
     ("BSD-2-Clause", "text", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY")),
+    ("BSD-2-Clause", "text", ("BSD-GRANT-HEAD", "BSD-SOURCE", "BSD-BINARY")),
     ("BSD-2-Clause", "text", ("BSD-GRANT-SOURCE", "BSD-BINARY")),
     ("MIT", "grant", ("MIT-GRANT",)),
+    ("MIT", "grant", ("MIT-GRANT-HEAD", "MIT-GRANT-KEEP")),
     ("MIT", "notice", ("MIT-NOTICE",)),
     ("MIT", "notice", ("MIT-NOTICE-2",)),
     ("MIT", "notice", ("MIT-NOTICE-3",)),
@@ -146,7 +177,7 @@ KNOWN = {normal(text): name for name, text in SENTENCES.items()}
 
 def _identifiers(text: Column, end: str) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    sentences = F.filter(F.transform(F.split(text, end), F.trim), lambda s: s.isin(*KNOWN))
+    sentences = F.filter(F.transform(F.split(text, end), lambda s: F.trim(s)), lambda s: s.isin(*KNOWN))
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     return F.transform(sentences, lambda s: F.element_at(names, s))
 
