@@ -30,12 +30,34 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.75 of five-word shingles, the document with the smallest id stays."""
-    groups = jaccard_groups(docs.select("doc_id", "text"), k=5, percent=75)
-    gone = durable(groups.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct())
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of each group linked by a Jaccard similarity of 0.75 of five-word shingles, the document with the smallest id stays.
+
+    Of the rows with the same id and text one stays. Rows that share an id but not the text are documents of their own, each judged
+    by its own text; in a group the smallest SHA-256 of the text decides between them. Rows without an id link with nothing, and
+    all of them stay.
+    """
+    columns, key = docs.columns, "doc_id"
+    often = durable(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    if not often.isEmpty():
+        docs, key = _numbered(docs, _small(often)), "__n"
+    groups = jaccard_groups(docs.select(key, "text"), id_col=key, k=5, percent=75)
+    gone = durable(groups.where("component_id <> id").select(F.col("id").alias(key)).distinct())
+    return docs.join(_small(gone), key, "left_anti").select(columns)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _numbered(docs: DataFrame, often: DataFrame) -> DataFrame:
+    """One row of each id and text, with ``__n``, numbers in the order of both; ``often`` are the ids of several rows."""
+    digest = F.coalesce(F.sha2("text", 256), F.lit("")).alias("__digest")
+    once = docs.join(often, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.join(often, "doc_id", "left_semi").groupBy("doc_id", digest).agg(F.min(F.struct(docs.columns)).alias("row"))
+    rows = written(once.unionByName(repeated.select("row.*")), "distinct_rows")
+    numbers = rows.where("doc_id IS NOT NULL").select("doc_id", digest).orderBy("doc_id", "__digest")
+    numbers = durable(numbers.withColumn("__n", F.monotonically_increasing_id()))
+    return written(rows.select("*", digest).join(numbers, ["doc_id", "__digest"], "left").select(*docs.columns, "__n"), "numbered_rows")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The stages of the pipeline, one after the other, against brute force on each stage's own input."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,22 @@ def test_repeats(stages):
     assert stages[3].where(F.length("text") != F.col("n_chars")).count() == 0
 
 
+def test_rows_that_occur_twice(spark):
+    """One of each id and text stays, whole; other texts of the id are judged by themselves, rows without an id stay."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    words = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcdef"]
+    near = words[1] + " more"
+    rows = [(1, words[0]), (1, words[0]), (2, words[1]), (5, near), (5, words[2]), (5, words[2]), (7, near), (8, words[3]), (9, None), (9, None)]
+    rows += [(0, words[5]), (0, words[5] + " x"), (None, words[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).repartition(3)
+    kept = pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.schema == docs.schema
+    got = sorted(pairs(kept), key=str)
+    least = min((words[5], words[5] + " x"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert got == sorted([(0, least), (1, words[0]), (2, words[1]), (5, words[2]), (8, words[3]), (9, None), (None, words[4])], key=str)
+    assert sorted(pairs(pipeline.remove_repeats(spark, kept, SF)), key=str) == got
+
+
 def test_contamination(spark, stages):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     kept = {r[0] for r in brute.decontaminate(pairs(stages[3]), items) if not r[-1]}
