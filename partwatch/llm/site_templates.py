@@ -61,10 +61,10 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "digest")
+    __slots__ = ("tag", "attributes", "children", "digest", "spared")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children, self.digest = tag, attributes, [], None
+        self.tag, self.attributes, self.children, self.digest, self.spared = tag, attributes, [], None, False
 
 
 def parse(html: str) -> Element:
@@ -129,6 +129,10 @@ def _words(text: str) -> set[str]:
     return {w.lower() for w in WORD.findall(text)}
 
 
+def _names(element: Element) -> set[str]:
+    return _words(element.attributes.get("class", "") + " " + element.attributes.get("id", ""))
+
+
 def _holds_article(element: Element) -> bool:
     todo = [element]
     while todo:
@@ -151,8 +155,8 @@ def _holds_heading(element: Element) -> bool:
     return False
 
 
-def no_content(element: Element, inside_article: bool) -> bool:
-    """Whether an element says of itself that it is not part of the article."""
+def no_content(element: Element, inside_article: bool, outermost: bool = True) -> bool:
+    """Whether an element says of itself that it is not part of the article. The class of an outermost article says nothing of it."""
     tag, own = element.tag, element.attributes
     if tag in NO_CONTENT:
         return True
@@ -164,22 +168,51 @@ def no_content(element: Element, inside_article: bool) -> bool:
         return True
     if own.get("role", "").lower() in NO_CONTENT_ROLES:
         return True
-    names = _words(own.get("class", "") + " " + own.get("id", ""))
-    if tag in ("html", "body", "main") or not names:
+    names = _names(element)
+    if tag in ("html", "body", "main") or not names or (tag == "article" and outermost):
         return False
-    if names & NO_CONTENT_ARTICLES:
-        return True
     hit = names & NO_CONTENT_WORDS or (not inside_article and names & HEADER_WORDS)
     return bool(hit) and not _holds_article(element)
 
 
-def strip(element: Element, inside_article: bool = False) -> None:
-    """Delete all elements that are no content, without recursion."""
-    todo = [(element, inside_article)]
+def strip(root: Element) -> None:
+    """Delete all elements that are no content, without recursion.
+
+    Elements named like comments or related articles go with the articles they hold, unless no article with text is left then: these are
+    wrappers of the page's own article, and stay.
+    """
+    named, todo = [], [(root, False, True)]
     while todo:
-        now, inside = todo.pop()
-        now.children = [c for c in now.children if not isinstance(c, Element) or not no_content(c, inside)]
-        todo += [(c, inside or c.tag in ("article", "main")) for c in now.children if isinstance(c, Element)]
+        now, inside, outermost = todo.pop()
+        left = []
+        for c in now.children:
+            if isinstance(c, Element):
+                if no_content(c, inside, outermost):
+                    continue
+                if c.attributes and c.tag not in ("html", "body", "main") and _names(c) & NO_CONTENT_ARTICLES:
+                    if not outermost:
+                        continue
+                    if c.tag != "article":
+                        named.append((now, c))
+                        c.spared = True
+                todo.append((c, inside or c.tag in ("article", "main"), outermost and c.tag != "article"))
+            left.append(c)
+        now.children = left
+    if named and any(blocks(x) for x, spared in _outermost(root, "article") if not spared):
+        for parent, c in named:
+            parent.children = [x for x in parent.children if x is not c]
+
+
+def _outermost(root: Element, tag: str) -> list[tuple[Element, bool]]:
+    """The outermost elements of a tag in page order, and whether a spared element holds them."""
+    found, todo = [], [(root, False)]
+    while todo:
+        now, spared = todo.pop()
+        if now.tag == tag:
+            found.append((now, spared))
+        else:
+            todo += [(c, spared or now.spared) for c in reversed(now.children) if isinstance(c, Element)]
+    return found
 
 
 def digests(root: Element) -> set[int]:
@@ -205,17 +238,17 @@ def digests(root: Element) -> set[int]:
 
 
 def article_roots(root: Element) -> list[Element]:
-    """The outermost articles, else the main element, else everything; only those with text."""
+    """The outermost articles, else the main element, else everything; only those with text.
+
+    Articles in spared elements may be readers' comments beside an article without a tag: without a heading they are only part of what else
+    there is.
+    """
     for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            now = todo.pop()
-            if now.tag == tag:
-                found.append(now)
-            else:
-                todo += [c for c in reversed(now.children) if isinstance(c, Element)]
-        if any(blocks(x) for x in found):
-            return found
+        found = _outermost(root, tag)
+        if tag == "article" and not any(not spared or _holds_heading(x) for x, spared in found):
+            continue
+        if any(blocks(x) for x, _ in found):
+            return [x for x, _ in found]
     return [root]
 
 
@@ -261,6 +294,10 @@ def _delete(root: Element, template: set[int]) -> None:
         todo += [(c, inside or c.tag in ("article", "main")) for c in now.children if isinstance(c, Element)]
 
 
+def _number(root: Element) -> int:
+    return int.from_bytes(root.digest, "little", signed=True) if root.digest else 0
+
+
 def stripped(html: str | None) -> tuple[Element, set[int]]:
     root = parse(html or "")
     strip(root)
@@ -280,7 +317,7 @@ def host(url: Column) -> Column:
     return F.when(name != "", name)
 
 
-# Up to so many template hashes (8 bytes each) are broadcast; more are joined by host.
+# Up to so many template hashes (8 bytes each) are broadcast; more are joined to the pages that hold them.
 BROADCAST_HASHES = 500_000
 
 
@@ -290,18 +327,20 @@ def extract_text(
     html_col: str = "html",
     min_pages: int = 5,
     min_share: float = 0.1,
+    many_pages: int = 100,
 ) -> DataFrame:
     """All columns of ``pages`` but the markup, with ``text``, the main text of the page, and ``n_chars``, its code points.
 
     A subtree is a template of its host if it occurs on at least ``min_pages`` of the host's pages and on ``min_share`` of
-    them, pages with equal remains counting once (so copies of a page are no template). Inside article and main elements only
+    them or ``many_pages``, pages with equal remains counting once (so copies of a page are no template). The share is a guard for
+    small hosts only: on a large one ``many_pages`` are enough, however many others there are. Inside article and main elements only
     containers are deleted, never paragraphs or headings of their own. Pages without a host keep their
     subtrees. Text is that of the article elements, else of main, else of the body; blocks are joined by line breaks. A null
     or empty page has the empty text; broken markup ends with its parent; rows may repeat; an empty table gives no rows.
     Columns named ``text`` and ``n_chars`` are replaced.
 
     Counting moves one small row per subtree and page, pre-aggregated; hosts of any size are spread by subtree. Markup is moved only if
-    there are more than ``BROADCAST_HASHES`` templates.
+    there are more than ``BROADCAST_HASHES`` templates; then each page gets those it holds, never all of its host.
     """
     inputs = pages.select(F.xxhash64(html_col).alias("page"), host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
     inputs = inputs.where("host IS NOT NULL AND html <> ''")
@@ -311,7 +350,7 @@ def extract_text(
             hosts, subtrees, whole = [], [], []
             for name, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
                 root, own = stripped(html)
-                page = int.from_bytes(root.digest, "little", signed=True) if root.digest else 0
+                page = _number(root)
                 hosts += [name] * (len(own) + 1)
                 whole += [page] * (len(own) + 1)
                 subtrees += [None, *own]
@@ -321,20 +360,37 @@ def extract_text(
     counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("pages"))
     counts = durable(counts.where((F.col("pages") >= min_pages) | F.col("subtree").isNull()))
     hosts = counts.where("subtree IS NULL").select("host", F.col("pages").alias("of"))
-    often = counts.where("subtree IS NOT NULL").join(hosts, "host").where(F.col("pages") >= F.col("of") * min_share)
-    number = often.count()
-    per_host = often.groupBy("host").agg(F.collect_list("subtree").alias("__template")).withColumnRenamed("host", "__host")
-    if number <= BROADCAST_HASHES:
-        per_host = F.broadcast(per_host)
+    often = counts.where("subtree IS NOT NULL").join(hosts, "host")
+    often = often.where((F.col("pages") >= many_pages) | (F.col("pages") >= F.col("of") * min_share)).select("host", "subtree")
     kept = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
     joined = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").alias("__html"), host(F.col(f"`{url_col}`")).alias("__host"))
-    joined = joined.join(per_host, "__host", "left").drop("__host")
+    few = often.count() <= BROADCAST_HASHES
+    of_host: dict[str, set[int]] = {}
+    if few:
+        table = often.toArrow()
+        for name, subtree in zip(table["host"].to_pylist(), table["subtree"].to_pylist(), strict=True):
+            of_host.setdefault(name, set()).add(subtree)
+    else:
+        numbered = T.StructType([*joined.schema.fields, T.StructField("__page", T.LongType())])
+
+        def numbers(batches):
+            for batch in batches:
+                whole = [_number(stripped(h)[0]) for h in batch["__html"].to_pylist()]
+                yield batch.append_column("__page", pa.array(whole, pa.int64()))
+
+        of_page = seen.join(often, ["host", "subtree"]).groupBy(F.col("host").alias("__host"), F.col("page").alias("__page"))
+        of_page = of_page.agg(F.collect_list("subtree").alias("__template"))
+        joined = joined.mapInArrow(numbers, numbered).join(of_page, ["__host", "__page"], "left")
+    shared = pages.sparkSession.sparkContext.broadcast(of_host)
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def texts(batches):
         for batch in batches:
-            templates = batch["__template"].to_pylist()
-            found = [extract(h, set(t or ())) for h, t in zip(batch["__html"].to_pylist(), templates, strict=True)]
+            if few:
+                templates = [shared.value.get(name, set()) for name in batch["__host"].to_pylist()]
+            else:
+                templates = [set(t or ()) for t in batch["__template"].to_pylist()]
+            found = [extract(h, t) for h, t in zip(batch["__html"].to_pylist(), templates, strict=True)]
             base = batch.select(kept)
             yield pa.RecordBatch.from_arrays(
                 [*base.columns, pa.array(found, pa.string()), pa.array(np.array([len(t) for t in found], np.int64))], names=schema.names

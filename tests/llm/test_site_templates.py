@@ -56,3 +56,39 @@ def test_query_keeps_articles(spark):
         article = re.search(r"<article>(.*?)(?:</article>|<footer|$)", pages[r.page_id], re.DOTALL)[1]
         parts = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+def test_named_articles():
+    cases = {
+        "<article class='post comments-open'>a</article><p>x</p>": "a",
+        "<article class='post related notice'>a<div class=comments><article>reader</article></div></article>": "a",
+        "<div class='site comments-open'><article><h1>T</h1>a</article></div><p>x</p>": "T\na",
+        "<main><div class='post related'><article>a</article></div></main>": "a",
+        "<aside><article>t</article></aside><div id=comments-off><article>a</article><div class=replies>r</div></div>": "a",
+        "<div class='a reply'><main>m</main></div>": "m",
+        "<article>one</article><div class=related><article>two</article></div>": "one",
+        "<article>one<article class=comment>two</article></article><div class=comments>three</div>": "one",
+        "<div>own text</div><div class=comments><article>reader</article></div>": "own text\nreader",
+    }
+    for html, expected in cases.items():
+        assert text(html) == expected, html
+
+
+def test_blocks_of_a_large_host(spark, monkeypatch):
+    """Blocks on a share of the pages that is small but on many of them are templates, on a small host they are not."""
+    def page(i, host):
+        notice = f"<p>Rotating notice {i % 12} of this site</p>"
+        box = f"<div>Section box {i % 15}</div>" if i % 2 else ""
+        rare = f"<p>Quoted on {i % 500}</p>"
+        return (i, f"http://{host}/p{i}", f"<div><h1>Title {i}</h1><p>own text {i}</p>{box}{rare}</div>{notice}")
+
+    rows = [page(i, "large.example") for i in range(3_000)] + [page(3_000 + i, "small.example") for i in range(60)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    for limit in (st.BROADCAST_HASHES, 0):
+        monkeypatch.setattr(st, "BROADCAST_HASHES", limit)
+        got = {r.page_id: r.text for r in st.extract_text(frame).collect()}
+        assert len(got) == len(rows)
+        for i in range(3_000):
+            assert got[i] == f"Title {i}\nown text {i}\nQuoted on {i % 500}"
+        for i in range(3_000, 3_060):
+            assert f"Rotating notice {i % 12} of this site" in got[i] and f"Quoted on {i % 500}" in got[i]
