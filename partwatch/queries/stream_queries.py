@@ -170,9 +170,20 @@ UNION ALL SELECT project_id, cast(before + 4 + n_risks AS BIGINT), '- **Precisi
 )
 def snk_04(t):
     """The lines whose texts the statement can give, at their places among all lines of the project."""
-    lines = running_totals(report_lines(t), ["project_id"], [F.asc(k) for k in report.LINE_KEYS[1:]], {"n": F.lit(1).cast("bigint")})
     shown = F.col("line").rlike(r"^(\*\*Recomendación sobre|\| \d|### [^⚖]|- \*\*Sección|- \*\*Precisión)")
-    return lines.where(shown).select("project_id", "n", "line")
+    return numbered_lines(t).where(shown)
+
+
+@query("snk_04_whole_report_lines")
+def snk_04_whole(t):
+    """Every line of every report; tests/test_report.py compares them with a plain version."""
+    return numbered_lines(t)
+
+
+def numbered_lines(t):
+    """All lines of the reports with ``n``, their place in the project."""
+    lines = running_totals(report_lines(t), ["project_id"], [F.asc(k) for k in report.LINE_KEYS[1:]], {"n": F.lit(1).cast("bigint")})
+    return lines.select("project_id", "n", "line")
 
 
 def report_lines(t):
