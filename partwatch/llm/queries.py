@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licences, pieces, quality, suffixes
+from . import language, licences, pieces, quality, spelling, suffixes
 from .cells import near_groups
 from .fm_index import find_contamination
 from .licences import scan_licences
@@ -105,3 +105,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with a misspelling planted in each run whose checksum 31 divides: one code point is left out."""
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"))
+    checksum = F.crc32(F.concat_ws(":", "id", "run"))
+    at = (checksum % F.length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(checksum % 31 == 0, shorter).otherwise(F.col("run")).alias("word"))
+    return spelling.spelling_groups(spelling.vocabulary(words, min_length=7, min_count=2), ratio=10)

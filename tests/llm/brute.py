@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,3 +100,47 @@ def decontaminate(docs, items, width=13):
         names = ",".join(sorted(map(str, found)))
         out.append((doc, len(w), len(hit), len(found), sha(names.encode()), bool(hit) and 20 * len(hit) >= len(w)))
     return out
+
+
+def spelled_words(docs):
+    """Occurrences of the words of op11, with the planted misspellings."""
+    seen = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower_ascii(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            seen[run] += 1
+    return {w: n for w, n in seen.items() if n >= 2 and len(w) >= 7}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
+def spelling_groups(words, ratio=10):
+    """Plain comparison of all pairs of words."""
+    near = {w: [] for w in words}
+    ordered = sorted(words)
+    for i, a in enumerate(ordered):
+        for b in ordered[i + 1 :]:
+            if abs(len(a) - len(b)) <= 1 and one_edit(a, b):
+                near[a].append(b)
+                near[b].append(a)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-words[o], o), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), None if form[w] is None else words[form[w]]))
+    return out
