@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licences, pieces, quality, spelling, suffixes
+from . import language, licences, pieces, quality, shards, spelling, suffixes, tandems
 from .cells import near_groups
 from .fm_index import find_contamination
 from .licences import scan_licences
@@ -116,3 +116,44 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
     words = runs.select(F.when(checksum % 31 == 0, shorter).otherwise(F.col("run")).alias("word"))
     return spelling.spelling_groups(spelling.vocabulary(words, min_length=7, min_count=2), ratio=10)
+
+
+@query
+def op12_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 23 by the ``key`` law: the id and the number of shards decide, and a 25th shard takes rows only into itself."""
+    docs, tree = table(spark, sf_dir, "documents"), shards.even_tree(24)
+    rows = docs.select(
+        "doc_id", shards.text_size(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("key").alias("law"),
+    )
+    return shards.with_slots(shards.placed(rows, tree, grown_tree=shards.grown(tree))).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+    )
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, with one planted in a tenth of the documents: from word a on the words repeat with period p."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (h % 10 == 0).alias("planted"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("planted"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    docs = docs.withColumn("words", words).withColumn("n", F.size("words").cast("long")).withColumn("a", F.col("g") % F.col("n"))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    repeated = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("n") - 1),
+        lambda i: F.get("words", F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i).cast("int")),
+    )
+    text = F.when(F.col("planted") & (F.col("n") > 0), F.array_join(repeated, " ")).otherwise(F.col("text"))
+    rows = tandems.periodic_runs(docs.withColumn("p", period).select("doc_id", text.alias("text")), min_length=6, min_exponent=4)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    )
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed")
+    length, period = F.col("best.length"), -F.col("best.period")
+    return rows.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("1000 * best.length DIV -best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

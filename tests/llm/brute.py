@@ -144,3 +144,42 @@ def spelling_groups(words, ratio=10):
             root = form[root]
         out.append((w, form[w], root, n, len(near[w]), None if form[w] is None else words[form[w]]))
     return out
+
+
+def word_runs(words, min_length=6, min_exponent=4):
+    """Every run as start, length and period: each period's maximal stretches, the smallest period of each stretch."""
+    out = {}
+    for q in range(len(words) // min_exponent, 0, -1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(min_length, min_exponent * q):
+                out[i, j + q - i] = q
+            i = j + 1
+    return sorted(((s, n, q) for (s, n), q in out.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def planted_runs(docs):
+    """Rows of op13."""
+    out = []
+    for doc, text in docs:
+        w = BLANK.findall(text or "")
+        h = zlib.crc32(str(doc).encode()) if doc is not None else 1
+        g, n = h // 10, len(w)
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        runs = word_runs(w)
+        best = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=(None,) * 3)
+        lines = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
+        milli = None if not runs else 1_000 * best[1] // best[2]
+        out.append((doc, len(runs), *best, milli, sha(lines.encode()), sha(collapsed(w, runs).encode())))
+    return out
