@@ -486,7 +486,7 @@ def s_20(t):
 view(
     "v_precision",
     """
-SELECT project_id, package, section, o1, o2, o3, CASE WHEN note = 'neterror' THEN 'Evaluación parcial: no se pudo consultar OSV para esta dependencia (sin conexión). El estado de versión proviene de npm; los CVE quedan pendientes.'
+SELECT project_id, package, section, spec, o1, o2, o3, CASE WHEN note = 'neterror' THEN 'Evaluación parcial: no se pudo consultar OSV para esta dependencia (sin conexión). El estado de versión proviene de npm; los CVE quedan pendientes.'
   WHEN note IS NOT NULL THEN 'Precisión limitada: la versión no se pudo resolver (catálogo/variable/alias o artefacto no encontrado), por lo que no se evalúa versión exacta ni CVE.'
   WHEN installed IS NULL THEN 'Precisión limitada: no se pudo determinar la versión instalada.'
   ELSE 'Alta: versión declarada (' || installed || '); última versión verificada en npm; CVE consultados en OSV con coincidencia exacta de versión.' END AS precision_text

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import archive, audit, history
-from ..sinks import report, tables
-from ..plans.skew import running_totals
+from ..sinks import tables
+from ..plans.skew import shared_folder
 from ..streaming import streams
 from .registry import query, view
 
@@ -91,10 +91,6 @@ def t_04(t):
 # ---- reports
 
 
-def texts(t):
-    return audit.with_report_texts(t.listed)
-
-
 @query(
     "snk_02_audit_csv",
     """
@@ -106,97 +102,6 @@ def snk_02(t):
     return tables.audit_csv(t.listed_entries)
 
 
-@query(
-    "snk_03_report_csv",
-    """
-SELECT project_id, package AS paquete, section AS seccion, coalesce(gap, 'al día') AS atraso, level AS nivel_riesgo, coalesce(vuln_count, 0) AS cve_count,
-  coalesce(legal_level, '') AS cumplimiento_nivel FROM v_rated""",
-)
-def snk_03(t):
-    return report.report_csv(texts(t)).select(
-        "project_id", "paquete", "seccion", "atraso", "nivel_riesgo", "cve_count", "cumplimiento_nivel"
-    )
-
-
-@query(
-    "snk_05_report_json",
-    "SELECT project_id, package, level, score FROM v_rated",
-)
-def snk_05(t):
-    docs = report.report_json(t.listed)
-    value = F.from_json("json", "package string, level string, score double")
-    return docs.select("project_id", value.alias("v")).select("project_id", "v.*")
-
-
-@query(
-    "s_31_project_texts",
-    """
-SELECT s.project_id, concat('Se auditó el proyecto «app', s.project_id, '» (versión n/d), con ', s.total, ' dependencias declaradas.') AS opening
-FROM v_summary s""",
-)
-def s_31(t):
-    overall = audit.risk_distribution(t.rated).drop("compliance_critico", "compliance_alto")
-    joined = audit.npm_summary(t.entries).join(overall, "project_id").select(
-        "*", F.concat(F.lit("app"), "project_id").alias("app_name"), F.lit(None).cast("string").alias("app_version")
-    )
-    general = report.general_text(joined)
-    return general.select("project_id", F.regexp_extract("general", r"^.*?declaradas\.", 0).alias("opening"))
-
-
-view(
-    "v_item_lines",
-    """
-SELECT r.*, l.label, greatest(1, length(body) - length(replace(body, ';', ''))) AS n_risks, greatest(1, length(measures) - length(replace(measures, ';', ''))) AS n_measures,
-  section || '|{"ord":{"l_linenumber":' || o1 || ',"l_partkey":' || o2 || ',"l_suppkey":' || o3 || '}}|' || spec AS entry
-FROM v_risks r JOIN (SELECT level AS lv, severity AS sv, legal_level AS ll, any_value(label) AS label FROM v_labels GROUP BY ALL) l
-  ON l.lv = r.level AND l.sv IS NOT DISTINCT FROM r.severity AND l.ll IS NOT DISTINCT FROM r.legal_level""",
-)
-view(
-    "v_item_places",
-    """
-SELECT *, 7 + coalesce(sum(5 + n_risks + n_measures) OVER (PARTITION BY project_id ORDER BY rank DESC, score DESC, package, entry
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v_item_lines""",
-)
-
-
-@query(
-    "snk_04_report_lines",
-    """
-SELECT project_id, 2 AS n, '**Recomendación sobre el inventario:** ' || verdict || '  ·  **Riesgo promedio:** ' || avg_score AS line FROM v_recommended
-UNION ALL SELECT project_id, 4, concat('| ', critico, ' | ', alto, ' | ', medio, ' | ', bajo, ' | ', ok, ' |') FROM v_recommended
-UNION ALL SELECT project_id, cast(before + 1 AS BIGINT), '### ' || package || ' `' || coalesce(installed, '—') || '` — ' || label FROM v_item_places
-UNION ALL SELECT project_id, cast(before + 2 AS BIGINT), '- **Sección:** ' || section || ' · **Última npm:** ' || coalesce(latest, 'n/d') || ' · **Atraso:** ' || coalesce(gap, 'al día') FROM v_item_places
-UNION ALL SELECT project_id, cast(before + 4 + n_risks AS BIGINT), '- **Precisión técnica:** ' || precision_text FROM v_item_places JOIN v_precision USING (project_id, package, section, o1, o2, o3)""",
-)
-def snk_04(t):
-    """The lines whose texts the statement can give, at their places among all lines of the project."""
-    shown = F.col("line").rlike(r"^(\*\*Recomendación sobre|\| \d|### [^⚖]|- \*\*Sección|- \*\*Precisión)")
-    return numbered_lines(t).where(shown)
-
-
-@query("snk_04_whole_report_lines")
-def snk_04_whole(t):
-    """Every line of every report; tests/test_report.py compares them with a plain version."""
-    return numbered_lines(t)
-
-
-def numbered_lines(t):
-    """All lines of the reports with ``n``, their place in the project."""
-    lines = running_totals(report_lines(t), ["project_id"], [F.asc(k) for k in report.LINE_KEYS[1:]], {"n": F.lit(1).cast("bigint")})
-    return lines.select("project_id", "n", "line")
-
-
-def report_lines(t):
-    rated = t.listed
-    overall = audit.risk_distribution(rated)
-    joined = audit.npm_summary(rated).join(overall.drop("compliance_critico", "compliance_alto"), "project_id").select(
-        "*", F.concat(F.lit("app"), "project_id").alias("app_name"), F.lit(None).cast("string").alias("app_version")
-    )
-    return report.report_lines(
-        audit.with_report_texts(rated), overall, report.general_text(joined), report.conclusion_text(overall, rated)
-    )
-
-
 @query(
     "snk_06_audit_rows",
     """
@@ -292,3 +197,64 @@ SELECT * FROM made)""",
 )
 def t_02(t):
     return streams.fresh_lookups(t.table("events"), ("event_type",))
+
+
+def arriving(rows, period, apply):
+    """Rows that land in a folder in periods 0, 1 and 2; ``apply`` gets the stream over the folder, and a path for what it keeps, after each."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "arriving")
+    for n in range(3):
+        rows.where(period == n).write.mode("append").parquet(f"{folder}/in")
+        apply(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder)
+    return folder
+
+
+view(
+    "v_arriving_cycles",
+    """
+SELECT 'p' || l_partkey AS slug, cast(l_suppkey % 3 AS VARCHAR) AS cycle, cast(l_quantity AS BIGINT) AS latest, l_returnflag AS status, l_linenumber AS vuln_count,
+  strftime(l_shipdate, '%Y-%m-%d') || lpad(cast(l_orderkey AS VARCHAR), 12, '0') || l_linenumber AS updated_at,
+  CASE WHEN year(l_shipdate) < 1994 THEN 0 WHEN year(l_shipdate) < 1996 THEN 1 ELSE 2 END AS period FROM lineitem""",
+)
+
+
+def arriving_cycles(t):
+    year = F.year("l_shipdate")
+    return t.table("lineitem").select(
+        F.concat(F.lit("p"), "l_partkey").alias("slug"), (F.col("l_suppkey") % 3).cast("string").alias("cycle"),
+        F.col("l_quantity").cast("bigint").alias("latest"), F.col("l_returnflag").alias("status"), F.col("l_linenumber").cast("bigint").alias("vuln_count"),
+        F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), "l_linenumber").alias("updated_at"),
+        F.when(year < 1994, 0).when(year < 1996, 1).otherwise(2).alias("period"),
+    )
+
+
+@query(
+    "t_03_upsert",
+    """
+SELECT slug, cycle, arg_max(latest, updated_at) AS latest, arg_max(status, updated_at) AS status, arg_min(vuln_count, period) AS vuln_count, max(updated_at) AS updated_at
+FROM (SELECT slug, cycle, period, arg_max(latest, updated_at) AS latest, arg_max(status, updated_at) AS status, arg_max(vuln_count, updated_at) AS vuln_count,
+  max(updated_at) AS updated_at FROM v_arriving_cycles GROUP BY ALL) GROUP BY ALL""",
+)
+def t_03(t):
+    """Three batches upserted by the stream; a known cycle keeps its first number of vulnerabilities."""
+
+    def apply(stream, folder):
+        streams.upsert_stream(stream.drop("period"), "platform", f"{folder}/table", f"{folder}/state").awaitTermination()
+
+    folder = arriving(arriving_cycles(t), F.col("period"), apply)
+    return streams.read_inventory(t.spark, f"{folder}/table")
+
+
+def follow_audits(stream, folder):
+    streams.history_stream(stream, f"{folder}/history", f"{folder}/history-state").awaitTermination()
+    streams.latest_verdict_stream(stream, f"{folder}/latest", f"{folder}/latest-state").awaitTermination()
+
+
+@query(
+    "t_04_latest_stream",
+    "SELECT app_name, arg_max(verdict, (created_at, id)) AS verdict, count(*) AS audits FROM v_audits GROUP BY 1",
+)
+def t_04_stream(t):
+    """Audits of three periods appended to the history by one stream; another keeps the latest verdicts."""
+    year = F.year("created_at")
+    folder = arriving(audits(t), F.when(year < 1994, 0).when(year < 1996, 1).otherwise(2), follow_audits)
+    return streams.read_verdicts(t.spark, f"{folder}/latest")

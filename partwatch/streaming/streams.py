@@ -1,20 +1,20 @@
-"""Streams: quota breaches, repeated lookups, inventory upserts and audit history (T-01..T-04)."""
+"""Streams: quota breaches (T-01), and the other streams under one name (T-02..T-04)."""
 
 from __future__ import annotations
 
-import os
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..sinks.tables import newest_row, upsert_cycles
+from .changes import history_stream, latest_verdict_stream, read_inventory, read_verdicts, upsert_stream
+from .lookups import DETAIL_TTL, LOOKUP_TTL, fresh_lookup_stream, fresh_lookups
+
+__all__ = [
+    "DETAIL_TTL", "LIMITS", "LOOKUP_TTL", "fresh_lookup_stream", "fresh_lookups", "history_stream", "latest_verdict_stream",
+    "quota_breaches", "read_inventory", "read_verdicts", "upsert_stream",
+]
 
-# Requests per minute and seconds to live.
+# Requests per minute.
 LIMITS = {"catalog": 200, "refresh": 3, "audit": 30, "report": 10, "codescan": 5}
-LOOKUP_TTL = 600
-DETAIL_TTL = 3_600
 
 
 def quota_breaches(requests: DataFrame, limit: int, keys=("user_id",), delay: str = "2 minutes") -> DataFrame:
@@ -25,114 +25,3 @@ def quota_breaches(requests: DataFrame, limit: int, keys=("user_id",), delay: st
     source = requests.withWatermark("ts", delay) if requests.isStreaming else requests
     counts = source.groupBy(F.window("ts", "1 minute").alias("w"), *keys).agg(F.count("*").alias("requests"))
     return counts.where(F.col("requests") > limit).select(F.col("w.start").alias("minute"), *keys, "requests")
-
-
-def _remembered(lookups: DataFrame) -> DataFrame:
-    """Failed lookups are not remembered, not-found ones are."""
-    return lookups.where(~F.col("outcome").eqNullSafe("neterror")) if "outcome" in lookups.columns else lookups
-
-
-def fresh_lookups(lookups: DataFrame, keys=("user_id", "event_type"), ttl_seconds: int = LOOKUP_TTL) -> DataFrame:
-    """T-02 on a batch: the lookups that are made, the others being answered by one at most ``ttl_seconds`` before.
-
-    A pause of that length always ends what was remembered, so each key falls into sessions that are judged alone: a fold over
-    the distinct times of one session. Returns the keys and ``ts``; lookups of a key at one time are one.
-    """
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    kind = lookups.schema["ts"].dataType.simpleString()
-    sessions = (
-        _remembered(lookups)
-        .groupBy(*keys, F.session_window("ts", f"{ttl_seconds} seconds").alias("_session"))
-        .agg(F.array_sort(F.collect_set(F.struct(seconds.alias("s"), F.col("ts").alias("ts")))).alias("_times"))
-    )
-    made = F.aggregate(
-        "_times",
-        F.array().cast(f"array<struct<s:double,ts:{kind}>>"),
-        lambda acc, t: F.when(
-            (F.size(acc) == 0) | (t["s"] - F.element_at(acc, -1)["s"] >= ttl_seconds), F.concat(acc, F.array(t))
-        ).otherwise(acc),
-    )
-    return sessions.select(*keys, F.explode(made).alias("_made")).select(*keys, F.col("_made.ts").alias("ts"))
-
-
-def fresh_lookup_stream(lookups: DataFrame, keys=("user_id", "event_type"), ttl_seconds: int = LOOKUP_TTL) -> DataFrame:
-    """T-02 on a stream whose lookups of a key arrive in order of time: the state of a key is the last lookup that was made.
-
-    A key's state leaves when the watermark passes its time to live, so state holds the keys of that span only. A lookup
-    older than the last one made counts as answered by it.
-    """
-    source = _remembered(lookups).withWatermark("ts", f"{ttl_seconds} seconds").select(*keys, "ts")
-
-    def judge(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        made = []
-        # One batch of a key is a list of times.
-        times = pd.concat([f["ts"] for f in frames]).sort_values()
-        for t in times.drop_duplicates():
-            micros = t.value // 1_000
-            if last is None or micros - last >= ttl_seconds * 1_000_000:
-                made.append(t)
-                last = micros
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1_000 + ttl_seconds * 1_000, state.getCurrentWatermarkMs() + 1))
-        if made:
-            yield pd.DataFrame({**{n: [v] * len(made) for n, v in zip(keys, key, strict=True)}, "ts": made})
-
-    return source.groupBy(*keys).applyInPandasWithState(
-        judge, source.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def upsert_stream(items: DataFrame, kind: str, table: str, checkpoint: str):
-    """T-03: each batch makes a new version of the inventory under ``table``; a repeated batch changes nothing."""
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = version_path(table, batch_id)
-        if path_exists(spark, os.path.join(target, "_SUCCESS")):
-            return
-        old = read_inventory(spark, table, batch_id)
-        new = newest_row(batch, ["slug", "cycle"], "updated_at")
-        merged = new if old is None else upsert_cycles(old, new.select(*old.columns), kind)
-        merged.write.mode("overwrite").parquet(target)
-
-    return (
-        items.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def version_path(table: str, batch_id: int) -> str:
-    return os.path.join(table, f"batch={batch_id:012d}")
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
-def read_inventory(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """Newest complete version of the inventory, or the newest one before a batch."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    ids = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if "batch=" in s.getPath().getName()]
-    done = [i for i in ids if (before is None or i < before) and path_exists(spark, os.path.join(version_path(table, i), "_SUCCESS"))]
-    return spark.read.parquet(version_path(table, max(done))) if done else None
-
-
-def history_stream(audits: DataFrame, table: str, checkpoint: str):
-    """T-04: append-only audit history; ``history.latest_verdicts`` reads it."""
-    return (
-        audits.writeStream.format("parquet")
-        .option("path", table)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )

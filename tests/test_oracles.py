@@ -25,7 +25,13 @@ CHOSEN = (
     "n_06_trivy",
     "j_12_plugin_version",
     "w_12_first_breach",
+    "snk_03_report_csv",
     "snk_04_report_lines",
+    "snk_04_text_lines",
+    "snk_05_report_json",
+    "s_31_project_texts",
+    "t_03_upsert",
+    "t_04_latest_stream",
     "snk_07_upsert_npm",
     "snk_08_refresh_catalogue",
     "j_06_failed_lookup",

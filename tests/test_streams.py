@@ -7,10 +7,13 @@ from partwatch.streaming import streams
 EVENTS = "/root/testdata/sf0.01/events.parquet"
 
 
-def land(spark, tmp_path):
-    """Events as a folder of files in time order."""
+def land(spark, tmp_path, closing=False):
+    """Events as a folder of files in time order; with ``closing`` a last event lets the watermark pass all others."""
     folder = str(tmp_path / "in")
     events = spark.read.parquet(EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    if closing:
+        last = events.orderBy(F.desc("ts")).limit(1)
+        events = events.unionByName(last.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 9 DAYS"), "event_type": F.lit("closing")}))
     events.orderBy("ts").coalesce(1).write.parquet(folder)
     return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder), spark.read.parquet(folder)
 
@@ -34,7 +37,8 @@ def test_quota(spark, tmp_path):
 
 
 def test_repeated_lookups(spark, tmp_path):
-    stream, batch = land(spark, tmp_path)
+    stream, batch = land(spark, tmp_path, closing=True)
+    batch = batch.where("event_type <> 'closing'")
     got = run(streams.fresh_lookup_stream(stream, ("event_type",), 3_000), tmp_path, "lookups")
     want = streams.fresh_lookups(batch, ("event_type",), 3_000)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
