@@ -19,14 +19,27 @@ from partwatch.llm.signature_tree import jaccard_groups
 BROADCAST_IDS = 1_000_000
 
 
+def _number(docs: DataFrame, column: str) -> str:
+    return f"__{docs.columns.index(column)}"
+
+
+def _numbered_columns(docs: DataFrame) -> DataFrame:
+    """``docs`` under names that no operator adds, so that columns of such names are not lost."""
+    return docs.select(*[F.col(f"`{c}`").alias(_number(docs, c)) for c in docs.columns])
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(_number(docs, c)).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from two thirds of the documents with a language; documents without a determined language go.
 
     That is: a null or empty text, one without a letter, or a posterior of less than one half.
     """
     model = language.train(docs.where(remainder("doc_id", 3) != 1))
-    rows = language.identify(docs.select("*", F.struct("*").alias("__row")), model)
-    return rows.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= 0.5)).select("__row.*")
+    rows = language.identify(_numbered_columns(docs), model, text_col=_number(docs, "text"))
+    return _named(rows.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= 0.5)), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +82,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more lie in benchmark windows of 13 words go."""
-    rows = find_contamination(docs.select("*", F.struct("*").alias("__row")), table(spark, sf_dir, "benchmark"), width=13)
-    return rows.where("NOT contaminated").select("__row.*")
+    rows = find_contamination(_numbered_columns(docs), table(spark, sf_dir, "benchmark"), text_col=_number(docs, "text"), width=13)
+    return _named(rows.where("NOT contaminated"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
