@@ -177,7 +177,7 @@ def file_counts(findings: DataFrame) -> DataFrame:
 
 def rate(findings: DataFrame) -> DataFrame:
     """Enriched findings. Optional inputs: ``context``, ``reachable``, ``flow`` and ``secret_probability``."""
-    flow_type = "struct<source:string,source_line:int,sink:string,sink_line:int>"
+    flow_type = "struct<source:string,source_line:int,name:string,sink:string,sink_line:int>"
     optional = {"reachable": "boolean", "flow": flow_type, "secret_probability": "double"}
     missing = [F.lit(None).cast(t).alias(n) for n, t in optional.items() if n not in findings.columns]
     role = F.col("context.role") if "context" in findings.columns else st.file_role(F.col("path"))

@@ -114,8 +114,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ris
 SCALE_SQL = "(['muy bajo', 'bajo', 'medio', 'alto', 'muy alto'])"
 
 
-@query(
-    "s_31_executive_summary",
+view(
+    "v_executive",
     f"""
 SELECT project_id, concat('El análisis estático identificó ', n, ' observaciones (', sev, '). Ponderadas por contexto (impacto × probabilidad), el riesgo se distribuye en ',
   lev, '. El nivel de riesgo agregado de la plataforma es ', global_level, '. La observación de mayor prioridad es «', title, '» en ', regexp_extract(path, '[^/]*$'),
@@ -130,6 +130,9 @@ JOIN (SELECT project_id, string_agg(lower(risk_level) || ': ' || c, ', ' ORDER B
   FROM (SELECT project_id, risk_level, risk_rank, count(*) AS c FROM v_risk GROUP BY ALL) GROUP BY 1) USING (project_id)
 JOIN (SELECT project_id, count(DISTINCT path) FILTER (WHERE hotspot) AS hot FROM v_risk GROUP BY 1) USING (project_id)""",
 )
+
+
+@query("s_31_executive_summary", "SELECT * FROM v_executive")
 def s_31_summary(t):
     return finding_risk.executive_summary(rated(t))
 
