@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..controls import FUNCTIONS, STATE_RANK, STATES
 from ..functions.common import lookup
-from ..plans.skew import top_per_group
+from ..plans.skew import durable, top_per_group
 
 # Fixed values.
 BASELINE = "D11-LINEA-BASE"
@@ -63,10 +63,10 @@ def evaluate(
 ) -> DataFrame:
     """A-11: state of every control in every project.
 
-    ``projects(project_id)`` are distinct, ``global_levels(project_id, global_level)`` has one row per project. The
-    catalogue travels as one array value, so each project row opens into one row per control without a join.
+    ``projects(project_id)`` are distinct, ``global_levels(project_id, global_level)`` has one row per project. The counts per
+    rule, which both the violations and the presence are read from, are written down once.
     """
-    counts = rule_counts(findings)
+    counts = durable(rule_counts(findings))
     hits = violations(counts, controls)
     shown = presence(counts, evidence, controls).withColumn("shown", F.lit(True))
     rows = with_controls(projects, controls)
@@ -102,24 +102,20 @@ def evaluate(
     )
 
 
-def with_controls(projects: DataFrame, controls: DataFrame) -> DataFrame:
-    """One row per project and control, for a catalogue small enough to be part of the plan."""
-    rows = controls.limit(MAX_CONTROLS + 1).collect()
-    if len(rows) > MAX_CONTROLS:
-        raise ValueError(f"a control catalogue may hold at most {MAX_CONTROLS} controls")
-    fields = controls.schema
-    literal = lambda row: F.struct(*[_literal(row[f.name], f.dataType).alias(f.name) for f in fields])
-    catalogue = F.array(*[literal(r) for r in rows])
-    return projects.select("project_id", F.explode(catalogue).alias("c")).select("project_id", "c.*")
-
+CHUNK = 1_000
 
-MAX_CONTROLS = 1_000
 
+def with_controls(projects: DataFrame, controls: DataFrame) -> DataFrame:
+    """One row per project and control, for a catalogue of any size.
 
-def _literal(value, kind) -> Column:
-    if isinstance(value, list):
-        return F.array(*[F.lit(v) for v in value]).cast(kind)
-    return F.lit(value).cast(kind)
+    The catalogue is a table of chunks, each a list of about ``CHUNK`` controls; every project asks for every chunk by its number, so
+    this is a join by key, of a broadcast table if the catalogue is small.
+    """
+    n = max(1, -(-controls.count() // CHUNK))
+    dealt = controls.withColumn("_chunk", F.pmod(F.xxhash64("control_id"), F.lit(n)).cast("int"))
+    chunks = dealt.groupBy("_chunk").agg(F.collect_list(F.struct(*controls.columns)).alias("_controls"))
+    asked = projects.select("project_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_chunk"))
+    return asked.join(chunks, "_chunk").select("project_id", F.explode("_controls").alias("c")).select("project_id", "c.*")
 
 
 def control_order() -> list[Column]:

@@ -85,28 +85,36 @@ def file_hits(
     limit_of = lambda r: info_limit if r.severity == "info" and info_limit is not None else limit
     patterned = [r for r in rules if r.pattern]
 
-    def with_context(lines: Column, hits: Column) -> Column:
-        around = lambda found, h: F.struct(
-            h["rule_id"].alias("rule_id"),
-            (h["i"] + 1).alias("line_no"),
-            h["line"].alias("line"),
-            st.enclosing_construct(found, h["i"], reach).alias("construct"),
-            st.context_window(lines, h["i"]).alias("fragment"),
-        )
-        return let(st.declarations(lines), lambda found: F.transform(hits, lambda h: around(found, h)))
-
     def in_file(low: Column, lines: Column) -> Column:
-        numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.lower(line).alias("low")))
-        code = F.filter(numbered, lambda c: st.is_code_line(c["line"]))
-        return let(code, lambda c: with_context(lines, F.concat(*[_rule_hits(r, text, low, c, limit_of(r)) for r in patterned])))
+        found = lambda c: F.concat(*[_rule_hits(r, text, low, c, limit_of(r)) for r in patterned])
+        return let(code_lines(lines), lambda c: with_context(lines, found(c), reach))
 
     return let(F.lower(text), lambda low: let(split_lines(text), lambda lines: in_file(low, lines)))
 
 
-def explode_hits(analysed: DataFrame, rules: tuple[Rule, ...] = RULES, hits: Column | str = "hits") -> DataFrame:
+def code_lines(lines: Column) -> Column:
+    """The lines that are code, with their place and in lower case."""
+    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.lower(line).alias("low")))
+    return F.filter(numbered, lambda c: st.is_code_line(c["line"]))
+
+
+def with_context(lines: Column, hits: Column, reach: int | None = None) -> Column:
+    """Hits with the lines around them and the enclosing declaration."""
+    around = lambda found, h: F.struct(
+        h["rule_id"].alias("rule_id"),
+        (h["i"] + 1).alias("line_no"),
+        h["line"].alias("line"),
+        st.enclosing_construct(found, h["i"], reach).alias("construct"),
+        st.context_window(lines, h["i"]).alias("fragment"),
+    )
+    return let(st.declarations(lines), lambda found: F.transform(hits, lambda h: around(found, h)))
+
+
+def explode_hits(analysed: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, hits: Column | str = "hits") -> DataFrame:
     """Files with their hits to findings with the texts of their rules."""
     found = analysed.select("project_id", "path", F.explode(hits).alias("h")).select("project_id", "path", "h.*")
-    return found.join(rule_texts(analysed.sparkSession, rules), "rule_id").select(
+    texts = rules if isinstance(rules, DataFrame) else rule_texts(analysed.sparkSession, rules)
+    return found.join(texts, "rule_id").select(
         "project_id",
         "rule_id",
         "title",

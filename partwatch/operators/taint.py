@@ -1,11 +1,14 @@
 """Untrusted data to sensitive operations inside one file (W-11, J-18, J-19, J-23, X-02).
 
-The pass over a file is a fold over its array of lines, inside the row that holds the file. It needs neither a shuffle
-nor Python, and the order of lines is the order of the array.
+A file is one row, so its pass needs no shuffle: column functions pick the lines that assign or use something, and a dictionary of
+names is carried over them in the order of lines.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +66,8 @@ FLOW_MITIGATION = (
     "sumidero."
 )
 STATE = "array<struct<name:string,line:int,label:string>>"
-
-
-def _identifiers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?U)" + IDENTIFIER), F.lit(0))
+# Files whose picked lines are Python values at the same time.
+FILES = 256
 
 
 def _source_label(text: Column) -> Column:
@@ -97,78 +98,117 @@ def _assignments(lines: Column) -> Column:
     )
 
 
-def _step(state: Column, a: Column) -> Column:
-    """State after one assignment. Names keep the place at which they were first tainted and are never cleared."""
-
-    def tainted(ids: Column) -> Column:
-        origin = F.get(
-            F.filter(state, lambda s: F.array_contains(ids, s["name"]) & (s["name"] != a["name"])), F.lit(0)
-        )
-        line = F.when(a["label"].isNotNull(), a["line"]).otherwise(origin["line"])
-        label = F.coalesce(a["label"], origin["label"])
-        return let(
-            F.struct(a["name"].alias("name"), line.alias("line"), label.alias("label")), put
-        )
-
-    def put(entry: Column) -> Column:
-        known = F.exists(state, lambda s: s["name"] == entry["name"])
-        replaced = F.transform(state, lambda s: F.when(s["name"] == entry["name"], entry).otherwise(s))
-        changed = F.when(known, replaced).otherwise(F.concat(state, F.array(entry)))
-        return F.when(entry["label"].isNull(), state).otherwise(changed)
-
-    return let(_identifiers(a["rhs"]), tainted)
-
-
-def tainted_names(lines: Column) -> Column:
-    """W-11: names tainted at the end of the file, in the order they were first tainted."""
-    return F.aggregate(_assignments(lines), F.array().cast(STATE), _step)
-
-
-def _sink_flows(numbered: Column, state: Column, kind: int) -> Column:
-    """Flows into one kind of sink."""
-    pattern, sink, cwe = SINKS[kind]
-
-    def flow(n: Column) -> Column:
-        reaches = lambda ids: F.filter(
-            state, lambda s: F.array_contains(ids, s["name"]) & (s["line"] <= n["line"])
-        )
-        entry = lambda v: F.when(
-            v.isNotNull(),
-            F.struct(
-                v["label"].alias("source"),
-                v["line"].alias("source_line"),
-                v["name"].alias("name"),
-                F.lit(sink).alias("sink"),
-                n["line"].alias("sink_line"),
-                F.lit(cwe).alias("cwe"),
-                F.lit(kind).alias("kind"),
-            ),
-        )
-        return let(F.get(let(_identifiers(n["text"]), reaches), F.lit(0)), entry)
-
-    hits = F.filter(numbered, lambda n: n["text"].rlike("(?U)" + pattern))
-    return F.array_compact(F.transform(hits, flow))
-
-
-def _flows(lines: Column, state: Column) -> Column:
-    """J-23: for each line and sink kind the first tainted name that the line uses."""
-    numbered = F.transform(lines, lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
-    return F.concat(*[_sink_flows(numbered, state, kind) for kind in range(len(SINKS))])
-
-
-def file_flows(path: Column, text: Column) -> Column:
-    """Flow paths inside one file, as an array; null for files that are no code."""
-    in_lines = lambda lines: let(tainted_names(lines), lambda s: F.when(F.size(s) > 0, _flows(lines, s)))
-    return F.when(st.extension(path).isin(*st.CODE_EXTENSIONS), let(split_lines(text), in_lines))
-
-
-def explode_flows(analysed: DataFrame, flows: Column | str = "flows") -> DataFrame:
-    return analysed.select("project_id", "path", F.explode(flows).alias("f")).select("project_id", "path", "f.*")
+def _sink_lines(lines: Column) -> Column:
+    """Lines that hold a sensitive operation: ARRAY<STRUCT<line, text, kinds>>, the kinds as places in ``SINKS``."""
+    kinds = lambda t: F.filter(
+        F.array(*[F.when(t.rlike("(?U)" + pattern), F.lit(kind)) for kind, (pattern, _, _) in enumerate(SINKS)]), lambda k: k.isNotNull()
+    )
+    numbered = F.transform(lines, lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), kinds(t).alias("kinds")))
+    return F.filter(numbered, lambda n: F.size(n["kinds"]) > 0)
+
+
+class FileTrace:
+    """Names of one file that hold untrusted data: by name the turn in which it was first tainted, line and label of its source.
+
+    Names keep their turn and are never cleared. Every step costs the identifiers of its own line.
+    """
+
+    def __init__(self):
+        self.names: dict[str, tuple[int, int, str]] = {}
+
+    def _first(self, text: str, usable) -> tuple[int, int, str, str] | None:
+        """The name of the text that was tainted first, of those that are usable."""
+        known = self.names
+        return min(((*known[n], n) for n in set(IDENTIFIERS(text)) if n in known and usable(n)), default=None)
+
+    def assign(self, line: int, name: str, rhs: str, label: str | None) -> None:
+        if label is None:
+            origin = self._first(rhs, lambda n: n != name)
+            if origin is None:
+                return
+            line, label = origin[1], origin[2]
+        turn = self.names[name][0] if name in self.names else len(self.names)
+        self.names[name] = (turn, line, label)
+
+    def flow(self, line: int, text: str, kind: int) -> dict | None:
+        """The path into one kind of sink on a line: from the name tainted first of those tainted at or before it."""
+        found = self._first(text, lambda n: self.names[n][1] <= line)
+        if found is None:
+            return None
+        _, source_line, label, name = found
+        _, sink, cwe = SINKS[kind]
+        return {"source": label, "source_line": source_line, "name": name, "sink": sink, "sink_line": line, "cwe": cwe, "kind": kind}
+
+    def state(self) -> list[dict]:
+        return [{"name": n, "line": line, "label": label} for n, (_, line, label) in self.names.items()]
+
+
+IDENTIFIERS = re.compile(IDENTIFIER).findall
+STATE_ARROW = pa.list_(pa.struct([("name", pa.string()), ("line", pa.int32()), ("label", pa.string())]))
+FLOWS_ARROW = pa.list_(
+    pa.struct(
+        [("source", pa.string()), ("source_line", pa.int32()), ("name", pa.string()), ("sink", pa.string()), ("sink_line", pa.int32()), ("cwe", pa.string()), ("kind", pa.int32())]
+    )
+)
+FLOW_DDL = "source string, source_line int, name string, sink string, sink_line int, cwe string, kind int"
+FLOWS = f"array<struct<{FLOW_DDL}>>"
+
+
+def picked_lines(text: Column) -> Column:
+    """What a pass over a file needs: ``assigned`` and ``sinks``."""
+    picked = lambda lines: F.struct(_assignments(lines).alias("assigned"), _sink_lines(lines).alias("sinks"))
+    return let(split_lines(F.coalesce(text, F.lit(""))), picked)
+
+
+def traced_stream(batches):
+    """Flows of picked lines in order of file, turn (assignments, then sinks) and line; a file may go on over many batches."""
+    file, own = None, FileTrace()
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if (row["project_id"], row["path"]) != file:
+                file, own = (row["project_id"], row["path"]), FileTrace()
+            if row["turn"] == 0:
+                own.assign(row["line"], row["name"], row["text"], row["label"])
+            elif own.names:
+                flows = [own.flow(row["line"], row["text"], k) for k in row["kinds"]]
+                out += [{"project_id": file[0], "path": file[1], **f} for f in flows if f]
+        schema = pa.schema([("project_id", pa.string()), ("path", pa.string()), *FLOWS_ARROW.value_type])
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+
+def traced_files(files: DataFrame) -> DataFrame:
+    """W-11, J-23: per code file ``state``, the names tainted at its end in the order they were first tainted, and ``flows``, for each line and kind of
+    sink the first tainted name that the line uses.
+
+    Assignments and sink lines are picked out by column functions; only they go to a pass over the file with a dictionary of its
+    names, so the time follows the length of the file. Files that are no code have no row; a null text has no names.
+    """
+    code = files.where(st.extension(F.col("path")).isin(*st.CODE_EXTENSIONS))
+    rows = code.select("project_id", "path", picked_lines(F.col("text")).alias("p")).select("project_id", "path", "p.assigned", "p.sinks")
+
+    def trace(batches):
+        for batch in batches:
+            for first in range(0, len(batch), FILES):
+                part = batch.slice(first, FILES)
+                states, flows = [], []
+                for assigned, sinks in zip(part["assigned"].to_pylist(), part["sinks"].to_pylist(), strict=True):
+                    own = FileTrace()
+                    for a in assigned or ():
+                        own.assign(a["line"], a["name"], a["rhs"], a["label"])
+                    found = [own.flow(s["line"], s["text"], k) for s in (sinks or ()) if own.names for k in s["kinds"]]
+                    states.append(own.state())
+                    flows.append(sorted((f for f in found if f), key=lambda f: (f["kind"], f["sink_line"])))
+                columns = [part["project_id"], part["path"], pa.array(states, STATE_ARROW), pa.array(flows, FLOWS_ARROW)]
+                yield pa.RecordBatch.from_arrays(columns, names=["project_id", "path", "state", "flows"])
+
+    kind = files.schema["project_id"].dataType.simpleString()
+    return rows.mapInArrow(trace, f"project_id {kind}, path string, state {STATE}, flows {FLOWS}")
 
 
 def flow_paths(files: DataFrame) -> DataFrame:
     """Flow paths of every code file, one row each; ``kind`` is the position of the sink in ``SINKS``."""
-    return explode_flows(files, file_flows(F.col("path"), F.col("text")))
+    return traced_files(files).select("project_id", "path", F.explode("flows").alias("f")).select("project_id", "path", "f.*")
 
 
 def flow_controls(cwe: Column) -> Column:
@@ -188,11 +228,12 @@ def first_flow(flows: DataFrame) -> DataFrame:
 
 
 def attach_flows(findings: DataFrame, flows: DataFrame) -> DataFrame:
-    """J-18: mark findings that lie on a reached sink."""
-    first = first_flow(flows)
+    """J-18: mark findings that lie on a reached sink. Findings without a line lie on none and pass the join by."""
+    key = ["project_id", "path", "line"]
     # A line holds few findings, so this key has no hot values.
-    joined = findings.join(first, ["project_id", "path", "line"], "left").select(*findings.columns, "flow")
-    return joined.withColumn("reachable", F.col("flow").isNotNull())
+    joined = findings.where("line IS NOT NULL").join(first_flow(flows), key, "left").select(*findings.columns, "flow")
+    whole = findings.where("line IS NULL").withColumn("flow", F.lit(None).cast(joined.schema["flow"].dataType))
+    return joined.unionByName(whole).withColumn("reachable", F.col("flow").isNotNull())
 
 
 def unmatched_flows(findings: DataFrame, flows: DataFrame) -> DataFrame:

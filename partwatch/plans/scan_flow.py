@@ -14,7 +14,8 @@ def scan_projects(files: DataFrame, rules: tuple[Rule, ...] = RULES, external: D
     scanned = scan.scanned_files(files)
     found = scan.scan_files(scanned, rules).unionByName(scan.missing_license(files, rules))
     if external is not None:
-        order = F.struct("path", "line", "rule_id")
+        # A rule hits a line once; scanners may report one several times, and what they say decides then.
+        order = F.struct("path", "line", "rule_id", "evidence", "title", "severity", "mitigation", "engine")
         columns = found.columns
         found = scan.corroborate(
             found.withColumn("ord", order),

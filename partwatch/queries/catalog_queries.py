@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import catalog
+from ..plans.skew import shared_folder
 from ..sinks import tables
 from ..sources import feeds
 from .registry import placed, query, view
@@ -484,7 +485,10 @@ def upserted(items, kind):
     known = (F.length("slug") + F.length("cycle")) % 2 == 0
     old = items.where(known).withColumns({"latest": F.lit("old"), "status": F.lit("old"), "lts": F.lit("kept")})
     kept = old.unionByName(old.withColumns({"slug": F.concat(F.lit("gone-"), "slug")}))
-    return tables.upsert_cycles(kept, items, kind).select("slug", "cycle", "latest", "status", "lts")
+    # The inventory lies in buckets, as many as shuffle partitions here; the upsert moves the new items only.
+    n_buckets = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inventory = tables.bucketed(kept, shared_folder(items.sparkSession, "inventory"), n_buckets)
+    return tables.upsert_cycles(inventory, items, kind).select("slug", "cycle", "latest", "status", "lts")
 
 
 def upsert_sql(items: str, kind: str) -> str:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import source_text as st
-from ..operators import scan, taint
-from ..rules import LANGUAGE_RULES, RULES, Rule
+from ..functions.common import split_lines
+from ..operators import rule_index, scan, taint
+from ..plans.skew import shared_folder
+from ..rules import LANGUAGE_RULES, RULES, Rule, rule_table
+from ..sources import trees
 from .catalog_queries import values
 from .fixtures import ENGINES, HEAD, SOURCE_LINES, TAIL
 from .registry import placed, query, view
@@ -109,6 +112,20 @@ def src_09(t):
     return scan.source_lines(t.scanned).select("project_id", "path", "line_no", F.length("line").alias("chars"))
 
 
+@query(
+    "src_09_read_tree",
+    "SELECT 'project_id=' || project_id AS project_id, count(*) AS lines, sum(length(line)) AS chars FROM v_lines GROUP BY 1",
+)
+def src_09_tree(t):
+    """The scanned texts written as files, a folder a project, and read back as a tree."""
+    root = shared_folder(t.spark, "tree")
+    # The writer ends each text with a line break of its own.
+    t.scanned.select("project_id", F.regexp_replace("text", "\n$", "").alias("text")).write.partitionBy("project_id").text(root)
+    lines = F.explode(split_lines(F.col("text"))).alias("line")
+    read = trees.read_tree(t.spark, root, whole=1 << 30).where(F.col("path").endswith(".txt"))
+    return read.select("project_id", lines).groupBy("project_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
 @query("f_06_scanned_files", "SELECT project_id, path FROM v_scanned")
 def f_06(t):
     return t.scanned.select("project_id", "path")
@@ -129,6 +146,13 @@ def j_13(t):
     return scan.scan_files(t.scanned).select("project_id", "path", "rule_id", "line", "category", "severity")
 
 
+@query("x_01_rule_index", "SELECT project_id, path, rule_id, line_no AS line, category, severity FROM v_hits")
+def x_01_index(t):
+    """The rules as a table, found through the index of their triggers."""
+    found = rule_index.scan_files_by_table(t.scanned, rule_table(t.spark))
+    return found.select("project_id", "path", "rule_id", "line", "category", "severity")
+
+
 @query(
     "j_13_corpus_rules",
     f"""
@@ -395,12 +419,8 @@ SELECT path, array_to_string(list_transform(range(1, len(names) + 1), lambda i:
 FROM v_final""",
 )
 def w_11(t):
-    from ..functions.common import split_lines
-
-    code = t.scanned.where(st.extension(F.col("path")).isin(*st.CODE_EXTENSIONS))
-    state = taint.tainted_names(split_lines(F.col("text")))
-    text = F.transform(state, lambda s: F.concat_ws(":", s["name"], s["line"], s["label"]))
-    return code.select("path", F.array_join(text, " | ").alias("state"))
+    text = F.transform("state", lambda s: F.concat_ws(":", s["name"], s["line"], s["label"]))
+    return taint.traced_files(t.scanned).select("path", F.array_join(text, " | ").alias("state"))
 
 
 SINK_ROWS = values((i, p, name, cwe) for i, (p, name, cwe) in enumerate(taint.SINKS))
@@ -470,11 +490,8 @@ def j_19(t):
     "SELECT path, len(names) AS tainted FROM v_final WHERE len(names) > 0",
 )
 def x_02(t):
-    from ..functions.common import split_lines
-
-    code = t.scanned.where(st.extension(F.col("path")).isin(*st.CODE_EXTENSIONS))
-    n = F.size(taint.tainted_names(split_lines(F.col("text"))))
-    return code.select("path", n.alias("tainted")).where("tainted > 0")
+    n = F.size("state")
+    return taint.traced_files(t.scanned).select("path", n.alias("tainted")).where("tainted > 0")
 
 
 @query(

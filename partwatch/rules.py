@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A rule catalogue is read into the plan, so a table of rules is only accepted up to this size.
-MAX_RULES = 1_000
 
 
 @dataclass(frozen=True)
@@ -329,9 +328,7 @@ def rule_texts(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFram
     return F.broadcast(spark.createDataFrame(rows, RULE_DDL))
 
 
-def rules_from(table: DataFrame) -> tuple[Rule, ...]:
-    """Rules kept as a table (``id, title, category, severity, pattern, triggers, guide, legal, cwe, mitigation``)."""
-    rows = table.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule catalogue may hold at most {MAX_RULES} rules")
-    return tuple(Rule(**{**row.asDict(), "triggers": tuple(row["triggers"] or ())}) for row in rows)
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The line rules as a table, as callers may keep their own: the texts, ``pattern`` and ``triggers``."""
+    rows = [(r.id, r.title, r.category, r.severity, r.guide, r.legal, r.cwe, r.mitigation, r.pattern, list(r.triggers)) for r in rules if r.pattern]
+    return spark.createDataFrame(rows, RULE_DDL + ", pattern string, triggers array<string>")

@@ -6,6 +6,9 @@ then points readers at it, so a path is never overwritten while it is read.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +72,26 @@ def inventory_products(entries: DataFrame, kind: str, now: str) -> DataFrame:
     ).distinct()
 
 
+INVENTORY_KEY = ("slug", "cycle")
+
+
+def bucketed(rows: DataFrame, path: str, n_buckets: int = 200, key: Sequence[str] = INVENTORY_KEY) -> DataFrame:
+    """``rows`` as a bucketed table at a new ``path``: later joins on ``key`` read its buckets where they lie and never move them.
+
+    The table has a name of its own in the session's catalogue. Choose ``n_buckets`` so that a bucket fits into a task; the new rows
+    of a join are dealt to as many. The rows are dealt to the buckets before they are written, so a bucket is one file.
+    """
+    name = f"inventory_{uuid.uuid4().hex}"
+    dealt = rows.repartition(n_buckets, *key)
+    dealt.write.mode("errorifexists").option("path", path).bucketBy(n_buckets, *key).sortBy(*key).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def upsert_cycles(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
-    """SNK-07: insert new keys; on a known key change only the columns of this kind. ``new`` has one row per key."""
+    """SNK-07: insert new keys; on a known key change only the columns of this kind. ``new`` has one row per key.
+
+    A full join on the key. If ``old`` is a ``bucketed`` table, only ``new`` is shuffled.
+    """
     key = ["slug", "cycle"]
     right = new.select(*key, F.struct(*[c for c in new.columns if c not in key]).alias("_new"))
     left = old.select(*key, F.struct(*[c for c in old.columns if c not in key]).alias("_old"))

@@ -5,13 +5,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import source_text as st
-from ..functions.common import lookup
+from ..functions.common import let, lookup
 from ..controls import cwe_controls
 
 # Fixed values.
@@ -70,249 +68,192 @@ def _or(c: Column, default: str) -> Column:
     return F.when(F.coalesce(c, F.lit("")) != "", c).otherwise(default)
 
 
-def _finding(engine, path, line, rule, title, category, severity, evidence, cwe, mitigation) -> list[Column]:
-    text = lambda c: (F.lit(c) if not isinstance(c, Column) else c).cast("string")
-    return [
-        F.col("project_id"),
-        text(rule).alias("rule_id"),
-        text(title).alias("title"),
-        text(category).alias("category"),
-        text(severity).alias("severity"),
-        st.relative_path(F.coalesce(text(path), F.lit("")), F.col("root")).alias("path"),
-        (line if line is not None else F.lit(None)).cast("int").alias("line"),
-        st.redact(F.coalesce(text(evidence), F.lit(""))).alias("evidence"),
-        text(GUIDE).alias("guide"),
-        text(LEGAL).alias("legal"),
-        (F.lit(None).cast("string") if cwe is None else text(cwe)).alias("cwe"),
-        text(mitigation).alias("mitigation"),
-        text(engine).alias("engine"),
-    ]
+FIELDS = {
+    "engine": "string", "path": "string", "line": "int", "rule": "string", "title": "string", "category": "string", "severity": "string", "evidence": "string",
+    "cwe": "string", "mitigation": "string",
+}
+FINDINGS = "array<struct<" + ",".join(f"{n}:{t}" for n, t in FIELDS.items()) + ">>"
+
+
+def _shaped(*values) -> Column:
+    """One finding as a struct of ``FIELDS``."""
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(*[as_column(v).cast(t).alias(n) for v, (n, t) in zip(values, FIELDS.items(), strict=True)])
+
+
+def _each(array: Column, shape) -> Column:
+    """Findings of the elements of an array; none for a null one."""
+    return F.coalesce(F.transform(array, shape).cast(FINDINGS), F.array().cast(FINDINGS))
 
 
-def _items(reports: DataFrame, array: Column) -> DataFrame:
-    return reports.select("project_id", "root", F.explode(array).alias("r"))
+def _all(array: Column, shapes) -> Column:
+    """Findings of elements that have several each."""
+    return F.coalesce(F.flatten(F.transform(array, shapes)).cast(FINDINGS), F.array().cast(FINDINGS))
 
 
-def semgrep(reports: DataFrame) -> DataFrame:
+def semgrep(body: Column) -> Column:
     """N-01. ``cwe`` may be a text or a list; both are read as text."""
-    r = _items(reports, F.from_json("body", SEMGREP)["results"])
-    c = F.col
-    meta, extra = c("r.extra.metadata"), c("r.extra")
-    message = _or(extra["message"], "Hallazgo Semgrep")
-    raw = meta["cwe"]
-    first = F.when(raw.startswith("["), F.get(F.from_json(raw, "array<string>"), F.lit(0))).otherwise(raw)
-    return r.select(
-        *_finding(
-            "semgrep",
-            c("r.path"),
-            c("r.start.line"),
-            F.concat(F.lit("SG-"), F.substring_index(F.coalesce(c("r.check_id"), F.lit("regla")), ".", -1)),
-            F.coalesce(F.when(meta["titulo"] != "", meta["titulo"]), message),
-            F.coalesce(meta["categoria"], F.lit("SAST EXTERNO")),
-            local_severity(extra["severity"]),
-            extra["lines"],
-            F.coalesce(st.cwe_id(first), first),
-            F.coalesce(
-                F.when(meta["mitigacion"] != "", meta["mitigacion"]),
-                F.coalesce(extra["message"], F.lit("Revisar y corregir según el patrón detectado.")),
-            ),
+
+    def shape(r: Column) -> Column:
+        meta, extra = r["extra"]["metadata"], r["extra"]
+        raw = meta["cwe"]
+        first = F.when(raw.startswith("["), F.get(F.from_json(raw, "array<string>"), F.lit(0))).otherwise(raw)
+        return _shaped(
+            "semgrep", r["path"], r["start"]["line"],
+            F.concat(F.lit("SG-"), F.substring_index(F.coalesce(r["check_id"], F.lit("regla")), ".", -1)),
+            F.coalesce(F.when(meta["titulo"] != "", meta["titulo"]), _or(extra["message"], "Hallazgo Semgrep")),
+            F.coalesce(meta["categoria"], F.lit("SAST EXTERNO")), local_severity(extra["severity"]), extra["lines"], F.coalesce(st.cwe_id(first), first),
+            F.coalesce(F.when(meta["mitigacion"] != "", meta["mitigacion"]), extra["message"], F.lit("Revisar y corregir según el patrón detectado.")),
         )
-    )
 
+    return _each(F.from_json(body, SEMGREP)["results"], shape)
 
-def detect_secrets(reports: DataFrame) -> DataFrame:
+
+def detect_secrets(body: Column) -> Column:
     """N-02."""
-    files = reports.select("project_id", "root", F.explode(F.from_json("body", DETECT_SECRETS)["results"]).alias("path", "items"))
-    r = files.select("project_id", "root", "path", F.explode("items").alias("r"))
-    kind = F.col("r.type")
-    return r.select(
-        *_finding(
-            "detect-secrets",
-            F.col("path"),
-            F.col("r.line_number"),
-            F.concat(F.lit("DS-"), F.replace(F.coalesce(kind, F.lit("secreto")), F.lit(" "), F.lit("-"))),
-            F.concat(F.lit("Secreto detectado: "), F.coalesce(kind, F.lit("genérico"))),
-            SECRETS,
-            "alto",
-            kind,
-            "CWE-798",
-            ROTATE,
-        )
-    )
 
+    def in_file(entry: Column) -> Column:
+        def shape(r: Column) -> Column:
+            kind = r["type"]
+            return _shaped(
+                "detect-secrets", entry["key"], r["line_number"], F.concat(F.lit("DS-"), F.replace(F.coalesce(kind, F.lit("secreto")), F.lit(" "), F.lit("-"))),
+                F.concat(F.lit("Secreto detectado: "), F.coalesce(kind, F.lit("genérico"))), SECRETS, "alto", kind, "CWE-798", ROTATE,
+            )
 
-def bandit(reports: DataFrame) -> DataFrame:
+        return _each(entry["value"], shape)
+
+    return _all(F.map_entries(F.from_json(body, DETECT_SECRETS)["results"]), in_file)
+
+
+def bandit(body: Column) -> Column:
     """N-03."""
-    r = _items(reports, F.from_json("body", BANDIT)["results"])
-    c = F.col
-    return r.select(
-        *_finding(
-            "bandit",
-            c("r.filename"),
-            c("r.line_number"),
-            F.concat(F.lit("BANDIT-"), F.coalesce(c("r.test_id"), F.lit(""))),
-            F.coalesce(c("r.test_name"), F.lit("Hallazgo Bandit")),
-            "SAST EXTERNO (Python)",
-            local_severity(c("r.issue_severity")),
-            c("r.code"),
-            F.when(c("r.issue_cwe.id") != 0, F.concat(F.lit("CWE-"), c("r.issue_cwe.id"))),
-            F.coalesce(c("r.issue_text"), F.lit("Revisar el patrón inseguro detectado por Bandit.")),
+
+    def shape(r: Column) -> Column:
+        cwe = r["issue_cwe"]["id"]
+        return _shaped(
+            "bandit", r["filename"], r["line_number"], F.concat(F.lit("BANDIT-"), F.coalesce(r["test_id"], F.lit(""))), F.coalesce(r["test_name"], F.lit("Hallazgo Bandit")),
+            "SAST EXTERNO (Python)", local_severity(r["issue_severity"]), r["code"], F.when(cwe != 0, F.concat(F.lit("CWE-"), cwe)),
+            F.coalesce(r["issue_text"], F.lit("Revisar el patrón inseguro detectado por Bandit.")),
         )
-    )
+
+    return _each(F.from_json(body, BANDIT)["results"], shape)
 
 
-def njsscan(reports: DataFrame) -> DataFrame:
+def njsscan(body: Column) -> Column:
     """N-04: two sections of rule -> files; the first matched line counts."""
-    doc = reports.select("project_id", "root", F.from_json("body", NJSSCAN).alias("d"))
-    empty = F.array().cast(f"array<struct<key:string,value:{NJSSCAN_SECTION[len('map<string,'):-1]}>>")
-    entries = F.concat(
-        F.coalesce(F.map_entries("d.nodejs"), empty), F.coalesce(F.map_entries("d.templates"), empty)
-    )
-    rules = doc.select("project_id", "root", F.explode(entries).alias("e"))
-    r = rules.select("project_id", "root", F.col("e.key").alias("rule"), F.col("e.value.metadata").alias("m"), F.explode("e.value.files").alias("f"))
-    c = F.col
-    return r.select(
-        *_finding(
-            "njsscan",
-            c("f.file_path"),
-            F.get(c("f.match_lines"), F.lit(0)),
-            F.concat(F.lit("NJS-"), c("rule")),
-            F.coalesce(F.when(c("m.description") != "", c("m.description")), c("rule")),
-            "SAST EXTERNO (Node/JS)",
-            local_severity(c("m.severity")),
-            c("f.match_string"),
-            st.cwe_id(c("m.cwe")),
-            _or(c("m.description"), "Revisar el patrón inseguro detectado por njsscan."),
+
+    def of_rule(entry: Column) -> Column:
+        m = entry["value"]["metadata"]
+        return _each(
+            entry["value"]["files"],
+            lambda f: _shaped(
+                "njsscan", f["file_path"], F.get(f["match_lines"], F.lit(0)), F.concat(F.lit("NJS-"), entry["key"]),
+                F.coalesce(F.when(m["description"] != "", m["description"]), entry["key"]), "SAST EXTERNO (Node/JS)", local_severity(m["severity"]), f["match_string"],
+                st.cwe_id(m["cwe"]), _or(m["description"], "Revisar el patrón inseguro detectado por njsscan."),
+            ),
         )
-    )
+
+    both = let(F.from_json(body, NJSSCAN), lambda d: F.concat(_all(F.map_entries(d["nodejs"]), of_rule), _all(F.map_entries(d["templates"]), of_rule)))
+    return F.coalesce(both, F.array().cast(FINDINGS))
 
 
-def gitleaks(reports: DataFrame) -> DataFrame:
+def gitleaks(body: Column) -> Column:
     """N-05."""
-    r = _items(reports, F.from_json("body", GITLEAKS))
-    c = F.col
-    return r.select(
-        *_finding(
-            "gitleaks",
-            c("r.File"),
-            c("r.StartLine"),
-            F.concat(F.lit("GL-"), F.coalesce(c("r.RuleID"), F.lit("secreto"))),
-            F.concat(F.lit("Secreto detectado: "), F.coalesce(c("r.Description"), F.lit("genérico"))),
-            SECRETS,
-            "alto",
-            F.coalesce(F.when(c("r.Match") != "", c("r.Match")), c("r.Secret")),
-            "CWE-798",
-            ROTATE_IN,
+
+    def shape(r: Column) -> Column:
+        return _shaped(
+            "gitleaks", r["File"], r["StartLine"], F.concat(F.lit("GL-"), F.coalesce(r["RuleID"], F.lit("secreto"))),
+            F.concat(F.lit("Secreto detectado: "), F.coalesce(r["Description"], F.lit("genérico"))), SECRETS, "alto", F.coalesce(F.when(r["Match"] != "", r["Match"]), r["Secret"]),
+            "CWE-798", ROTATE_IN,
         )
-    )
 
+    return _each(F.from_json(body, GITLEAKS), shape)
 
-def trivy(reports: DataFrame) -> DataFrame:
-    """N-06: dependencies (without a line), secrets and configuration, from one reading of each report."""
-    lit = lambda c: (F.lit(c) if not isinstance(c, Column) else c).cast("string")
-
-    def shaped(line, rule, title, category, severity, evidence, cwe, mitigation) -> Column:
-        values = {"rule": rule, "title": title, "category": category, "severity": severity, "evidence": evidence, "cwe": cwe, "mitigation": mitigation}
-        return F.struct(F.lit(line).cast("int").alias("line"), *[lit(v).alias(n) for n, v in values.items()])
-
-    def dependency(v: Column) -> Column:
-        text = lambda name: F.coalesce(v[name], F.lit(""))
-        update = F.when(
-            text("FixedVersion") != "",
-            F.concat(F.lit("Actualizar "), text("PkgName"), F.lit(" a "), v["FixedVersion"], F.lit(".")),
-        ).otherwise("Actualizar la dependencia a una versión sin la vulnerabilidad.")
-        return shaped(
-            None,
-            F.concat(F.lit("TRIVY-"), F.coalesce(v["VulnerabilityID"], F.lit("VULN"))),
-            _or(F.coalesce(F.when(v["Title"] != "", v["Title"]), v["VulnerabilityID"]), "Dependencia vulnerable"),
-            "DEPENDENCIA VULNERABLE (SCA)",
-            local_severity(v["Severity"]),
-            F.concat(text("PkgName"), F.lit(" "), text("InstalledVersion"), F.lit(" -> "), text("VulnerabilityID")),
-            st.cwe_id(F.get(v["CweIDs"], F.lit(0))),
-            update,
-        )
 
-    def secret(v: Column) -> Column:
-        return shaped(
-            v["StartLine"],
-            F.concat(F.lit("TRIVY-SEC-"), F.coalesce(v["RuleID"], F.lit("secreto"))),
-            F.concat(F.lit("Secreto detectado: "), F.coalesce(v["Title"], F.lit("genérico"))),
-            SECRETS,
-            local_severity(v["Severity"], "alto"),
-            v["Match"],
-            "CWE-798",
-            ROTATE_IN,
-        )
+def trivy(body: Column) -> Column:
+    """N-06: dependencies (without a line), secrets and configuration."""
 
-    def configuration(v: Column) -> Column:
-        return shaped(
-            v["CauseMetadata"]["StartLine"],
-            F.concat(F.lit("TRIVY-CFG-"), F.coalesce(v["ID"], F.lit("config"))),
-            _or(v["Title"], "Configuración insegura"),
-            "CONFIGURACIÓN INSEGURA (IaC)",
-            local_severity(v["Severity"]),
-            v["Message"],
-            None,
-            _or(v["Resolution"], "Corregir la configuración según la recomendación de Trivy."),
-        )
+    def of_target(r: Column) -> Column:
+        target = r["Target"]
 
-    names = ("rule", "title", "category", "severity", "evidence", "cwe", "mitigation")
-    nothing = F.array().cast("array<struct<line:int," + ",".join(f"{n}:string" for n in names) + ">>")
-    children = F.concat(
-        *[
-            F.coalesce(F.transform(F.col("r")[name], shape), nothing)
-            for name, shape in (("Vulnerabilities", dependency), ("Secrets", secret), ("Misconfigurations", configuration))
-        ]
-    )
-    rows = _items(reports, F.from_json("body", TRIVY)["Results"]).select("project_id", "root", F.col("r.Target").alias("anchor"), F.explode(children).alias("f"))
-    f = F.col("f")
-    return rows.select(*_finding("trivy", F.col("anchor"), f["line"], *[f[n] for n in names]))
+        def dependency(v: Column) -> Column:
+            text = lambda name: F.coalesce(v[name], F.lit(""))
+            update = F.when(
+                text("FixedVersion") != "", F.concat(F.lit("Actualizar "), text("PkgName"), F.lit(" a "), v["FixedVersion"], F.lit("."))
+            ).otherwise("Actualizar la dependencia a una versión sin la vulnerabilidad.")
+            return _shaped(
+                "trivy", target, None, F.concat(F.lit("TRIVY-"), F.coalesce(v["VulnerabilityID"], F.lit("VULN"))),
+                _or(F.coalesce(F.when(v["Title"] != "", v["Title"]), v["VulnerabilityID"]), "Dependencia vulnerable"), "DEPENDENCIA VULNERABLE (SCA)", local_severity(v["Severity"]),
+                F.concat(text("PkgName"), F.lit(" "), text("InstalledVersion"), F.lit(" -> "), text("VulnerabilityID")), st.cwe_id(F.get(v["CweIDs"], F.lit(0))), update,
+            )
 
+        def secret(v: Column) -> Column:
+            return _shaped(
+                "trivy", target, v["StartLine"], F.concat(F.lit("TRIVY-SEC-"), F.coalesce(v["RuleID"], F.lit("secreto"))),
+                F.concat(F.lit("Secreto detectado: "), F.coalesce(v["Title"], F.lit("genérico"))), SECRETS, local_severity(v["Severity"], "alto"), v["Match"], "CWE-798", ROTATE_IN,
+            )
 
-def retire(reports: DataFrame) -> DataFrame:
+        def configuration(v: Column) -> Column:
+            return _shaped(
+                "trivy", target, v["CauseMetadata"]["StartLine"], F.concat(F.lit("TRIVY-CFG-"), F.coalesce(v["ID"], F.lit("config"))), _or(v["Title"], "Configuración insegura"),
+                "CONFIGURACIÓN INSEGURA (IaC)", local_severity(v["Severity"]), v["Message"], None, _or(v["Resolution"], "Corregir la configuración según la recomendación de Trivy."),
+            )
+
+        return F.concat(_each(r["Vulnerabilities"], dependency), _each(r["Secrets"], secret), _each(r["Misconfigurations"], configuration))
+
+    return _all(F.from_json(body, TRIVY)["Results"], of_target)
+
+
+def retire(body: Column) -> Column:
     """N-07: a list, or an object that holds it under ``data``."""
-    entries = F.when(F.col("body").rlike(r"^\s*\["), F.from_json("body", RETIRE_ENTRIES)).otherwise(
-        F.from_json("body", f"data {RETIRE_ENTRIES}")["data"]
-    )
-    files = _items(reports, entries)
-    results = files.select("project_id", "root", F.col("r.file").alias("file"), F.explode("r.results").alias("c"))
-    r = results.select("project_id", "root", "file", "c.component", "c.version", F.explode("c.vulnerabilities").alias("v"))
-    c = F.col
-    component = F.coalesce(c("component"), F.lit("lib"))
-    version = F.coalesce(c("version"), F.lit(""))
-    cve = F.get(c("v.identifiers.CVE"), F.lit(0))
-    label = F.concat(component, F.lit(" "), version)
-    return r.select(
-        *_finding(
-            "retire",
-            c("file"),
-            None,
-            F.concat(F.lit("RETIRE-"), F.coalesce(cve, c("v.identifiers.issue"), component)),
-            F.coalesce(F.when(c("v.identifiers.summary") != "", c("v.identifiers.summary")), F.concat(label, F.lit(": librería JS vulnerable"))),
-            "LIBRERÍA JS VULNERABLE (SCA)",
-            local_severity(c("v.severity")),
-            F.concat(label, F.coalesce(F.concat(F.lit(" -> "), cve), F.lit(""))),
-            None,
-            F.concat(F.lit("Actualizar "), component, F.lit(" a una versión sin la vulnerabilidad reportada.")),
-        )
-    )
+    entries = F.when(body.rlike(r"^\s*\["), F.from_json(body, RETIRE_ENTRIES)).otherwise(F.from_json(body, f"data {RETIRE_ENTRIES}")["data"])
+
+    def of_component(file: Column, c: Column) -> Column:
+        component, label = F.coalesce(c["component"], F.lit("lib")), F.concat(F.coalesce(c["component"], F.lit("lib")), F.lit(" "), F.coalesce(c["version"], F.lit("")))
+
+        def shape(v: Column) -> Column:
+            ids = v["identifiers"]
+            cve = F.get(ids["CVE"], F.lit(0))
+            return _shaped(
+                "retire", file, None, F.concat(F.lit("RETIRE-"), F.coalesce(cve, ids["issue"], component)),
+                F.coalesce(F.when(ids["summary"] != "", ids["summary"]), F.concat(label, F.lit(": librería JS vulnerable"))), "LIBRERÍA JS VULNERABLE (SCA)",
+                local_severity(v["severity"]), F.concat(label, F.coalesce(F.concat(F.lit(" -> "), cve), F.lit(""))), None,
+                F.concat(F.lit("Actualizar "), component, F.lit(" a una versión sin la vulnerabilidad reportada.")),
+            )
 
+        return _each(c["vulnerabilities"], shape)
 
-READERS = {
-    "semgrep": semgrep,
-    "detect-secrets": detect_secrets,
-    "bandit": bandit,
-    "njsscan": njsscan,
-    "gitleaks": gitleaks,
-    "trivy": trivy,
-    "retire": retire,
+    return _all(entries, lambda r: _all(r["results"], lambda c: of_component(r["file"], c)))
+
+
+SHAPES = {
+    "semgrep": semgrep, "detect-secrets": detect_secrets, "bandit": bandit, "njsscan": njsscan, "gitleaks": gitleaks, "trivy": trivy, "retire": retire,
 }
 
 
+def _opened(reports: DataFrame, findings: Column) -> DataFrame:
+    f = F.col("f")
+    text = lambda name, default: F.lit(default).cast("string").alias(name)
+    return reports.select("project_id", "root", F.explode(findings).alias("f")).select(
+        "project_id", f["rule"].alias("rule_id"), f["title"].alias("title"), f["category"].alias("category"), f["severity"].alias("severity"),
+        st.relative_path(F.coalesce(f["path"], F.lit("")), F.col("root")).alias("path"), f["line"].alias("line"),
+        st.redact(F.coalesce(f["evidence"], F.lit(""))).alias("evidence"), text("guide", GUIDE), text("legal", LEGAL), f["cwe"].alias("cwe"),
+        f["mitigation"].alias("mitigation"), f["engine"].alias("engine"),
+    )
+
+
+READERS = {name: (lambda reports, shape=shape: _opened(reports, shape(F.col("body")))) for name, shape in SHAPES.items()}
+
+
 def all_findings(reports: DataFrame, engines: tuple[str, ...] = ENGINES) -> DataFrame:
-    """U-03: findings of the chosen engines. ``reports`` has an ``engine`` column besides the above."""
-    parts = [READERS[e](reports.where(F.col("engine") == e)) for e in engines]
-    return reduce(DataFrame.unionByName, parts)
+    """U-03: findings of the chosen engines. ``reports`` has an ``engine`` column besides the above.
+
+    One pass: the engine chooses the shape, so each report is parsed once, and one row per report opens into its findings.
+    """
+    chosen = None
+    for name in engines:
+        chosen = (F.when if chosen is None else chosen.when)(F.col("engine") == name, SHAPES[name](F.col("body")))
+    return _opened(reports.where(F.col("engine").isin(*engines)), chosen)
 
 
 def with_controls(findings: DataFrame) -> DataFrame:
