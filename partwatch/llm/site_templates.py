@@ -56,15 +56,22 @@ CONTAINERS = frozenset("center details dir div dl fieldset figure header hgroup
 # These may hold article elements of their own.
 NO_CONTENT_ARTICLES = frozenset("comment comments disqus related replies reply".split())
 HEADER_WORDS = frozenset(["header", "masthead", "topbar"])
+# What a class name may say beside such a word without meaning something else: "ads-top" is an advert, "ad-hoc" and "with-sidebar" are not.
+NEUTRAL_WORDS = frozenset(
+    "area article articles bar block blog body bottom box button buttons center col column container content count desktop feed fixed floating follow footer form"
+    " global google head header holder icon icons image info inner item items js latest left link links list main media message mobile more news outer page panel"
+    " popular post posts primary reader readers recent right row secondary section site slot small sticky stories story sub tablet text thread title top unit user"
+    " users view wrap wrapper zone".split()
+)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "digest", "spared")
+    __slots__ = ("tag", "attributes", "children", "digest", "spared", "size", "heads")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children, self.digest, self.spared = tag, attributes, [], None, False
+        self.tag, self.attributes, self.children, self.digest, self.spared, self.size, self.heads = tag, attributes, [], None, False, 0, 0
 
 
 def parse(html: str) -> Element:
@@ -130,7 +137,38 @@ def _words(text: str) -> set[str]:
 
 
 def _names(element: Element) -> set[str]:
-    return _words(element.attributes.get("class", "") + " " + element.attributes.get("id", ""))
+    """Words of the class names and the id that stand for the whole name: alone, or with neutral words, numbers and each other."""
+    out = set()
+    for name in (element.attributes.get("class", "") + " " + element.attributes.get("id", "")).split():
+        words = _words(name)
+        known = {w for w in words if w in NO_CONTENT_WORDS or w in HEADER_WORDS}
+        if known and all(w in known or w in NEUTRAL_WORDS or w.isdigit() for w in words):
+            out |= known
+        elif (whole := "".join(WORD.findall(name)).lower()) in NO_CONTENT_WORDS:
+            out.add(whole)
+    return out
+
+
+def _weigh(root: Element) -> None:
+    """Characters of text and first-level headings below each element; what is no content by its tag counts nothing."""
+    order, todo = [], [root]
+    while todo:
+        now = todo.pop()
+        order.append(now)
+        todo += [c for c in now.children if isinstance(c, Element)]
+    for element in reversed(order):
+        own = [c for c in element.children if isinstance(c, Element)]
+        element.size = sum(c.size for c in own) + sum(len(c) for c in element.children if not isinstance(c, Element) and not c.isspace())
+        element.heads = sum(c.heads for c in own) + (element.tag == "h1")
+        if element.tag in NO_CONTENT and element.tag != "form":
+            element.size = element.heads = 0
+
+
+def _vital(element: Element, root: Element, comments: bool) -> bool:
+    """Whether the page would be nothing without an element: it holds all its first-level headings or, if there is none, most of its text."""
+    if root.heads:
+        return element.heads == root.heads
+    return not comments and 2 * element.size > root.size > 0
 
 
 def _holds_article(element: Element) -> bool:
@@ -155,9 +193,14 @@ def _holds_heading(element: Element) -> bool:
     return False
 
 
-def no_content(element: Element, inside_article: bool, outermost: bool = True) -> bool:
-    """Whether an element says of itself that it is not part of the article. The class of an outermost article says nothing of it."""
+def no_content(element: Element, root: Element, inside_article: bool, outermost: bool = True) -> bool:
+    """Whether an element says of itself that it is not part of the article.
+
+    The class of an outermost article says nothing of it. A form, by its tag or role, or an element with a telling name, is content if it is vital.
+    """
     tag, own = element.tag, element.attributes
+    if tag == "form" or own.get("role", "").lower() == "form":
+        return not (_vital(element, root, False) or _holds_article(element))
     if tag in NO_CONTENT:
         return True
     if tag == "header":
@@ -172,7 +215,7 @@ def no_content(element: Element, inside_article: bool, outermost: bool = True) -
     if tag in ("html", "body", "main") or not names or (tag == "article" and outermost):
         return False
     hit = names & NO_CONTENT_WORDS or (not inside_article and names & HEADER_WORDS)
-    return bool(hit) and not _holds_article(element)
+    return bool(hit) and not _holds_article(element) and not _vital(element, root, bool(names & NO_CONTENT_ARTICLES))
 
 
 def strip(root: Element) -> None:
@@ -181,15 +224,16 @@ def strip(root: Element) -> None:
     Elements named like comments or related articles go with the articles they hold, unless no article with text is left then: these are
     wrappers of the page's own article, and stay.
     """
+    _weigh(root)
     named, todo = [], [(root, False, True)]
     while todo:
         now, inside, outermost = todo.pop()
         left = []
         for c in now.children:
             if isinstance(c, Element):
-                if no_content(c, inside, outermost):
+                if no_content(c, root, inside, outermost):
                     continue
-                if c.attributes and c.tag not in ("html", "body", "main") and _names(c) & NO_CONTENT_ARTICLES:
+                if c.attributes and c.tag not in ("html", "body", "main") and _names(c) & NO_CONTENT_ARTICLES and not _vital(c, root, True):
                     if not outermost:
                         continue
                     if c.tag != "article":

@@ -92,3 +92,23 @@ def test_blocks_of_a_large_host(spark, monkeypatch):
             assert got[i] == f"Title {i}\nown text {i}\nQuoted on {i % 500}"
         for i in range(3_000, 3_060):
             assert f"Rotating notice {i % 12} of this site" in got[i] and f"Quoted on {i % 500}" in got[i]
+
+
+def test_class_words_and_forms_keep_articles():
+    cases = {
+        "<div class='layout with-sidebar'><h1>T</h1><p>Body</p></div>": "T\nBody",
+        "<div class='container no-sidebar'><h1>T</h1><p>Body</p></div><div class=sidebar>s</div>": "T\nBody",
+        "<main><div class='post share-enabled'><h1>T</h1>Body</div></main>": "T\nBody",
+        "<form id=aspnetForm action=x><nav>n</nav><h1>T</h1><p>Body</p><input name=q><select><option>o</select></form>": "T\nBody",
+        "<form><p>Body of a page without headings</p><label>x</label></form><p>y</p>": "Body of a page without headings\nx\ny",
+        "<h1>T</h1><p>Body</p><form><p>Your name and your e-mail address</p></form>": "T\nBody",
+        "<article><h1>T</h1><section class=related-work>R</section><p class=ad-hoc>A</p><blockquote class=social-history>S</blockquote></article>": "T\nR\nA\nS",
+        "<article><h1>T</h1><div class='related-items'>R</div><p class='ad-top'>A</p><div class=social-links>S</div><div id=adSlot2>x</div></article>": "T",
+        "<div class='main-content'><h1>T</h1>B</div><div class='left-sidebar'>s</div><div class=sideBar>s</div><div class='cookie-notice'>c</div><ul class=share-buttons><li>x</ul>": "T\nB",
+        "<h1>T</h1><p>short</p><div class=comments><h2>3 comments</h2><p>A reader says very much more than the text</p></div>": "T\nshort",
+        "<div>short</div><div class=comments><p>A reader says very much more than the text</p></div>": "short",
+        "<div class=newsletter-box><h1>T</h1><p>An article about letters</p></div>": "T\nAn article about letters",
+        "<div role=form><h1>T</h1>Body</div>": "T\nBody",
+    }
+    for html, expected in cases.items():
+        assert text(html) == expected, html
