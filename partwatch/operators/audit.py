@@ -176,6 +176,25 @@ def with_vulnerabilities(
     return joined.select(*deps.columns, status.alias("vuln_status"), *[F.when(known, c).alias(name) for name, c in columns.items()])
 
 
+def advisory_status(queries: DataFrame, by_version: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """J-06 for queries of any ecosystem: ``ecosystem, package, version`` with ``vuln_status`` and ``vuln_count``.
+
+    A query that lacks one of the three cannot be asked: ``no-version`` without a count. The others are ``vulnerable`` or ``clean``, or
+    ``neterror`` without a count where the lookup ``failed``.
+    """
+    asked = F.lit(True)
+    for c in VERSION_KEY:
+        asked = asked & (F.coalesce(c, F.lit("")) != "")
+    joined = lookup_join(queries, by_version.select(*VERSION_KEY, "vuln_count"), VERSION_KEY)
+    lost = F.lit(False)
+    if failed is not None:
+        joined = lookup_join(joined, failed.select(*VERSION_KEY, F.lit(True).alias("_failed")).distinct(), VERSION_KEY)
+        lost = F.coalesce("_failed", F.lit(False))
+    count = F.coalesce("vuln_count", F.lit(0).cast("bigint"))
+    status = F.when(~asked, "no-version").when(lost, "neterror").when(count > 0, "vulnerable").otherwise("clean")
+    return joined.select(*queries.columns, status.alias("vuln_status"), F.when(asked & ~lost, count).alias("vuln_count"))
+
+
 def with_compliance(deps: DataFrame) -> DataFrame:
     """S-14 as columns ``legal_category`` and ``legal_level`` (the record itself is built late, for reports)."""
     category = compliance_category(F.col("package"), F.col("description"), F.col("malicious"))

@@ -587,6 +587,19 @@ def j_06_failed(t):
     return entries.select("project_id", "package", "installed", "vuln_status", "vuln_count", F.col("severity").isNotNull().alias("judged"))
 
 
+@query(
+    "j_06_no_version",
+    """
+SELECT d.package, d.installed AS version, CASE WHEN d.installed IS NULL THEN 'no-version' WHEN cast(split_part(d.package, '-', 2) AS INT) % 31 = 0 THEN 'neterror'
+    WHEN v.n > 0 THEN 'vulnerable' ELSE 'clean' END AS vuln_status,
+  CASE WHEN d.installed IS NOT NULL AND cast(split_part(d.package, '-', 2) AS INT) % 31 <> 0 THEN coalesce(v.n, 0) END AS vuln_count
+FROM (SELECT DISTINCT package, installed FROM v_declared) d LEFT JOIN v_by_version v ON v.package = d.package AND v.version = d.installed""",
+)
+def j_06_no_version(t):
+    queries = t.declared.select(F.lit("npm").alias("ecosystem"), "package", F.col("installed").alias("version")).distinct()
+    return audit.advisory_status(queries, t.by_version, t.failed_lookups).drop("ecosystem")
+
+
 @query("j_07_advisory_detail", "SELECT package, version, osv_id, id, summary FROM v_listed")
 def j_07(t):
     return audit.advisory_details_of(t.advisories, t.details).select("package", "version", "osv_id", "detail.id", "detail.summary")

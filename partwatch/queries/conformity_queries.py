@@ -10,7 +10,7 @@ from ..operators import conformity, finding_risk
 from ..rules import RULES
 from ..sources import scanners
 from .catalog_queries import values
-from .registry import query, view
+from .registry import placed, query, view
 from .scan_queries import REDACTED, case_roles
 
 view(
@@ -196,14 +196,25 @@ def a_20(t):
     return finding_risk.level_counts(rated(t))
 
 
-@query("o_03_risk_order", "SELECT project_id, ord, risk_level, score FROM v_risk")
+@query(
+    "o_03_risk_order",
+    """
+SELECT project_id, risk_level, score, path, line, rule_id,
+  row_number() OVER (PARTITION BY project_id ORDER BY risk_rank DESC, score DESC, path, line NULLS FIRST, rule_id) AS n FROM v_risk""",
+)
 def o_03(t):
-    return rated(t).orderBy("project_id", *finding_risk.risk_order()).select("project_id", "ord", "risk_level", "score")
+    rows = rated(t).select("project_id", "risk_level", "score", "path", "line", "rule_id")
+    return placed(rows, ["project_id"], finding_risk.risk_order())
 
 
-@query("o_11_export_order", "SELECT ord, severity, category, path FROM v_findings")
+@query(
+    "o_11_export_order",
+    """
+SELECT project_id, severity, category, path, row_number() OVER (PARTITION BY project_id ORDER BY CASE severity WHEN 'crítico' THEN 0 WHEN 'alto' THEN 1 WHEN 'medio' THEN 2
+  WHEN 'bajo' THEN 3 ELSE 4 END, category, path) AS n FROM v_findings""",
+)
 def o_11(t):
-    return t.findings.orderBy(*finding_risk.severity_order()).select("ord", "severity", "category", "path")
+    return placed(t.findings.select("project_id", "severity", "category", "path"), ["project_id"], finding_risk.severity_order())
 
 
 @query(
@@ -409,9 +420,15 @@ def s_51(t):
     return conformity.evidence_text(conformity.evidence_rows(project_findings(t), ctl.controls(t.spark), 8))
 
 
-@query("o_04_control_order", "SELECT project_id, control_id, state FROM v_evaluated")
+@query(
+    "o_04_control_order",
+    """
+SELECT project_id, control_id, state, row_number() OVER (PARTITION BY project_id ORDER BY CASE state WHEN 'no_cumple' THEN 3 WHEN 'observado' THEN 2 WHEN 'no_evaluable' THEN 1 ELSE 0 END DESC,
+  instrument, reference, control_id) AS n FROM v_evaluated""",
+)
 def o_04(t):
-    return evaluated(t).orderBy("project_id", *conformity.control_order()).select("project_id", "control_id", "state")
+    rows = evaluated(t).select("project_id", "control_id", "state", "instrument", "reference")
+    return placed(rows, ["project_id"], conformity.control_order()).drop("instrument", "reference")
 
 
 @query(

@@ -8,7 +8,7 @@ from ..operators import archive, audit, history
 from ..sinks import tables
 from ..plans.skew import shared_folder
 from ..streaming import streams
-from .registry import query, view
+from .registry import placed, query, view
 
 view(
     "v_audits",
@@ -44,9 +44,9 @@ def f_12(t):
     return history.listing(audits(t)).select("id", "app_name", "app_version", F.col("summary")["status"].alias("status"))
 
 
-@query("o_10_newest_first", "SELECT id, verdict FROM v_audits")
+@query("o_10_newest_first", "SELECT id, verdict, row_number() OVER (ORDER BY id DESC) AS n FROM v_audits")
 def o_10(t):
-    return history.listing(audits(t)).select("id", "verdict")
+    return placed(history.listing(audits(t)).select("id", "verdict"), [], [F.desc("id")])
 
 
 @query("f_13_one_audit", "SELECT id, app_name FROM v_audits WHERE id = 77")
