@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partwatch.llm import language, pieces
+from partwatch.llm.exchange import partitions
 from partwatch.llm.fm_index import find_contamination
 from partwatch.llm.graph import durable, written
 from partwatch.llm.queries import PIECE_MODEL, remainder, table
@@ -19,6 +20,11 @@ from partwatch.llm.signature_tree import jaccard_groups
 BROADCAST_IDS = 1_000_000
 
 
+def _blocks(spark: SparkSession) -> int:
+    """Twice the blocks that the operators choose themselves: workers of the other stages hold memory here, too."""
+    return 4 * partitions(spark)
+
+
 def _number(docs: DataFrame, column: str) -> str:
     return f"__{docs.columns.index(column)}"
 
@@ -53,7 +59,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     often = durable(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
     if not often.isEmpty():
         docs, key = _numbered(docs, _small(often)), "__n"
-    groups = jaccard_groups(docs.select(key, "text"), id_col=key, k=5, percent=75)
+    groups = jaccard_groups(docs.select(key, "text"), id_col=key, k=5, percent=75, n_blocks=_blocks(spark))
     gone = durable(groups.where("component_id <> id").select(F.col("id").alias(key)).distinct())
     return docs.join(_small(gone), key, "left_anti").select(columns)
 
@@ -75,9 +81,13 @@ def _numbered(docs: DataFrame, often: DataFrame) -> DataFrame:
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by a window of 35 words that also starts elsewhere leave the text; all documents stay."""
-    rows = without_repeats(docs, width=35, carry=docs.columns)
-    text = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.withColumns(text).select(docs.columns)
+    text, numbered = _number(docs, "text"), _numbered_columns(docs)
+    carry = [c for c in numbered.columns if c != text]
+    rows = without_repeats(numbered, id_col=_number(docs, "doc_id"), text_col=text, width=35, carry=carry, n_blocks=_blocks(spark))
+    out = {text: F.col("kept")}
+    if "n_chars" in docs.columns:
+        out[_number(docs, "n_chars")] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return _named(rows.withColumns(out), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
