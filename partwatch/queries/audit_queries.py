@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import advisories as adv
 from ..functions import compliance, dependency_risk, versions
-from ..operators import audit
+from ..operators import audit, catalog
 from ..sources import feeds, manifests
 from .registry import placed, query, view
 
@@ -687,6 +687,15 @@ def a_05(t):
     return audit.risk_distribution(t.rated).select("project_id", "avg_score", "verdict", "verdict_level")
 
 
+@query(
+    "s_52_verdict_class",
+    """
+SELECT project_id, CASE WHEN verdict_level IN ('crítico', 'alto') THEN 'bad' WHEN verdict_level IN ('medio', 'bajo') THEN 'warn' ELSE 'ok' END AS class FROM v_recommended""",
+)
+def s_52_verdict(t):
+    return audit.risk_distribution(t.rated).select("project_id", catalog.verdict_class(F.col("verdict_level")).alias("class"))
+
+
 @query("a_23_lookup_keys", "SELECT DISTINCT package FROM v_deps")
 def a_23(t):
     return audit.lookup_keys(t.deps)

@@ -409,3 +409,27 @@ UNION ALL SELECT project_id, 'total', '', '', count(*) FROM v_coordinates GROUP
 def a_28(t):
     deps = gradle.dependencies(manifests(t)).select("project_id", F.col("section").alias("kind"), F.lit("build.gradle").alias("path"))
     return gradle.component_counts(deps)
+
+
+view(
+    "v_components",
+    """
+SELECT cast(project_id AS VARCHAR) AS project_id, 'gradle' AS kind, 'app/build.gradle' AS path FROM v_coordinates
+UNION ALL SELECT cast(project_id AS VARCHAR), 'npm', CASE section WHEN 'peer' THEN 'lib/package.json' WHEN 'desarrollo' THEN 'tools/package.json' ELSE 'package.json' END FROM v_deps""",
+)
+
+
+@query(
+    "a_28_all_manifests",
+    """
+SELECT project_id, 'manifest' AS of, kind, path, count(*) AS components FROM v_components GROUP BY ALL
+UNION ALL SELECT project_id, 'type', kind, '', count(*) FROM v_components GROUP BY ALL
+UNION ALL SELECT project_id, 'total', '', '', count(*) FROM v_components GROUP BY ALL""",
+)
+def a_28_all(t):
+    """Components of npm and Gradle together, several manifests a project."""
+    name = F.col("project_id").cast("string").alias("project_id")
+    build = gradle.dependencies(manifests(t)).select(name, F.lit("gradle").alias("kind"), F.lit("app/build.gradle").alias("path"))
+    path = F.when(F.col("section") == "peer", "lib/package.json").when(F.col("section") == "desarrollo", "tools/package.json").otherwise("package.json")
+    return gradle.component_counts(build.unionByName(t.deps.select(name, F.lit("npm").alias("kind"), path.alias("path"))))
+
