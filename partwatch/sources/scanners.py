@@ -91,7 +91,7 @@ def _all(array: Column, shapes) -> Column:
     return F.coalesce(F.flatten(F.transform(array, shapes)).cast(FINDINGS), F.array().cast(FINDINGS))
 
 
-def semgrep(body: Column) -> Column:
+def _semgrep(body: Column) -> Column:
     """N-01. ``cwe`` may be a text or a list; both are read as text."""
 
     def shape(r: Column) -> Column:
@@ -109,7 +109,7 @@ def semgrep(body: Column) -> Column:
     return _each(F.from_json(body, SEMGREP)["results"], shape)
 
 
-def detect_secrets(body: Column) -> Column:
+def _detect_secrets(body: Column) -> Column:
     """N-02."""
 
     def in_file(entry: Column) -> Column:
@@ -125,7 +125,7 @@ def detect_secrets(body: Column) -> Column:
     return _all(F.map_entries(F.from_json(body, DETECT_SECRETS)["results"]), in_file)
 
 
-def bandit(body: Column) -> Column:
+def _bandit(body: Column) -> Column:
     """N-03."""
 
     def shape(r: Column) -> Column:
@@ -139,7 +139,7 @@ def bandit(body: Column) -> Column:
     return _each(F.from_json(body, BANDIT)["results"], shape)
 
 
-def njsscan(body: Column) -> Column:
+def _njsscan(body: Column) -> Column:
     """N-04: two sections of rule -> files; the first matched line counts."""
 
     def of_rule(entry: Column) -> Column:
@@ -157,7 +157,7 @@ def njsscan(body: Column) -> Column:
     return F.coalesce(both, F.array().cast(FINDINGS))
 
 
-def gitleaks(body: Column) -> Column:
+def _gitleaks(body: Column) -> Column:
     """N-05."""
 
     def shape(r: Column) -> Column:
@@ -170,7 +170,7 @@ def gitleaks(body: Column) -> Column:
     return _each(F.from_json(body, GITLEAKS), shape)
 
 
-def trivy(body: Column) -> Column:
+def _trivy(body: Column) -> Column:
     """N-06: dependencies (without a line), secrets and configuration."""
 
     def of_target(r: Column) -> Column:
@@ -204,7 +204,7 @@ def trivy(body: Column) -> Column:
     return _all(F.from_json(body, TRIVY)["Results"], of_target)
 
 
-def retire(body: Column) -> Column:
+def _retire(body: Column) -> Column:
     """N-07: a list, or an object that holds it under ``data``."""
     entries = F.when(body.rlike(r"^\s*\["), F.from_json(body, RETIRE_ENTRIES)).otherwise(F.from_json(body, f"data {RETIRE_ENTRIES}")["data"])
 
@@ -227,7 +227,7 @@ def retire(body: Column) -> Column:
 
 
 SHAPES = {
-    "semgrep": semgrep, "detect-secrets": detect_secrets, "bandit": bandit, "njsscan": njsscan, "gitleaks": gitleaks, "trivy": trivy, "retire": retire,
+    "semgrep": _semgrep, "detect-secrets": _detect_secrets, "bandit": _bandit, "njsscan": _njsscan, "gitleaks": _gitleaks, "trivy": _trivy, "retire": _retire,
 }
 
 
@@ -243,6 +243,8 @@ def _opened(reports: DataFrame, findings: Column) -> DataFrame:
 
 
 READERS = {name: (lambda reports, shape=shape: _opened(reports, shape(F.col("body")))) for name, shape in SHAPES.items()}
+# The readers by name; each takes the reports of its engine.
+semgrep, detect_secrets, bandit, njsscan, gitleaks, trivy, retire = (READERS[e] for e in ENGINES)
 
 
 def all_findings(reports: DataFrame, engines: tuple[str, ...] = ENGINES) -> DataFrame:
