@@ -154,10 +154,14 @@ FLOW_DDL = "source string, source_line int, name string, sink string, sink_line
 FLOWS = f"array<struct<{FLOW_DDL}>>"
 
 
-def picked_lines(text: Column) -> Column:
-    """What a pass over a file needs: ``assigned`` and ``sinks``."""
-    picked = lambda lines: F.struct(_assignments(lines).alias("assigned"), _sink_lines(lines).alias("sinks"))
-    return let(split_lines(F.coalesce(text, F.lit(""))), picked)
+def picked_lines(text: Column, whole: bool = True) -> Column:
+    """What a pass over a file needs: ``assigned`` and ``sinks``. Both are null for a ``whole`` file without a source: no name is tainted there."""
+
+    def picked(lines: Column, assigned: Column) -> Column:
+        sourced = F.exists(assigned, lambda a: a["label"].isNotNull()) if whole else F.lit(True)
+        return F.struct(F.when(sourced, assigned).alias("assigned"), F.when(sourced, _sink_lines(lines)).alias("sinks"))
+
+    return let(split_lines(F.coalesce(text, F.lit(""))), lambda lines: let(_assignments(lines), lambda a: picked(lines, a)))
 
 
 def traced_stream(batches):

@@ -117,7 +117,7 @@ def trace_ranges(parts: DataFrame) -> DataFrame:
     assignments first, then the sinks, with no more in memory than the names of one file.
     """
     code = parts.where(st.extension(F.col("path")).isin(*st.CODE_EXTENSIONS))
-    picked = taint.picked_lines(F.col("text"))
+    picked = taint.picked_lines(F.col("text"), whole=False)
     both = F.concat(
         F.transform(picked["assigned"], lambda a: F.struct(F.lit(0).alias("turn"), a["line"].alias("line"), a["name"].alias("name"), a["rhs"].alias("text"), a["label"].alias("label"), F.array().cast("array<int>").alias("kinds"))),
         F.transform(picked["sinks"], lambda s: F.struct(F.lit(1).alias("turn"), s["line"].alias("line"), F.lit(None).cast("string").alias("name"), s["text"].alias("text"), F.lit(None).cast("string").alias("label"), s["kinds"].alias("kinds"))),
