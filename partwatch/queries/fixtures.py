@@ -269,15 +269,23 @@ class Fixtures:
             .otherwise(F.array().cast("array<string>")).alias("vuln_ids"),
         )
 
-    @cached_property
-    def live_slugs(self) -> DataFrame:
-        """Slugs upstream knows: the declared ones whose position matches a part, but for every seventh, and others."""
+    def upstream_slugs(self, parts: DataFrame) -> DataFrame:
+        """Slugs upstream knows: the declared ones whose position matches a part, and others."""
         names = list(dims.PRODUCT_CATEGORIES)
         position = (F.col("p_partkey") % 80).cast("int")
         known = F.get(F.array(*[F.lit(n) for n in names]), position)
-        parts = self.table("part").where(position % 7 != 3)
         return parts.select(F.coalesce(known, F.concat(F.lit("other-"), position)).alias("slug")).distinct()
 
+    @cached_property
+    def known_slugs(self) -> DataFrame:
+        """Slugs of every part."""
+        return self.upstream_slugs(self.table("part"))
+
+    @cached_property
+    def live_slugs(self) -> DataFrame:
+        """Slugs of an upstream that lacks every seventh."""
+        return self.upstream_slugs(self.table("part").where((F.col("p_partkey") % 80).cast("int") % 7 != 3))
+
     # ---- source files
 
     @cached_property
