@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.compliance import ARTICLES, DISCLAIMER, LEVEL_OF_CATEGORY, RATIONALE, RECOMMENDATION
 from ..operators import audit
-from ..plans.skew import running_totals
 from ..sinks import report, text_report
 from .registry import query, view
 
@@ -116,17 +115,11 @@ def joined(t):
     return audit.with_report_texts(rated), projects, overall, report.general_text(projects), report.conclusion_text(overall, rated)
 
 
-def numbered(lines):
-    """Lines of all reports with ``n``, their place in the project."""
-    keys = [F.asc(k) for k in report.LINE_KEYS[1:]]
-    return running_totals(lines, ["project_id"], keys, {"n": F.lit(1).cast("bigint")}).select("project_id", "n", "line")
-
-
 @query("snk_04_report_lines", placed_lines("v_markdown_parts"))
 def snk_04(t):
     """Every line of every report at its place."""
     rows, _, overall, general, conclusion = joined(t)
-    return numbered(report.report_lines(rows, overall, general, conclusion))
+    return report.numbered(report.report_parts(rows, overall, general, conclusion))
 
 
 @query("snk_04_whole_report_lines", placed_lines("v_markdown_parts"))
@@ -181,7 +174,7 @@ UNION ALL SELECT project_id, 5, 0, 0.0, '', '', list_concat(['CONCLUSIÓN GENERA
 def snk_04_text(t):
     """Every line of the printed form."""
     rows, projects, overall, general, conclusion = joined(t)
-    return numbered(text_report.text_lines(rows, projects, overall, general, conclusion, "2024-05-01 10:00", "QA"))
+    return report.numbered(text_report.text_parts(rows, projects, overall, general, conclusion, "2024-05-01 10:00", "QA"))
 
 
 @query(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.audit import priority_packages
+from ..plans.skew import durable, running_totals
 
 
 def _text(c: Column, default: str = "") -> Column:
@@ -116,11 +117,36 @@ def conclusion_text(overall: DataFrame, rated: DataFrame) -> DataFrame:
     return joined.select("project_id", F.concat(opening, legal, first, closing).alias("conclusion"))
 
 
+def opened(parts: DataFrame) -> DataFrame:
+    """``parts`` (key columns and ``lines``) with one row per line, ``line_no`` from 0."""
+    return parts.select(*PART_KEYS, F.posexplode("lines").alias("line_no", "line"))
+
+
+def numbered(parts: DataFrame) -> DataFrame:
+    """Lines with ``n``, their place in the project by ``LINE_KEYS``.
+
+    Only the keys and the numbers of lines are put in order; the lines go once to the place where their part begins.
+    """
+    key = F.struct(*PART_KEYS).alias("_key")
+    counts = durable(parts.groupBy(*PART_KEYS).agg(F.sum(F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(0)).alias("_lines")))
+    ends = running_totals(counts, ["project_id"], [F.asc(k) for k in PART_KEYS[1:]], {"_end": F.col("_lines")})
+    begun = ends.select(key, (F.col("_end") - F.col("_lines")).alias("_before"))
+    # As keys may be null, parts are joined by the struct of them. Parts with equal keys take turns, line by line.
+    lines = parts.select("project_id", key, "lines").join(begun, "_key").select("project_id", "_key", "_before", F.posexplode("lines").alias("line_no", "line"))
+    within = F.row_number().over(Window.partitionBy("_key").orderBy("line_no"))
+    return lines.select("project_id", (F.col("_before") + within).alias("n"), "line")
+
+
 def report_lines(rows: DataFrame, overall: DataFrame, general: DataFrame, conclusion: DataFrame) -> DataFrame:
     """SNK-04: one ordered table of Markdown lines for all projects (``section_no``, risk keys, ``line_no``).
 
     Sort by the key columns within a project and write with ``write_lines``.
     """
+    return opened(report_parts(rows, overall, general, conclusion))
+
+
+def report_parts(rows: DataFrame, overall: DataFrame, general: DataFrame, conclusion: DataFrame) -> DataFrame:
+    """The Markdown report before it is cut into lines: key columns and ``lines``."""
     c = F.col
     # Entries of one package and score keep their lines together: section, then place in the document.
     entry = F.concat_ws("|", "section", F.to_json(F.struct("ord")), "spec")
@@ -133,7 +159,7 @@ def report_lines(rows: DataFrame, overall: DataFrame, general: DataFrame, conclu
             F.lit(0.0).alias("score"),
             F.lit("").alias("package"),
             F.lit("").alias("entry"),
-            F.posexplode(F.array(*lines)).alias("line_no", "line"),
+            F.array(*lines).alias("lines"),
         )
 
     head = part(
@@ -176,7 +202,7 @@ def report_lines(rows: DataFrame, overall: DataFrame, general: DataFrame, conclu
         (-c("score")).alias("score"),
         "package",
         entry.alias("entry"),
-        F.posexplode(item).alias("line_no", "line"),
+        item.alias("lines"),
     )
     legal_item = F.concat(
         F.array(
@@ -193,13 +219,14 @@ def report_lines(rows: DataFrame, overall: DataFrame, general: DataFrame, conclu
         (-c("score")).alias("score"),
         "package",
         entry.alias("entry"),
-        F.posexplode(legal_item).alias("line_no", "line"),
+        legal_item.alias("lines"),
     )
     end = part(conclusion, 4, [F.lit("## Conclusión General"), c("conclusion")])
     return head.unionByName(intro).unionByName(items).unionByName(legal).unionByName(end)
 
 
-LINE_KEYS = ("project_id", "section_no", "level_rank", "score", "package", "entry", "line_no")
+PART_KEYS = ("project_id", "section_no", "level_rank", "score", "package", "entry")
+LINE_KEYS = (*PART_KEYS, "line_no")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
