@@ -15,14 +15,19 @@ MAVEN_PRERELEASE = "(?i)alpha|beta|rc|snapshot|-dev|eap"
 
 def semver(v: Column) -> Column:
     """STRUCT<major, minor, patch> of the part before ``-`` and ``+``; structs order field by field."""
-    return let(F.split(F.regexp_extract(v, r"^[^-+]*", 0), r"\."), _three_numbers)
+    release = F.substring_index(F.substring_index(v, "-", 1), "+", 1)
+    return _numbers(lambda i: F.split_part(release, F.lit("."), F.lit(i + 1)))
 
 
-def _three_numbers(parts: Column) -> Column:
-    number = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("bigint"), F.lit(0).cast("bigint"))
+def _numbers(part) -> Column:
+    number = lambda i: F.coalesce(part(i).try_cast("bigint"), F.lit(0).cast("bigint"))
     return F.struct(number(0).alias("major"), number(1).alias("minor"), number(2).alias("patch"))
 
 
+def _three_numbers(parts: Column) -> Column:
+    return _numbers(lambda i: F.get(parts, F.lit(i)))
+
+
 def clean_range(spec: Column) -> Column:
     """STRUCT<base, pinned> of a declared range."""
     return let(strip(F.coalesce(spec, F.lit(""))), _range_parts)

@@ -198,9 +198,16 @@ def advisory_status(queries: DataFrame, by_version: DataFrame, failed: DataFrame
 def with_compliance(deps: DataFrame) -> DataFrame:
     """S-14 as columns ``legal_category`` and ``legal_level`` (the record itself is built late, for reports)."""
     category = compliance_category(F.col("package"), F.col("description"), F.col("malicious"))
-    return deps.withColumn("legal_category", category).withColumn(
-        "legal_level", compliance_level(F.col("legal_category"))
-    )
+    if "_category" in deps.columns:
+        category = F.when(F.col("malicious") | ~F.coalesce("_judged", F.lit(False)), category).otherwise(F.col("_category"))
+    judged = deps.withColumn("legal_category", category).drop("_judged", "_category")
+    return judged.withColumn("legal_level", compliance_level(F.col("legal_category")))
+
+
+def with_category(newest: DataFrame) -> DataFrame:
+    """What name and description of a package alone say, once per package and not once per dependency; ``with_compliance`` reads it."""
+    category = compliance_category(F.col("package"), F.col("description"), F.lit(False))
+    return newest.select("*", category.alias("_category"), F.lit(True).alias("_judged"))
 
 
 def with_compliance_record(deps: DataFrame) -> DataFrame:
@@ -225,7 +232,7 @@ def with_eol_page(deps: DataFrame) -> DataFrame:
 
 def audit_npm(deps: DataFrame, newest: DataFrame, by_version: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Declared dependencies to audited entries."""
-    out = with_newest(deps, newest)
+    out = with_newest(deps, with_category(newest))
     out = with_vulnerabilities(out, by_version, failed=failed).withColumn("ecosystem", F.lit(None).cast("string"))
     return with_compliance(out)
 
