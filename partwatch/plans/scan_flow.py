@@ -21,7 +21,5 @@ def scan_projects(files: DataFrame, rules: tuple[Rule, ...] = RULES, external: D
             found.withColumn("ord", order),
             external.select(*columns).withColumn("ord", order),
         ).drop("ord")
-    # Hits and flows are two narrow passes over the texts; nothing is kept between them.
-    flows = taint.flow_paths(scanned)
-    marked = taint.attach_flows(found, flows)
-    return marked.unionByName(taint.unmatched_flows(found, flows), allowMissingColumns=True)
+    # Hits and flows are two narrow passes over the texts; nothing is kept between them, and each is made once.
+    return taint.with_flows(found, taint.flow_paths(scanned))
