@@ -2,7 +2,8 @@
 
 A rule names words of which every match holds one. The first letters of each such word are its key; the keys that occur in a file,
 joined to the index, give the few rules that may match there, and only these are tried on its lines. Rules without a usable word
-are tried on every file. Nothing of the table comes to the driver or becomes part of the plan.
+are tried on every file. The rules of a file are put together before they meet its text, which travels once per chunk of rules.
+Nothing of the table comes to the driver or becomes part of the plan.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from . import scan
 
 # Letters of a key.
 GRAM = 3
-# Rules without a key that travel in one row.
+# Rules that travel in one row.
 CHUNK = 1_000
 FILE_KEY = ["project_id", "path"]
 
@@ -39,18 +40,24 @@ def candidates(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _hits() -> Column:
-    """Hits of the rule of a row in its text, with context."""
-    words, pattern = F.col("_triggers"), F.concat(F.lit("(?iU)"), F.col("_pattern"))
+    """Hits of the rules of a row in its text, with context. Lines are numbered once; rules without a trigger in the text are left out."""
+    low = F.lower("text")
 
-    def matches(c: Column) -> Column:
-        held = (F.size(words) == 0) | F.exists(words, lambda t: c["low"].contains(t))
-        return F.when(held, F.rlike(c["line"], pattern)).otherwise(F.lit(False))
+    def matches(rule: Column, c: Column) -> Column:
+        held = (F.size(rule["triggers"]) == 0) | F.exists(rule["triggers"], lambda t: c["low"].contains(t))
+        # Not rlike, which would compile a pattern that is no constant anew for every line.
+        return F.when(held, F.regexp_instr(c["line"], rule["pattern"]) > 0).otherwise(F.lit(False))
 
-    def in_file(lines: Column) -> Column:
-        found = F.transform(F.filter(scan.code_lines(lines), matches), lambda c: F.struct(F.col("rule_id").alias("rule_id"), c["i"].alias("i"), c["line"].alias("line")))
+    def of_rule(rule: Column, code: Column) -> Column:
+        found = F.filter(code, lambda c: matches(rule, c))
+        return F.transform(found, lambda c: F.struct(rule["rule_id"].alias("rule_id"), c["i"].alias("i"), c["line"].alias("line")))
+
+    def in_file(lines: Column, rules: Column) -> Column:
+        found = let(scan.code_lines(lines), lambda code: F.flatten(F.transform(rules, lambda r: of_rule(r, code))))
         return let(found, lambda f: F.when(F.size(f) > 0, scan.with_context(lines, f)))
 
-    return let(split_lines(F.col("text")), in_file)
+    held = lambda text: F.filter("_rules", lambda r: (F.size(r["triggers"]) == 0) | F.exists(r["triggers"], lambda t: text.contains(t)))
+    return let(let(low, held), lambda rules: F.when(F.size(rules) > 0, let(split_lines(F.col("text")), lambda lines: in_file(lines, rules))))
 
 
 def scan_files_by_table(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -61,6 +68,9 @@ def scan_files_by_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     """
     usable = rules.where(F.coalesce("pattern", F.lit("")) != "")
     found = candidates(files.where("text IS NOT NULL"), usable)
-    judged = usable.select("rule_id", F.col("pattern").alias("_pattern"), F.transform(F.coalesce("triggers", F.array().cast("array<string>")), lambda t: F.lower(t)).alias("_triggers"))
-    rows = found.join(judged, "rule_id").join(files, FILE_KEY)
-    return scan.explode_hits(rows, usable.drop("pattern", "triggers"), _hits())
+    lowered = F.transform(F.coalesce("triggers", F.array().cast("array<string>")), lambda t: F.lower(t))
+    rule = F.struct("rule_id", F.concat(F.lit("(?iU)"), "pattern").alias("pattern"), lowered.alias("triggers"))
+    n = max(1, -(-usable.count() // CHUNK))
+    judged = usable.select("rule_id", F.pmod(F.xxhash64("rule_id"), F.lit(n)).alias("_chunk"), rule.alias("_rule"))
+    packed = found.join(judged, "rule_id").groupBy(*FILE_KEY, "_chunk").agg(F.collect_list("_rule").alias("_rules"))
+    return scan.explode_hits(packed.join(files, FILE_KEY), usable.drop("pattern", "triggers"), _hits())
