@@ -159,7 +159,8 @@ def npm_manifests(t):
             )
         )
     )
-    unique = t.deps.groupBy("project_id", "section", "package").agg(F.max("spec").alias("spec"))
+    # Dealt by project first, so that neither grouping shuffles again.
+    unique = t.deps.repartition("project_id").groupBy("project_id", "section", "package").agg(F.max("spec").alias("spec"))
     grouped = unique.groupBy("project_id").agg(F.collect_list(F.struct("section", "package", "spec")).alias("rows"))
     body = F.to_json(
         F.struct(
