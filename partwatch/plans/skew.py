@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPREAD = 1_024
+# Rows of a key beyond which it is worked on by more than one task.
+HEAVY = 100_000
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -64,6 +66,22 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
+def heavy_keys(df: DataFrame, key: str, most: int | None = None) -> list:
+    """Keys with more than ``most`` rows; there are at most as many as rows divided by that."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    return [r[0] for r in counts.where(F.col("_n") > (HEAVY if most is None else most)).select(key).collect()]
+
+
+def with_key(df: DataFrame, key: str, keys: list, inside: bool) -> DataFrame:
+    """The rows whose key, which may be null, is one of ``keys``, or the others."""
+    if not keys:
+        return df.where(F.lit(False)) if inside else df
+    known = [k for k in keys if k is not None]
+    hit = F.coalesce(F.col(key).isin(known), F.lit(False)) if known else F.lit(False)
+    hit = hit | F.col(key).isNull() if None in keys else hit
+    return df.where(hit if inside else ~hit)
+
+
 def order_columns(df: DataFrame, keys: Sequence[str]) -> list[str]:
     """Columns a row can be hashed by (maps cannot)."""
     return [f.name for f in df.schema.fields if f.name not in keys and "map<" not in f.dataType.simpleString()]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compliance import ARTICLES, DISCLAIMER, LEVEL_OF_CATEGORY, RATIONALE, RECOMMENDATION
 from ..operators import audit
+from ..plans import skew
 from ..sinks import report, text_report
 from .registry import query, view
 
@@ -107,19 +108,30 @@ SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY part, ran
 FROM (SELECT *, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM {parts})"""
 
 
-def joined(t):
-    rated = t.listed
+def joined(t, rated=None):
+    rated = t.listed if rated is None else rated
     overall = audit.risk_distribution(rated)
     summary = audit.npm_summary(rated).join(overall.drop("compliance_critico", "compliance_alto"), "project_id")
     projects = summary.select("*", F.concat(F.lit("app"), "project_id").alias("app_name"), F.lit(None).cast("string").alias("app_version"))
     return audit.with_report_texts(rated), projects, overall, report.general_text(projects), report.conclusion_text(overall, rated)
 
 
+def by_size(t, form, of_large):
+    """Projects that fit into a task are numbered there; others by keys that are put in order across tasks. The declarations tell them apart."""
+    large = skew.heavy_keys(t.declared, "project_id")
+    lines = report.numbered_reports(skew.with_key(t.listed, "project_id", large, False), form)
+    return lines.unionByName(of_large(skew.with_key(t.listed, "project_id", large, True))) if large else lines
+
+
 @query("snk_04_report_lines", placed_lines("v_markdown_parts"))
 def snk_04(t):
     """Every line of every report at its place."""
-    rows, _, overall, general, conclusion = joined(t)
-    return report.numbered(report.report_parts(rows, overall, general, conclusion))
+
+    def of_large(rated):
+        rows, _, overall, general, conclusion = joined(t, rated)
+        return report.numbered(report.report_parts(rows, overall, general, conclusion))
+
+    return by_size(t, report.markdown_form(), of_large)
 
 
 @query("snk_04_whole_report_lines", placed_lines("v_markdown_parts"))
@@ -173,8 +185,12 @@ UNION ALL SELECT project_id, 5, 0, 0.0, '', '', list_concat(['CONCLUSIÓN GENERA
 @query("snk_04_text_lines", placed_lines("v_text_parts"))
 def snk_04_text(t):
     """Every line of the printed form."""
-    rows, projects, overall, general, conclusion = joined(t)
-    return report.numbered(text_report.text_parts(rows, projects, overall, general, conclusion, "2024-05-01 10:00", "QA"))
+
+    def of_large(rated):
+        rows, projects, overall, general, conclusion = joined(t, rated)
+        return report.numbered(text_report.text_parts(rows, projects, overall, general, conclusion, "2024-05-01 10:00", "QA"))
+
+    return by_size(t, text_report.text_form("2024-05-01 10:00", "QA"), of_large)
 
 
 @query(
