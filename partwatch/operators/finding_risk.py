@@ -277,10 +277,10 @@ def severity_order() -> list[Column]:
     return [F.desc(F.coalesce(lookup(F.col("severity"), SEVERITY_RANK), F.lit(0))), F.asc("category"), F.asc("path")]
 
 
-def numbered(rated: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """W-10: number the findings of each project; a large project is numbered by many tasks."""
+def numbered(rated: DataFrame, order: list[Column] | None = None, totals: dict[str, Column] | None = None, written: bool = False) -> DataFrame:
+    """W-10: number the findings of each project; a large project is numbered by many tasks. ``totals`` are summed up along the way."""
     keys = order or export_order()
-    return running_totals(rated, ["project_id"], keys, {"number": F.lit(1).cast("bigint")})
+    return running_totals(rated, ["project_id"], keys, {"number": F.lit(1).cast("bigint"), **(totals or {})}, written)
 
 
 def hotspots(findings: DataFrame, n: int) -> DataFrame:

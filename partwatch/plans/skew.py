@@ -88,16 +88,17 @@ def order_columns(df: DataFrame, keys: Sequence[str]) -> list[str]:
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: dict[str, Column], written: bool = False
 ) -> DataFrame:
     """Running sums per group in a total order, without putting one group into one task.
 
     Rows are written down before they are range-partitioned by group and order, as the borders of the ranges come from a pass of their
-    own, which would work the rows out once more. Each range sums locally; only groups that continue over several ranges need an
+    own, which would work the rows out once more; rows that come from a checkpoint are ``written`` already. Each range sums locally; only groups that continue over several ranges need an
     offset, so there are fewer offsets than ranges and they can be broadcast.
     """
     keys = list(keys)
-    ranged = durable(df.select("*", *[m.alias(f"_m_{name}") for name, m in measures.items()]))
+    ranged = df.select("*", *[m.alias(f"_m_{name}") for name, m in measures.items()])
+    ranged = ranged if written else durable(ranged)
     ranged = durable(ranged.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     local = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

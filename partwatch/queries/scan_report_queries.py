@@ -136,7 +136,7 @@ FROM (SELECT *, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no
 )
 def snk_04_scan(t):
     """Every line of every scan report. Flows and permissions are read off the findings."""
-    found = finding_risk.with_narratives(rated(t))
+    found = rated(t)
     ids = t.findings.select("project_id").distinct()
     projects = ids.select("project_id", F.concat("project_id", F.lit(".zip")).alias("name"), F.lit(12).alias("files"), F.lit(2_621_440).alias("bytes"), F.lit(3).alias("added"))
     flows = t.findings.where("reachable AND line IS NOT NULL").select(
@@ -147,5 +147,4 @@ def snk_04_scan(t):
     languages = files.select("project_id", st.language(F.col("path")).alias("language")).groupBy("project_id", "language").agg(F.count("*").alias("files"))
     permissions = t.findings.select("project_id", F.concat(F.lit("android.permission.P"), F.col("ord") % 3).alias("permission")).distinct()
     evidence = conformity.evidence_text(conformity.evidence_rows(project_findings(t), ctl.controls(t.spark), 8))
-    lines = sr.scan_report_lines(projects, found, evaluated(t), evidence, flows, languages, permissions, "QA", "2024-05-01 10:00", NOTE)
-    return sr.numbered_lines(lines)
+    return sr.numbered_report(projects, found, evaluated(t), evidence, flows, languages, permissions, "QA", "2024-05-01 10:00", NOTE)
